@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, licenses, pii, quality, shards
+from emberlog.llm import chat, html_text, licenses, pii, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,3 +120,9 @@ def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
         pii.span_text(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query
+def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
