@@ -9,7 +9,7 @@ Template: each turn is '### ', role, a line feed, text, '</turn>' and a line fee
 turn mark, and parse() gives back what went in.
 
 Null role or text counts as empty. A message whose parent is null or unknown is a root. Messages on or below a cycle have no
-root and are left out. Repeated ids keep their first row by (sort key, role, text). Empty tables give empty tables; columns
+root and are left out. Repeated ids keep their first row by (parent, score, role, text). Empty tables give empty tables; columns
 that aren't named are ignored.
 """
 
@@ -111,14 +111,14 @@ def doubling_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             break
         tables.append(left.select("id", "up"))
         far = now.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), F.col("score").alias("__score"))
-        further = now.join(far, "up", "left").select(
+        further = left.join(far, "up", "left").select(
             "id",
             F.col("__up").alias("up"),
             F.coalesce("root", "__root").alias("root"),
             (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
             (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"),
         )
-        before, now = now, saved(further)
+        before, now = now, saved(now.filter(F.col("up").isNull()).unionByName(further, allowMissingColumns=False))
         if len(tables) > 1 and now.filter(F.col("root").isNotNull()).count() == before.filter(F.col("root").isNotNull()).count():
             break  # only cycles are left
     return tables, now.filter(F.col("root").isNotNull()).select("id", "root", "depth", "score")
@@ -129,23 +129,23 @@ def reply_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
 
     One row for each message on a path: root, leaf, branch_rank (from 1), branch_score, id, above (0 at the leaf).
     """
-    first = Window.partitionBy("id").orderBy("parent", "score")
-    nodes = nodes.select("id", "parent", "score").filter(F.col("id").isNotNull()).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    nodes = saved(nodes.select("id", "parent", "score").filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("parent", "score")).alias("x")).select("id", "x.parent", "x.score"))
     tables, rooted = doubling_tables(nodes)
     leaves = rooted.join(nodes.select(F.col("parent").alias("id")).filter(F.col("id").isNotNull()).distinct(), "id", "left_anti")
     rank = Window.partitionBy("root").orderBy(F.desc(F.col("score") / F.col("depth")), F.desc("depth"), "id")
     chosen = leaves.withColumn("branch_rank", F.row_number().over(rank)).filter(F.col("branch_rank") <= per_tree)
     paths = chosen.select("root", F.col("id").alias("leaf"), "branch_rank", (F.col("score") / F.col("depth")).alias("branch_score"), "id", F.lit(0).cast("long").alias("above"))
     for k in reversed(range(len(tables))):
-        up = paths.join(tables[k], "id").select("root", "leaf", "branch_rank", "branch_score", F.col("up").alias("id"), (F.col("above") + F.lit(1 << k)).alias("above"))
-        paths = paths.unionByName(up)
+        pair = F.array(F.struct("id", "above"), F.struct(F.col("up").alias("id"), (F.col("above") + F.lit(1 << k)).alias("above")))
+        both = paths.join(tables[k], "id", "left").select("root", "leaf", "branch_rank", "branch_score", F.explode(F.filter(pair, lambda x: x["id"].isNotNull())).alias("x"))
+        paths = both.select("root", "leaf", "branch_rank", "branch_score", "x.id", "x.above")
     return paths
 
 
 def format_trees(messages: DataFrame, per_tree: int = 1, learned: str = "assistant") -> DataFrame:
     """messages: id, parent, score, role, text. One row for each chosen path: root, leaf, branch_rank, branch_score, formatted, mask."""
-    first = Window.partitionBy("id").orderBy("parent", "score", "role", "text")
-    messages = messages.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    messages = messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("parent", "score", "role", "text")).alias("x")).select("id", "x.parent", "x.score", "x.role", "x.text")
+    messages = saved(messages)
     paths = reply_paths(messages, per_tree)
     turns = paths.join(messages.select("id", "role", "text"), "id")
     grouped = turns.groupBy("root", "leaf", "branch_rank", "branch_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("at"), "role", "text"))).alias("turns"))
