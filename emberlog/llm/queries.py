@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, html_text, licenses, minhash, packing, pii, quality, shards
+from emberlog.llm import chat, decontaminate, html_text, licenses, minhash, packing, pii, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
+@query
+def op3_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
