@@ -14,7 +14,10 @@ Columns other than the key and the text don't pass through, so no names clash.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+import operator
 import os
 from collections.abc import Callable, Iterator
 
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 #: A block ends at so many tokens or texts of so many bytes; text is tokenized in slices of SLICE_BYTES.
 BLOCK_TOKENS, SLICE_BYTES = 8_000_000, 8 << 20
-#: The tokenizer's cache is emptied at so many words.
+#: At so many words, the tokenizer's cache keeps those used more than once.
 CACHE_WORDS = 400_000
 #: So many sequences of lowest cost are tried before a document is cut.
 TRIES = 8
@@ -36,6 +39,9 @@ SEQUENCES_BITS = 36
 #: A Latin letter that stays one letter in lower case, and ASCII punctuation other than an apostrophe.
 _SEAM = r"([a-zÀ-ÖØ-öø-\x{012F}\x{0131}-\x{017F}])([!-&(-/:-@\[-`{-~])"
 
+#: Words that the tokenizer keeps in one piece, whose last id then is one that ends a word: Latin letters, or punctuation.
+_ONE_PIECE = r"^(?:[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+)$"
+
 
 class WordTokenizer:
     """Ids of whole texts, by way of their words, for a tokenizer that drops white space and lower-cases.
@@ -49,34 +55,57 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._empty()
-
-    def _empty(self) -> None:
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self._at: dict[str, int] = {}
-        self._ids = np.empty(1 << 20, np.uint32)
-        self._starts, self._lengths, self._used = [np.empty(1 << 16, np.int64) for _ in range(2)], None, 0
+        self._ids = np.empty(0, np.uint32)
+        self._starts = self._lengths = self._hits = np.empty(0, np.int64)
+
+    def _keep_repeated(self) -> None:
+        """Empties the cache but for the words that were looked up more than once since they came."""
+        words = np.array(list(self._at), object)
+        kept = np.flatnonzero(self._hits > 1)
+        if len(kept) > CACHE_WORDS // 2:
+            kept = kept[:0]
+        starts, lengths = self._starts[kept], self._lengths[kept]
+        begins = np.cumsum(lengths) - lengths
+        self._ids = self._ids[np.repeat(starts - begins, lengths) + np.arange(lengths.sum())]
+        self._starts, self._lengths, self._hits = begins, lengths, np.ones(len(kept), np.int64)
+        self._at = dict(zip(words[kept].tolist(), range(len(kept)), strict=True))
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the words one after the other, and how many each word has."""
+        simple = pc.match_substring_regex(pa.array(words, pa.large_string()), _ONE_PIECE).to_numpy(zero_copy_only=False)
+        if simple.all():
+            lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self._ends[ids])
+            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        each = [x.ids for x in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
 
     def _known(self, words: list[str]) -> np.ndarray:
         """The place of each word in the cache, which gets those that it lacks."""
         if len(self._at) + len(words) > CACHE_WORDS and self._at:
-            self._empty()
+            self._keep_repeated()
         fresh = [w for w in words if w not in self._at]
         if fresh:
-            starts, lengths = self._starts
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                for word, coded in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    ids, n = coded.ids, len(self._at)
-                    if self._used + len(ids) > len(self._ids):
-                        self._ids = np.concatenate([self._ids, np.empty(max(len(self._ids), len(ids)), np.uint32)])
-                    if n >= len(starts):
-                        starts, lengths = (np.concatenate([x, np.empty_like(x)]) for x in (starts, lengths))
-                    self._ids[self._used : self._used + len(ids)] = ids
-                    starts[n], lengths[n] = self._used, len(ids)
-                    self._used += len(ids)
-                    self._at[word] = n
-            self._starts = [starts, lengths]
-        return np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+            simple = pc.match_substring_regex(pa.array(fresh, pa.large_string()), _ONE_PIECE).to_pylist()
+            for part in (list(itertools.compress(fresh, simple)), list(itertools.compress(fresh, map(operator.not_, simple)))):
+                for at in range(0, len(part), 50_000):
+                    some = part[at : at + 50_000]
+                    ids, lengths = self._coded(some)
+                    n = len(self._at)
+                    self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
+                    self._lengths = np.concatenate([self._lengths, lengths])
+                    self._hits = np.concatenate([self._hits, np.zeros(len(some), np.int64)])
+                    self._ids = np.concatenate([self._ids, ids])
+                    self._at.update(zip(some, range(n, n + len(some)), strict=True))
+        places = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+        self._hits[places] += 1
+        return places
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after the other (uint32), and where each text's ids start (one more at the end)."""
@@ -89,7 +118,7 @@ class WordTokenizer:
         filled = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
         coded = words.dictionary_encode()
         place = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
-        starts, lengths = self._starts
+        starts, lengths = self._starts, self._lengths
         sizes = np.where(filled, lengths[place], 0) if len(words) else np.empty(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         offsets = lists.offsets.to_numpy()
@@ -104,6 +133,12 @@ class WordTokenizer:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+@functools.lru_cache(maxsize=1)
+def _words(path: str) -> WordTokenizer:
+    """One for each worker process, so that tasks share its cache."""
+    return WordTokenizer(path)
+
+
 def lengths_of(total: int, capacity: int = CAPACITY) -> list[int]:
     """Full sequences, then powers of two for the rest."""
     rest = total % capacity
@@ -160,7 +195,7 @@ def _packer(tokenizer: str, capacity: int, end_id: int, kind: pa.DataType, linea
 
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << SEQUENCES_BITS
-        words, keys, parts, sizes, held = WordTokenizer(tokenizer), [], [], [], 0
+        words, keys, parts, sizes, held = _words(tokenizer), [], [], [], 0
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal first, keys, parts, sizes, held
