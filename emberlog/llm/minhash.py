@@ -5,7 +5,8 @@ minima, its region key, and goes on with those after. Documents of equal sets fo
 sorted by (region, further minima) in each order; neighbours there have the longest common prefix, so crowded regions are
 resolved at their own, greater depth first. Links that hold on full sets join classes into components. Then each region that
 still holds more than one component is taken up at its least depth: all its pairs across components whose estimated
-similarity isn't clearly below the threshold are confirmed on full sets, too. A pair at the threshold shares no region with a
+similarity isn't clearly below the threshold are compared by samples of their sets (whole sets up to SAMPLE shingles), and
+those that link or may link are confirmed on full sets, too. A pair at the threshold shares no region with a
 probability of (1 - threshold**DEPTH)**TREES, under 1e-10 at 0.85; no partner or candidate is capped.
 
 Signatures, links and labels stay in tables; only counts reach the driver. Documents without words link with nothing. Null
@@ -33,6 +34,8 @@ FIRST_TREES = 8
 MARGIN = 0.16
 #: Of its neighbours, a representative tries so many of the best first; the second pass takes up all others.
 FIRST_TRIES = 2
+#: Shingles of a set that are compared in the second pass: all, or of a larger set this many to half as many.
+SAMPLE = 1024
 #: Ids are broadcast to pick texts if they are at most so many; beyond that the texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64), 0x1234567) | np.uint64(1)).astype(np.uint32)
@@ -155,28 +158,81 @@ def _estimated(least: float):
     return run
 
 
+def _sampled(k: int):
+    """text to id and sample: the shingles' 32-bit hashes in ascending order; of large sets those under a power of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch.column(0)):
+                hashes, bounds = shingle_sets(texts, k)
+                small = (mixed(hashes, 0x5A17) >> np.uint64(32)).astype(np.uint32)
+                parts = [np.sort(small[b:e]) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                blobs = [p[p <= 0xFFFFFFFF >> _level(len(p))].tobytes() for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(_node(hashes, bounds)[0].view(np.int64)), pa.array(blobs, pa.binary())], ["id", "sample"])
+
+    return run
+
+
+def _level(n: int) -> int:
+    """Halvings that leave at most SAMPLE of n."""
+    return max(0, -(-n // SAMPLE) - 1).bit_length()
+
+
 def _across(least: float, percent: int):
-    """One region's rows (id, component, n, signature) to its pairs across components that may link, each pair in the first
-    order only where the two share a region."""
+    """One region's rows (id, component, n, signature, sample) to pairs across its components that link as far as samples
+    tell, each in the first order only where the two share a region. Components that a clear pair joins count as one from
+    then on, so a region gives few pairs more than it has components. Samples of small sets are whole."""
+
+    def shares(i: int, rest: np.ndarray, n: np.ndarray, samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of i and each of rest: the least and the greatest similarity that the samples allow, and the likeliest."""
+        low, high, mid = (np.empty(len(rest)) for _ in range(3))
+        levels = np.array([_level(int(x)) for x in n[rest]])
+        own = _level(int(n[i]))
+        for level in np.unique(np.maximum(levels, own)).tolist():
+            at = np.flatnonzero(np.maximum(levels, own) == level)
+            cut = np.uint32(0xFFFFFFFF >> level)
+            mine = samples[i][: np.searchsorted(samples[i], cut, side="right")]
+            others = [samples[j][: np.searchsorted(samples[j], cut, side="right")] for j in rest[at].tolist()]
+            sizes = np.array([len(x) for x in others])
+            flat = np.concatenate(others)
+            met = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat if len(mine) else np.zeros(len(flat), bool)
+            ends = np.cumsum(sizes)
+            sums = np.concatenate([[0], np.cumsum(met)])
+            both = (sums[ends] - sums[ends - sizes]).astype(float)
+            either = np.maximum(len(mine) + sizes - both, 1)
+            mid[at] = both / either
+            slack = 2 * 2 / either if level == 0 else 5 * np.sqrt(0.25 / either)
+            low[at], high[at] = mid[at] - slack, mid[at] + slack
+        return low, high, mid
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         region = table.column("region")[0].as_py()
-        id_, label, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
-        signatures = _matrix(table.column("signature").combine_chunks() if table.num_rows else table.column("signature"))
-        sizes = dict(zip(*np.unique(label, return_counts=True), strict=True))
-        largest = max(sizes, key=lambda x: (sizes[x], -x))
-        order = np.argsort(label == largest, kind="stable")  # the largest component last: it isn't met with itself
-        id_, label, n, signatures = id_[order], label[order], n[order], signatures[order]
+        id_, label, n = (table.column(c).to_numpy().copy() for c in ("id", "component", "n"))
+        signatures = _matrix(table.column("signature").chunk(0))
+        samples = [np.frombuffer(x, np.uint32) for x in table.column("sample").to_pylist()]
+        kinds, sizes = np.unique(label, return_counts=True)
+        order = np.argsort(label == kinds[sizes.argmax()], kind="stable")  # the largest component comes last
+        id_, label, n, signatures, samples = id_[order], label[order], n[order], signatures[order], [samples[i] for i in order.tolist()]
         keys = _keys(signatures)
         tree = int(np.flatnonzero((keys == np.uint64(region % (1 << 64))).all(axis=0))[0])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(int((label != largest).sum())):
+        found: list[tuple[int, int]] = []
+        for i in range(int((table.column("component").to_numpy()[order] != kinds[sizes.argmax()]).sum())):
             rest = np.flatnonzero((label[i + 1 :] != label[i]) & (percent * n[i + 1 :] <= 100 * n[i]) & (100 * n[i + 1 :] >= percent * n[i])) + i + 1
             rest = rest[(signatures[rest] == signatures[i]).mean(axis=1) >= least]
             rest = rest[(keys[rest, :tree] != keys[i, :tree]).all(axis=1)]
-            found.append((np.full(len(rest), id_[i]), id_[rest]))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(2))
+            if not len(rest):
+                continue
+            low, high, mid = shares(i, rest, n, samples)
+            for at in np.argsort(-mid, kind="stable").tolist():
+                if high[at] < percent / 100:
+                    continue
+                j = int(rest[at])
+                if label[j] != label[i]:
+                    found.append((int(id_[i]), int(id_[j])))
+                    if low[at] >= percent / 100:
+                        label[label == label[j]] = label[i]
+        a, b = (np.array([f[k] for f in found], np.int64) for k in range(2))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run
@@ -193,19 +249,23 @@ def _sets(k: int):
     return run
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that stand for the classes in ids (and perhaps others), and those classes. docs: key, text; classes: id, rep."""
+    wanted = saved(classes.join(ids, "id", "left_semi").select("id", "rep"))
+    keys = wanted.select(F.col("rep").alias("key")).distinct()
+    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
+    return docs.join(keys, "key", "left_semi").select("text"), wanted.select("id")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (of classes) whose full sets hold the threshold. docs: key, text; classes: id, rep."""
-    ids = saved(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "rep"))
-    keys = ids.select(F.col("rep").alias("key")).distinct()
-    wanted = F.broadcast(keys) if ids.count() <= BROADCAST_IDS else keys
-    sets = docs.join(wanted, "key", "left_semi").select("text").mapInArrow(_sets(k), "id long, grams array<bigint>")
-    sets = saved(sets.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    """The pairs (of classes) whose full sets hold the threshold."""
+    texts, ids = _texts_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = saved(texts.mapInArrow(_sets(k), "id long, grams array<bigint>").join(ids, "id", "left_semi").dropDuplicates(["id"]))
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     met = F.size(F.array_intersect("ga", "gb"))
     links = saved(both.filter(100 * met >= percent * (F.size("ga") + F.size("gb") - met)).select("a", "b"))
     dropped(sets)
-    dropped(ids)
     return links
 
 
@@ -236,7 +296,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     labelled = saved(crowded.select("region", "id").join(merged, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component")))
     dropped(crowded)
     open_ = labelled.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
-    members = labelled.join(open_, "region").join(classes.select("id", "n", "signature"), "id").select("region", "id", "component", "n", "signature")
+    open_rows = saved(labelled.join(open_, "region"))
+    texts, ids = _texts_of(docs, classes, open_rows.select("id").distinct())
+    samples = texts.mapInArrow(_sampled(k), "id long, sample binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    known = classes.select("id", "n", "signature").join(samples, "id")
+    members = open_rows.join(known, "id").select("region", "id", "component", "n", "signature", "sample")
     second = saved(members.groupBy("region").applyInArrow(_across(least, percent), "a long, b long").join(first, ["a", "b"], "left_anti"))
     dropped(labelled)
     more = _confirmed(docs, classes, second, k, percent)
