@@ -106,12 +106,12 @@ def common_events_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.common_events_in_order(entries(spark, sf_dir), ["instance"], ["instance"], ["event"])
 
 
-@query(f"""WITH {ENTRIES_SQL} SELECT DISTINCT component, event FROM entries WHERE instance % 5 = 0
-EXCEPT SELECT component, event FROM entries WHERE instance = 1 AND file = 2""")
+@query(f"""{PARTS_SQL} SELECT DISTINCT component, event, file FROM parts WHERE partition_id > 0 EXCEPT SELECT component, event, file FROM parts WHERE partition_id = 0""")
 def excluded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entries(spark, sf_dir)
-    normal = events.cumulated_events(rows.filter((F.col("instance") == 1) & (F.col("file") == 2)), EVENT)
-    return events.summary_events(rows.filter(F.col("instance") % 5 == 0), ["instance"], EVENT, normal, only_common=False)
+    rows = _parts(spark, sf_dir)
+    event = [*EVENT, "file"]
+    normal = events.cumulated_events(rows.filter("partition_id = 0"), event)
+    return events.summary_events(rows.filter("partition_id > 0"), ["instance", "partition_id"], event, normal, only_common=False)
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS l, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR l <> event_type")
@@ -145,8 +145,8 @@ def limit_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error') AND event_type IN
-(SELECT event_type FROM events WHERE user_id % 2 = 0 INTERSECT SELECT event_type FROM events WHERE user_id % 3 = 0)""")
+(SELECT event_type FROM events WHERE value > 80 INTERSECT SELECT event_type FROM events WHERE value < 20)""")
 def id_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    kinds = rows.filter("user_id % 2 = 0").select("event_type").intersect(rows.filter("user_id % 3 = 0").select("event_type"))
+    kinds = rows.filter("value > 80").select("event_type").intersect(rows.filter("value < 20").select("event_type"))
     return rows.join(kinds, "event_type", "left_semi").join(rows.filter("event_type = 'error'").select("event_id"), "event_id", "left_anti").select("event_id", "event_type")

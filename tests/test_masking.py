@@ -56,3 +56,15 @@ def test_gap_sentences():
     assert GapSentences(select="sequential").mask([[], [], []]) == [[], [], ["<*>"]]
     assert GapSentences(context=False).antimask(same) == [["a", "b"], ["<*>", "<*>"], ["<*>", "<*>"]]
     assert count_to_mask(5, 0.5) == 2
+
+
+def test_running_counts_pick_as_plain_scores():
+    import random
+
+    from emberlog.operators.masking import unigram_f1
+
+    rng = random.Random(2)
+    for _ in range(60):
+        sentences = [[rng.choice("abcdef") for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(1, 9))]
+        plain = GapSentences(0.5, "sequential", score=lambda a, b: unigram_f1(a, b))
+        assert plain.chosen(sentences) == GapSentences(0.5, "sequential").chosen(sentences)
