@@ -132,11 +132,11 @@ def _ranks(names: np.ndarray) -> np.ndarray:
     return rank
 
 
-def suffix_order(text: np.ndarray, hashes: np.ndarray, most: int = QUEUE_BYTES) -> np.ndarray:
+def suffix_order(text: np.ndarray, hashes: np.ndarray, down: np.ndarray | None = None, most: int = QUEUE_BYTES) -> np.ndarray:
     """The starts of all suffixes of text in order, by their first 2 * NAMES characters at least.
 
     text: small whole numbers, 0 at the end alone. hashes: running sums of character hash times power of the base, as of
-    running_hash(), one more than text has characters.
+    running_hash(), one more than text has characters. down: powers of the inverse base, if there are.
     """
     text = text.astype(np.int16)
     characters = int(text.max()) + 1
@@ -152,7 +152,7 @@ def suffix_order(text: np.ndarray, hashes: np.ndarray, most: int = QUEUE_BYTES)
     number = np.zeros(len(text), np.int32)
     number[turns] = np.arange(len(turns), dtype=np.int32)
     ends = np.concatenate([turns[1:] + 1, [len(text)]])
-    down = powers(len(text))[1]
+    down = powers(len(text))[1] if down is None else down
     told = (hashes[ends] - hashes[turns]) * down[turns]
     where = number[rough]
     differ = (told[where][1:] != told[where][:-1]) | ((ends - turns)[where][1:] != (ends - turns)[where][:-1])
@@ -161,8 +161,8 @@ def suffix_order(text: np.ndarray, hashes: np.ndarray, most: int = QUEUE_BYTES)
     return _induced(text, rising, turns[np.argsort(_ranks(names), kind="stable")], characters, most)
 
 
-def running_hash(characters: np.ndarray) -> np.ndarray:
+def running_hash(characters: np.ndarray, up: np.ndarray | None = None) -> np.ndarray:
     """Running sums from which the hash of any stretch follows: (sums[e] - sums[b]) * inverse power b."""
     table = (np.arange(65536, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     table = (table ^ (table >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD) | np.uint64(1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[characters] * powers(len(characters))[0], dtype=np.uint64)])
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[characters] * (powers(len(characters))[0] if up is None else up), dtype=np.uint64)])

@@ -33,7 +33,7 @@ from emberlog.llm.shingles import mixed, slices
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text whose hashes a task holds at once, and bytes of fragments in a shard on average.
-CHUNK_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
+CHUNK_BYTES, SHARD_BYTES = 1 << 19, 2 << 20
 #: Ids are broadcast to pick texts if they are at most so many; beyond that the texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64), 0x51ED270B) | np.uint64(1)
@@ -105,7 +105,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """t, text to fragments; a text that the task has met is left out, as are most copies so before any shuffle."""
     met: set[int] = set()
     for batch in batches:
-        for at, texts in slices(batch.column(1)):
+        for at, texts in slices(batch.column(1), 8 * CHUNK_BYTES):
             ids = batch.column(0).slice(at, len(texts)).to_pylist()
             keep = []
             for i, t in enumerate(ids):
@@ -141,13 +141,14 @@ def repeated_in(parts: list[bytes]) -> list[list[tuple[int, int]]]:
     for b, p in zip(begins.tolist(), parts, strict=True):
         text[b : b + len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) + 2
     text[-1] = 0
-    sums = running_hash(text)
-    order = suffix_order(text, sums)
+    up, down = powers(len(text))
+    sums = running_hash(text, up)
+    del up
+    order = suffix_order(text, sums, down)
     full = np.zeros(len(text), bool)
     for b, size in zip(begins.tolist(), sizes.tolist(), strict=True):
         full[b : b + max(size - LENGTH + 1, 0)] = True
     order = order[full[order]]
-    down = powers(len(text))[1]
     told = (sums[order + LENGTH] - sums[order]) * down[order]
     near = np.flatnonzero(told[1:] == told[:-1])
     twice = np.zeros(len(text), bool)
