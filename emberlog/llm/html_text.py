@@ -2,7 +2,8 @@
 
 A page is read into a tree of its elements. Paragraph-like blocks pass points for their length and commas to their parent,
 half to the grandparent and less further up; a container's points are discounted by its share of text in links. The best
-container is taken, or the article around it, with those of its siblings that score well or read like prose; within them, all
+container is taken (a page's best <article>, where it has any, else its <main>), with those of its siblings that score well
+or read like prose; within them, all
 that is marked as menu, header, footer, sidebar, notice, advert, form or reader comment goes, and all the rest stays in page
 order.
 
@@ -204,6 +205,15 @@ def _text(node: _Node, into: list[str]) -> None:
             stack.extend(reversed(x.parts))
 
 
+def _outermost(node: _Node, tag: str) -> _Node:
+    """The highest element of that name around node, or node."""
+    above, found = node, node
+    while above is not None:
+        found = above if above.tag == tag else found
+        above = above.parent
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page; '' if it has none."""
     if not page:
@@ -211,25 +221,24 @@ def main_text(page: str | None) -> str:
     root = _tree(page)
     nodes = _scored(root)
     density = lambda n: n.linked / n.chars if n.chars else 0.0
-    worth = lambda n: n.score * (1 - density(n)) * (1.5 if n.tag in ("article", "main") else 1.0)
+    worth = lambda n: n.score * (1 - density(n))
+    articles = [n for n, leaving in _walk(root) if not leaving and n.tag == "article" and n.chars and not n.out]
     best = max(nodes, key=worth, default=None)
-    if best is None:
+    if articles:
+        kept = [_outermost(max(articles, key=lambda n: (worth(n), n.chars)), "article")]
+    elif best is None:
         kept = [root]
+    elif _outermost(best, "main").tag == "main" and density(_outermost(best, "main")) <= LINKS_MOST:
+        kept = [_outermost(best, "main")]
+    elif best.tag in ("body", "html") or best.parent is None:
+        kept = [best]
     else:
-        above = best
-        while above is not None and above.tag not in ("article", "main"):
-            above = above.parent
-        if above is not None and above.tag == "article" or above is not None and density(above) <= LINKS_MOST:
-            kept = [above]
-        elif best.tag in ("body", "html") or best.parent is None:
-            kept = [best]
-        else:
-            least = 0.2 * worth(best)
-            kept = [
-                x
-                for x in best.parent.parts
-                if not isinstance(x, str) and not x.out and (x is best or worth(x) >= least > 0 or (x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density(x) <= LINKS_MOST))
-            ]
+        least = 0.2 * worth(best)
+        kept = [
+            x
+            for x in best.parent.parts
+            if not isinstance(x, str) and not x.out and (x is best or worth(x) >= least > 0 or (x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density(x) <= LINKS_MOST))
+        ]
     into: list[str] = []
     for node in kept:
         _text(node, into)
