@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.memory import tidy
 from emberlog.llm.shingles import slices
 
 K1, B = 1.2, 0.75
@@ -200,7 +201,7 @@ def _index(items: tuple[tuple[int, str], ...]) -> tuple[Index, pa.Array]:
 def _searcher(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, terms = _index(items.value)
-        for batch in batches:
+        for batch in batches if index.ids else ():
             for at, texts in slices(batch.column(1)):
                 lists = pc.ascii_split_whitespace(_spaced(texts))
                 flat = lists.flatten()
@@ -236,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     def search(rows: list) -> None:
         nonlocal out
         items = spark.sparkContext.broadcast(tuple(rows))
-        hits = slim.mapInArrow(_searcher(items), _SCHEMA)
+        hits = slim.mapInArrow(tidy(_searcher(items)), _SCHEMA)
         out = hits if out is None else out.unionByName(hits)
 
     for row in ordered.toLocalIterator():

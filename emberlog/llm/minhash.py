@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
+from emberlog.llm.memory import tidy
 from emberlog.llm.scratch import dropped, saved
 from emberlog.llm.shingles import mixed, shingle_sets, slices
 
@@ -260,7 +261,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> tuple[Data
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (of classes) whose full sets hold the threshold."""
     texts, ids = _texts_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = saved(texts.mapInArrow(_sets(k), "id long, grams array<bigint>").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    sets = saved(texts.mapInArrow(tidy(_sets(k)), "id long, grams array<bigint>").join(ids, "id", "left_semi").dropDuplicates(["id"]))
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     met = F.size(F.array_intersect("ga", "gb"))
@@ -276,18 +277,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     """
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     least = percent / 100 - MARGIN
-    signed = saved(docs.mapInArrow(_signed(k), "key long, n long, id long, check long, signature binary"))
+    signed = saved(docs.mapInArrow(tidy(_signed(k)), "key long, n long, id long, check long, signature binary"))
     known = signed.filter(F.col("key").isNotNull() & (F.col("n") > 0))
     classes = saved(known.groupBy("id", "check", "n").agg(F.min("key").alias("rep"), F.first("signature").alias("signature")))
 
-    placed = classes.select("id", "signature").mapInArrow(_placed, "region long, further long, id long")
+    placed = classes.select("id", "signature").mapInArrow(tidy(_placed), "region long, further long, id long")
     in_order = placed.repartition("region").sortWithinPartitions("region", "further", "id")
-    crowded = saved(in_order.mapInArrow(_crowded, "region long, id long, before long"))
+    crowded = saved(in_order.mapInArrow(tidy(_crowded), "region long, id long, before long"))
 
     near = crowded.filter(F.col("before").isNotNull()).select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
     a = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     b = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    estimated = near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_estimated(least), "a long, b long, estimate double")
+    estimated = near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_estimated(least)), "a long, b long, estimate double")
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("estimate"), "a"))
     first = saved(estimated.withColumn("__r", best).filter(F.col("__r") <= FIRST_TRIES).select("a", "b"))
     links = _confirmed(docs, classes, first, k, percent)
@@ -298,7 +299,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     open_ = labelled.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
     open_rows = saved(labelled.join(open_, "region"))
     texts, ids = _texts_of(docs, classes, open_rows.select("id").distinct())
-    samples = texts.mapInArrow(_sampled(k), "id long, sample binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    samples = texts.mapInArrow(tidy(_sampled(k)), "id long, sample binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
     known = classes.select("id", "n", "signature").join(samples, "id")
     members = open_rows.join(known, "id").select("region", "id", "component", "n", "signature", "sample")
     second = saved(members.groupBy("region").applyInArrow(_across(least, percent), "a long, b long").join(first, ["a", "b"], "left_anti"))

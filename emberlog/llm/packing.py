@@ -26,11 +26,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from emberlog.llm.memory import tidy
+
 CAPACITY = 2048
 #: A block ends at so many tokens or texts of so many bytes; text is tokenized in slices of SLICE_BYTES.
-BLOCK_TOKENS, SLICE_BYTES = 8_000_000, 8 << 20
+BLOCK_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
 #: At so many words, the tokenizer's cache keeps those used more than once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: So many sequences of lowest cost are tried before a document is cut.
 TRIES = 8
 END_ID = 1
@@ -246,4 +248,4 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     field = df.schema[key]
     run = _packer(tokenizer, capacity, end_id, to_arrow_type(field.dataType), linear, quadratic)
     slim = df.select(df[key].alias("__key"), df[text].alias("__text"))
-    return slim.mapInArrow(run, f"__key {field.dataType.simpleString()}, {SCHEMA}").withColumnRenamed("__key", key)
+    return slim.mapInArrow(tidy(run), f"__key {field.dataType.simpleString()}, {SCHEMA}").withColumnRenamed("__key", key)

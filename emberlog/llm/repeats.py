@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.induced import powers, running_hash, suffix_order
+from emberlog.llm.memory import released, tidy
 from emberlog.llm.scratch import dropped, saved
 from emberlog.llm.shingles import mixed, slices
 
@@ -181,12 +182,13 @@ def _sorted_shard(table: pa.Table) -> pa.Table:
         parts[a, w] = b
     rows = [(a, w, lo, hi) for (a, w), spans in zip(parts, repeated_in(list(parts.values())), strict=True) for lo, hi in spans]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    released()
     return pa.table([pa.array(c, pa.int64()) for c in columns], ["anchor", "whole", "lo", "hi"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs: t (hash of text), text. Rows of t, lo, hi: covered stretches of texts that stand once or more (not merged)."""
-    found = docs.select("t", "text").mapInArrow(_found, "anchor long, whole long, t long, first long, n int")
+    found = docs.select("t", "text").mapInArrow(tidy(_found), "anchor long, whole long, t long, first long, n int")
     by_anchor = found.repartition("anchor").dropDuplicates(["anchor", "whole", "t", "first", "n"])
     anchors, wholes = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
     least, most = F.min("whole").over(anchors), F.max("whole").over(anchors)
@@ -199,7 +201,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-fetch.count() * (LENGTH + 80) // SHARD_BYTES))
     wanted = saved(fetch.groupBy("t").agg(F.collect_list(F.struct("anchor", "whole", "first", "n")).alias("wanted")))
     texts = picked(docs, wanted.select("t"))
-    pieces = texts.join(wanted, "t").select("text", "wanted").mapInArrow(_cut, "anchor long, whole long, bytes binary")
+    pieces = texts.join(wanted, "t").select("text", "wanted").mapInArrow(tidy(_cut), "anchor long, whole long, bytes binary")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
     covers = pieces.groupBy(shard.alias("shard")).applyInArrow(_sorted_shard, "anchor long, whole long, lo long, hi long")
     lone = met.filter(F.col("mixed") & (F.col("copies") == 1)).select("anchor", "whole", "t", "first")
@@ -245,6 +247,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     gone = told.filter("state = 2").select("key", "n", F.lit(b"").alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("removed"))
     partly = picked(docs, marked.select("t")).join(marked, "t").select("key", "text", "spans")
     kind = df.schema[key].dataType.simpleString()
-    cut = partly.mapInArrow(_kept, f"key {kind}, kept binary, removed array<struct<lo: bigint, hi: bigint>>")
+    cut = partly.mapInArrow(tidy(_kept), f"key {kind}, kept binary, removed array<struct<lo: bigint, hi: bigint>>")
     cut = cut.select("key", (F.octet_length("kept") + F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])).cast("long").alias("n"), "kept", "removed")
     return clean.unionByName(gone).unionByName(cut).select(F.col("key").alias(key), F.col("n").alias("n_bytes"), "kept", "removed")
