@@ -84,7 +84,7 @@ def method_rules(text: Column) -> list[Rule]:
     return [
         Rule("symbols", 10 * n_symbols(t) > F.size(words_of(t))),
         Rule("capitals", 2 * char_count(t, UPPER) > word_chars(t)),
-        Rule("equal_lines", let(filled_lines(t), lambda x: 100 * n_dup_lines(x) > 30 * F.size(x))),
+        Rule("equal_lines", let(filled_lines(t), lambda x: 100 * n_dup_lines(x) > 50 * F.size(x))),
         Rule("word_length", (word_chars(t) > 20 * F.size(words_of(t))) | (word_chars(t) < 2 * F.size(words_of(t)))),
     ]
 
