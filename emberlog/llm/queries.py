@@ -174,3 +174,17 @@ m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, t.doc_id = m.component_id AS kept
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN m ON m.a = t.doc_id
 """
+
+
+ORACLE_SQL["op6_induced_suffix_dedup"] = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 199)) AS i FROM t)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, (i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200 IS NOT FALSE)::INT AS f FROM r),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+x AS (SELECT doc_id, hi AS a, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS z FROM s UNION ALL SELECT doc_id, 1, min(lo) FROM s GROUP BY doc_id),
+k AS (SELECT x.doc_id, unhex(string_agg(hex(b[a:coalesce(z - 1, octet_length(b))]), '' ORDER BY a)) AS kept FROM x JOIN t ON t.doc_id = x.doc_id GROUP BY x.doc_id),
+c AS (SELECT doc_id, sum(hi - lo)::BIGINT AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT t.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN k.doc_id IS NULL THEN b ELSE kept END) AS kept_sha256
+FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""
