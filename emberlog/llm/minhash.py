@@ -37,6 +37,8 @@ MARGIN = 0.16
 FIRST_TRIES = 2
 #: Shingles of a set that are compared in the second pass: all, or of a larger set this many to half as many.
 SAMPLE = 1024
+#: Rows of a region that one task takes up; larger regions are cut into blocks, and each pair of blocks is a task.
+REGION_ROWS = 20_000
 #: Ids are broadcast to pick texts if they are at most so many; beyond that the texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64), 0x1234567) | np.uint64(1)).astype(np.uint32)
@@ -180,7 +182,7 @@ def _level(n: int) -> int:
 
 
 def _across(least: float, percent: int):
-    """One region's rows (id, component, n, signature, sample) to pairs across its components that link as far as samples
+    """One region's rows (block, id, component, n, signature, sample), or those of two of its blocks, to pairs across its components that link as far as samples
     tell, each in the first order only where the two share a region. Components that a clear pair joins count as one from
     then on, so a region gives few pairs more than it has components. Samples of small sets are whole."""
 
@@ -209,17 +211,20 @@ def _across(least: float, percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         region = table.column("region")[0].as_py()
+        across_blocks = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         id_, label, n = (table.column(c).to_numpy().copy() for c in ("id", "component", "n"))
         signatures = _matrix(table.column("signature").chunk(0))
         samples = [np.frombuffer(x, np.uint32) for x in table.column("sample").to_pylist()]
         kinds, sizes = np.unique(label, return_counts=True)
         order = np.argsort(label == kinds[sizes.argmax()], kind="stable")  # the largest component comes last
         id_, label, n, signatures, samples = id_[order], label[order], n[order], signatures[order], [samples[i] for i in order.tolist()]
+        block = table.column("block").to_numpy()[order]
         keys = _keys(signatures)
         tree = int(np.flatnonzero((keys == np.uint64(region % (1 << 64))).all(axis=0))[0])
         found: list[tuple[int, int]] = []
         for i in range(int((table.column("component").to_numpy()[order] != kinds[sizes.argmax()]).sum())):
             rest = np.flatnonzero((label[i + 1 :] != label[i]) & (percent * n[i + 1 :] <= 100 * n[i]) & (100 * n[i + 1 :] >= percent * n[i])) + i + 1
+            rest = rest[block[rest] != block[i]] if across_blocks else rest
             rest = rest[(signatures[rest] == signatures[i]).mean(axis=1) >= least]
             rest = rest[(keys[rest, :tree] != keys[i, :tree]).all(axis=1)]
             if not len(rest):
@@ -296,13 +301,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     labelled = saved(crowded.select("region", "id").join(merged, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component")))
     dropped(crowded)
-    open_ = labelled.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
+    open_ = labelled.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi")
+    open_ = open_.select("region", F.ceil(F.col("rows") / REGION_ROWS).cast("int").alias("blocks"))
     open_rows = saved(labelled.join(open_, "region"))
     texts, ids = _texts_of(docs, classes, open_rows.select("id").distinct())
     samples = texts.mapInArrow(tidy(_sampled(k)), "id long, sample binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
     known = classes.select("id", "n", "signature").join(samples, "id")
-    members = open_rows.join(known, "id").select("region", "id", "component", "n", "signature", "sample")
-    second = saved(members.groupBy("region").applyInArrow(_across(least, percent), "a long, b long").join(first, ["a", "b"], "left_anti"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = open_rows.withColumn("block", block).withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed_rows = other.withColumns({"lo": F.least("block", "__with"), "hi": F.greatest("block", "__with")})
+    members = placed_rows.join(known, "id").select("region", "lo", "hi", "block", "id", "component", "n", "signature", "sample")
+    second = saved(members.groupBy("region", "lo", "hi").applyInArrow(_across(least, percent), "a long, b long").join(first, ["a", "b"], "left_anti"))
     dropped(labelled)
     more = _confirmed(docs, classes, second, k, percent)
     final = components(links.unionByName(more))

@@ -223,14 +223,19 @@ def added_spans(text: Column, base: Column, boosted: Boosted | None = None) -> C
     return F.when(some & text.rlike("[0-9]|[\\[(][aA][tT][\\])]|[=:]"), swept["out"]).otherwise(F.array().cast("array<struct<start: int, end: int, kind: string>>"))
 
 
-def find(df: DataFrame, text: str = "text", boosted: Boosted | None = None) -> DataFrame:
-    """df with base and added: arrays of struct<kind, start, end> in code points, end exclusive."""
+def spans_of(text: Column, boosted: Boosted | None = None) -> Column:
+    """struct<base, added>: arrays of struct<kind, start, end> in code points, end exclusive."""
     slim = lambda xs: F.transform(xs, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     def of(t: Column) -> Column:
         return let(base_spans(t), lambda b: F.struct(slim(b).alias("base"), slim(added_spans(t, b, boosted)).alias("added")))
 
-    out = df.withColumn("__spans", let(F.coalesce(F.col(text), F.lit("")), of))
+    return let(F.coalesce(text, F.lit("")), of)
+
+
+def find(df: DataFrame, text: str = "text", boosted: Boosted | None = None) -> DataFrame:
+    """df with base and added, as of spans_of()."""
+    out = df.withColumn("__spans", spans_of(F.col(text), boosted))
     return out.withColumns({"base": F.col("__spans.base"), "added": F.col("__spans.added")}).drop("__spans")
 
 
@@ -253,8 +258,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", boosted: Boosted | None = None) -> DataFrame:
-    """df with all spans in text replaced; null stays null."""
-    found = find(df, text, boosted)
-    whole = F.when(F.col(text).isNull(), F.col(text)).otherwise(let(F.concat("base", "added"), lambda s: redacted(F.col(text), s)))
-    out = found.withColumn(text, whole)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    """df with all spans in text replaced; null stays null, and no other column changes."""
+    out = df.withColumn("__spans", spans_of(F.col(text), boosted))
+    whole = let(F.concat("__spans.base", "__spans.added"), lambda s: redacted(F.col(text), s))
+    return out.withColumn(text, F.when(F.col(text).isNotNull(), whole)).drop("__spans")

@@ -22,6 +22,8 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A rule's share of the sample and its time are taken from so many rows at most.
 SAMPLE_ROWS = 256
+#: Larger texts aren't taken into the sample, which so holds 16 MB at most; they are judged like all others.
+SAMPLE_TEXT_BYTES = 64 << 10
 
 
 @dataclass(frozen=True)
@@ -97,7 +99,7 @@ def _timed(sample: DataFrame, reject: Column) -> tuple[float, int]:
 
 def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second over a sample of at most sample_rows rows, the best first; ties by name."""
-    rows = df.select(text).limit(sample_rows).collect()
+    rows = df.select(text).filter(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_TEXT_BYTES).limit(sample_rows).collect()
     if not rows or len(rules) < 2:
         return list(rules)
     sample = df.sparkSession.createDataFrame([(r[0],) for r in rows], f"{text} string")
@@ -125,6 +127,12 @@ def cascade(df: DataFrame, rules: list[Rule] | None = None, text: str = "text",
     return df.withColumn("rejected_by", first_rejection(ordered)).withColumn("kept", F.col("rejected_by").isNull())
 
 
+def keep(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of df, as they are, that no rule rejects."""
+    rules = base_rules(F.col(text)) + method_rules(F.col(text)) if rules is None else rules
+    return df.filter(first_rejection(order_rules(df, rules, text, sample_rows)).isNull())
+
+
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))

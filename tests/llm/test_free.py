@@ -164,7 +164,9 @@ def _linked(texts, k, percent):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-def test_near_duplicates(spark, saved_docs):
+@pytest.mark.parametrize("region_rows", [7, 20_000])
+def test_near_duplicates(spark, saved_docs, monkeypatch, region_rows):
+    monkeypatch.setattr(minhash, "REGION_ROWS", region_rows)
     rng = random.Random(9)
     texts = list(ODD)
     for size in (40, 120, 120):

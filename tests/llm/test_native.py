@@ -61,6 +61,7 @@ def test_redaction_keeps_the_rest(spark, docs_of):
     docs = docs_of(['mail a@b.co or +1 (22) 333-4444, token = "0123456789abcdef0123456789abcdef".', None, "plain"])
     rows = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert rows[0].text == "mail <EMAIL> or <PHONE>, <SECRET>." and rows[1].text is None and rows[2].text == "plain"
+    assert pii.redact(docs.withColumn("base", F.lit("mine"))).first()["base"] == "mine"
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs.limit(0)).count() == 0
 
 
@@ -154,6 +155,7 @@ def test_cascade_is_the_same_in_any_order(spark, docs_of):
     for order in (rules, rules[::-1]):
         named = docs.withColumn("by", quality.first_rejection(order))
         assert {r.doc_id for r in named.filter("by IS NULL").collect()} == kept
+    assert {(r.doc_id, r.kept) for r in quality.keep(docs).collect()} == {(len(ODD), "clash")}
     assert quality.cascade(docs.limit(0)).count() == 0
 
 
