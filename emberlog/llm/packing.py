@@ -30,9 +30,9 @@ from emberlog.llm.memory import tidy
 
 CAPACITY = 2048
 #: A block ends at so many tokens or texts of so many bytes; text is tokenized in slices of SLICE_BYTES.
-BLOCK_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
+BLOCK_TOKENS, SLICE_BYTES = 2_000_000, 2 << 20
 #: At so many words, the tokenizer's cache keeps those used more than once.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: So many sequences of lowest cost are tried before a document is cut.
 TRIES = 8
 END_ID = 1
@@ -96,8 +96,8 @@ class WordTokenizer:
         if fresh:
             simple = pc.match_substring_regex(pa.array(fresh, pa.large_string()), _ONE_PIECE).to_pylist()
             for part in (list(itertools.compress(fresh, simple)), list(itertools.compress(fresh, map(operator.not_, simple)))):
-                for at in range(0, len(part), 50_000):
-                    some = part[at : at + 50_000]
+                for at in range(0, len(part), 20_000):
+                    some = part[at : at + 20_000]
                     ids, lengths = self._coded(some)
                     n = len(self._at)
                     self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
