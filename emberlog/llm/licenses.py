@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.native import let, lower_ascii
+from emberlog.llm.native import let
 
 K = 4
 #: Diagonals at most so far apart merge.
@@ -56,8 +56,9 @@ TEMPLATES = {
 
 
 def normal(text: Column) -> Column:
-    """The words of text, lower-cased from A to Z, each followed by one space."""
-    spaced = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
+    """The words of text in lower case, each followed by one space. Case of letters beyond A to Z bounds no words and is in no
+    phrase."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
     held = F.ltrim(spaced)
     return F.when((held == "") | held.endswith(" "), held).otherwise(F.concat(held, F.lit(" ")))
 

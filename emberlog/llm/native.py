@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The six bytes that end a word.
-SPACES = " \t\n\x0b\x0c\r"
 _BLOCK = 128
 
 
@@ -38,11 +36,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
-def char_count(text: Column, chars: str) -> Column:
-    """How many code points of text are among chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def lower_ascii(text: Column) -> Column:
-    """A to Z in lower case, all else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def char_count(text: Column, pattern: str) -> Column:
+    """How many code points of text match pattern, which matches one at a time."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))

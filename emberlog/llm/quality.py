@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.native import char_count, let, words_of
 
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS, UPPER = "[#*$%&|<>]", "[A-Z]"
 #: A rule's share of the sample and its time are taken from so many rows at most.
 SAMPLE_ROWS = 256
 #: Larger texts aren't taken into the sample, which so holds 16 MB at most; they are judged like all others.
@@ -35,7 +34,7 @@ class Rule:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", ""))
+    return F.length(F.array_join(words_of(text), ""))
 
 
 def n_symbols(text: Column) -> Column:
@@ -80,14 +79,21 @@ def base_rules(text: Column) -> list[Rule]:
     ]
 
 
-def method_rules(text: Column) -> list[Rule]:
-    """Symbols on many words, mostly capitals, many equal lines, and word lengths that no prose has."""
+def method_rules(text: Column, known: dict[str, Column] | None = None) -> list[Rule]:
+    """Symbols on many words, mostly capitals, many equal lines, and word lengths that no prose has.
+
+    known: columns of n_words, word_chars, n_symbols and n_dup_lines, where they are counted anyway.
+    """
     t = F.coalesce(text, F.lit(""))
+    known = known or {}
+    n_words, chars = known.get("n_words", F.size(words_of(t))), known.get("word_chars", word_chars(t))
+    dup = known.get("n_dup_lines")
+    equal = let(filled_lines(t), lambda x: 100 * n_dup_lines(x) > 50 * F.size(x)) if dup is None else (dup > 0) & (100 * dup > 50 * F.size(filled_lines(t)))
     return [
-        Rule("symbols", 10 * n_symbols(t) > F.size(words_of(t))),
-        Rule("capitals", 2 * char_count(t, UPPER) > word_chars(t)),
-        Rule("equal_lines", let(filled_lines(t), lambda x: 100 * n_dup_lines(x) > 50 * F.size(x))),
-        Rule("word_length", (word_chars(t) > 20 * F.size(words_of(t))) | (word_chars(t) < 2 * F.size(words_of(t)))),
+        Rule("symbols", 10 * known.get("n_symbols", n_symbols(t)) > n_words),
+        Rule("capitals", 2 * char_count(t, UPPER) > chars),
+        Rule("equal_lines", equal),
+        Rule("word_length", (chars > 20 * n_words) | (chars < 2 * n_words)),
     ]
 
 
@@ -138,13 +144,15 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     counted = let(
         words_of(t),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).cast("long").alias("n_repeat_words")),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"), n_repeat_words(w).cast("long").alias("n_repeat_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars")
+        ),
     )
     out = df.withColumn("__counted", counted)
     out = out.withColumns(
         {
             "n_words": F.col("__counted.n_words"),
-            "word_chars": word_chars(t).cast("long"),
+            "word_chars": F.col("__counted.word_chars"),
             "n_symbols": n_symbols(t).cast("long"),
             "n_dup_lines": n_dup_lines(filled_lines(t)).cast("long"),
             "n_repeat_words": F.col("__counted.n_repeat_words"),
@@ -155,6 +163,8 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
 
 def judged(df: DataFrame, text: str = "text") -> DataFrame:
     """features() and kept: false if base_failed, else the verdict of the cascade over method_rules()."""
-    ordered = order_rules(df, method_rules(F.col(text)), text)
+    order = [r.name for r in order_rules(df, method_rules(F.col(text)), text)]
     out = features(df, text)
+    known = {n: F.col(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines")}
+    ordered = sorted(method_rules(F.col(text), known), key=lambda r: order.index(r.name))
     return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(first_rejection(ordered).isNull()))
