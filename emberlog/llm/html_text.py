@@ -39,9 +39,13 @@ PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 MARKS = frozenset(
     "ad ads adbox adsense adslot advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer header masthead "
     "topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations "
-    "comment comments commentlist disqus respond replies reply discussion pager pagination widget search hidden contentinfo complementary dialog form teaser teasers outbrain taboola skip".split()
+    "comment comments commentlist disqus respond replies reply discussion pager pagination widget search contentinfo complementary dialog form teaser teasers outbrain taboola skip".split()
 )
 SPARED = frozenset({"html", "body", "main"})
+#: Marks that hold even around an article, and first words that say what an element goes with, not what it is.
+FIRM = frozenset("comment comments commentlist disqus respond replies reply discussion related recommended recommendations teaser teasers".split())
+WITH = frozenset("has with no without".split())
+UNSEEN = frozenset("hidden visually-hidden is-hidden sr-only screen-reader-text".split())
 LINKS_MOST = 0.33
 
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>")
@@ -53,35 +57,51 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class _Node:
     __slots__ = ("tag", "parent", "parts", "out", "score", "chars", "linked", "depth")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool) -> None:
+    def __init__(self, tag: str, parent: _Node | None, out: int) -> None:
         self.tag, self.parent, self.out = tag, parent, out
         self.parts: list = []  # texts and nodes in page order
         self.score, self.chars, self.linked = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _marked(tag: str, attributes: str) -> int:
+    """0: seems part of the text; 1: marked as something else, unless an article stands in it; 2: something else."""
     if tag in NEVER:
-        return True
+        return 2
     if not attributes or tag in SPARED:
-        return False
+        return 0
+    found = 0
     for m in _ATTR.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 2
         if name in ("class", "id", "role"):
             for part in value.split():
                 words = _WORD.findall(_CAMEL.sub("-", part).lower())
-                if MARKS.intersection(words) and not (tag == "article" and words[0] not in MARKS):
-                    return True
-    return False
+                if part.lower() in UNSEEN or FIRM.intersection(words):
+                    return 2
+                if words and words[0] not in WITH and MARKS.intersection(words) and not (tag == "article" and words[0] not in MARKS):
+                    found = 1
+    return found
+
+
+def _settled(root: _Node) -> None:
+    """Marks of the first kind go from elements around an article or a main element; the others hold for all within."""
+    around: set[int] = set()
+    for node, leaving in _walk(root):
+        if leaving and (node.tag in ("article", "main") and node.out != 2 or id(node) in around) and node.parent is not None:
+            around.add(id(node.parent))
+    for node, leaving in _walk(root):
+        if not leaving:
+            above = node.parent.out if node.parent is not None else False
+            node.out = bool(above or node.out == 2 or (node.out == 1 and id(node) not in around))
 
 
 def _tree(page: str) -> _Node:
-    root = top = _Node("#", None, False)
+    root = top = _Node("#", None, 0)
     at, end = 0, len(page)
 
     def close(names: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
@@ -139,7 +159,7 @@ def _tree(page: str) -> _Node:
                 node = node.parent
             if last is not None:
                 pop_to(last.parent)
-        node = _Node(tag, top, top.out or _marked(tag, m[3]))
+        node = _Node(tag, top, _marked(tag, m[3]))
         top.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -219,6 +239,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
+    _settled(root)
     nodes = _scored(root)
     density = lambda n: n.linked / n.chars if n.chars else 0.0
     worth = lambda n: n.score * (1 - density(n))

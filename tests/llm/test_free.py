@@ -218,6 +218,9 @@ def test_main_text():
     article = "<body><article><h1>H</h1><p>Ti.</p><aside>x</aside><section class='reader-comments'><p>no, no, no</p></section></article><div><p>" + "other, " * 30 + "</p></div></body>"
     assert html_text.main_text(article) == "H Ti."
     assert [html_text.main_text(x) for x in (None, "", "plain  text", "<!-- x", "<script>a", "<p hidden>x</p><p>y</p>")] == ["", "", "plain text", "", "", "y"]
+    around = "<div class='page-with-header'><div class='overflow-hidden'><article><p>in</p><div class='share-bar'>x</div></article></div></div>"
+    assert html_text.main_text(around) == "in"
+    assert html_text.main_text("<article><p>text</p></article><div id='comments'><article><p>" + "me, too " * 9 + "</p></article></div>") == "text"
     assert html_text.main_text("<div>" * 3000 + "<p>deep</p>") == "deep"
 
 
