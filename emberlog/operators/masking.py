@@ -221,3 +221,24 @@ def random_scores(rows: DataFrame, key: str, at: str, seed: int = 0) -> DataFram
 def gap_masked(rows: DataFrame, chosen: Column, text: str, mask_token: str = "<*>") -> DataFrame:
     """Adds masked: the mask for chosen rows, else the text."""
     return rows.withColumn("masked", F.when(chosen, F.lit(mask_token)).otherwise(F.col(text)))
+
+
+def training_pairs(docs: DataFrame, sentences: str, key: str, masker: Masker | str, encode: Callable[[str], int], separator: int, sentence_max: int | None = None, seed: int = 0, mask_id: int = 1, ignored: int = -100) -> DataFrame:
+    """key, input_ids and labels of each document: masked tokens as ids, a separator after each sentence; what the mask hides
+    as labels, ignored for masks and separators. sentence_max: tokens of a sentence that count."""
+    mask_token = "\u0000mask"
+
+    def run(batches):
+        for batch in batches:
+            inputs, labels = [], []
+            for k, value in zip(batch[key], batch[sentences], strict=True):
+                parts = [list(s)[:sentence_max] for s in value] if value is not None else []
+                one = PRESETS[masker](seed=seed ^ (int(k) & 0x7FFFFFFF)) if isinstance(masker, str) else masker
+                one.mask_token = mask_token
+                code = lambda t, other: other if t == mask_token else encode(t)
+                inputs.append([i for s in one.mask(parts) for i in (*(code(t, mask_id) for t in s), separator)])
+                labels.append([i for s in one.antimask(parts) for i in (*(code(t, ignored) for t in s), ignored)])
+            yield pd.DataFrame({key: batch[key], "input_ids": inputs, "labels": labels})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, sentences).mapInPandas(run, f"{key} {kind}, input_ids array<int>, labels array<int>")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from emberlog.functions.patterns import PATTERNS, MiningSettings, masks
 from emberlog.functions.text import natural_key, stable_hash
 from emberlog.operators import cleaning, masking, metrics, sequences, structuring, templates, traces, vocabulary
+from emberlog.operators.windows import LogWindows
 from emberlog.plans.base import entries, query, table
+from emberlog.sources import sinks
 
 #: Log lines made of events, in SQL and as columns; every fifth line doesn't fit the format.
 GOOD_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO [' || (event_id % 4) || '] ' || event_type || ': took ' || value || ' ms ' || props"
@@ -388,3 +390,45 @@ def split_by_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(ids.alias("ids"))
     pieces = rows.select("o_custkey", F.posexplode(sequences.split_at(F.col("ids"), 3)).alias("piece", "part"))
     return pieces.select("o_custkey", "piece", F.array_join(F.col("part").cast("array<string>"), " ").alias("ids"))
+
+
+def _code(token: str) -> int:
+    return 10 + sum(token.encode()) % 5000
+
+
+@query()
+def tokenize_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = masking.training_pairs(_documents(spark, sf_dir), "sentences", "doc_id", "text-infilling", _code, separator=2, sentence_max=256, seed=3)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return out.select("doc_id", text("input_ids"), text("labels"), F.size(sequences.without_ignored(F.col("labels"))).alias("n_labels"))
+
+
+@query(f"""{PACK_SQL} SELECT p.conv_id, p.chunk FROM p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn GROUP BY p.conv_id, p.chunk HAVING sum(p.s) > 100 OR sum(p.s) FILTER (c.role = 'assistant') > 0""")
+def empty_reference_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = sequences.packed(_turns(spark, sf_dir), ["conv_id"], ["turn"], "size", 120)
+    out = sequences.labelled_chunks(chunks, ["conv_id"], ["turn"], "words", F.col("role") == "assistant")
+    return sequences.kept_references(out, "train_only", F.size("input_ids") > 100).select("conv_id", "chunk")
+
+
+@query("SELECT c_custkey, round(exp(c_acctbal / 2000), 6) AS perplexity, CASE WHEN c_nationkey > 0 THEN round(c_custkey / c_nationkey, 6) END AS per_second FROM customer")
+def derived_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", F.round(metrics.perplexity(F.col("c_acctbal") / 2000), 6).alias("perplexity"), F.round(metrics.throughput(F.col("c_custkey"), F.col("c_nationkey")), 6).alias("per_second"))
+
+
+@query("""WITH s AS (SELECT o_custkey, string_agg((o_orderkey % 7)::VARCHAR, '' ORDER BY o_orderkey) AS s FROM orders GROUP BY o_custkey)
+SELECT o_custkey, array_to_string(regexp_extract_all(s, '3[^35]*5?'), ' ') AS runs FROM s""")
+def decode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: (x % 7).cast("int"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(ids.alias("ids"))
+    runs = F.transform(sequences.between(F.col("ids"), 3, 5), lambda r: F.array_join(r.cast("array<string>"), ""))
+    return rows.select("o_custkey", F.array_join(runs, " ").alias("runs"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, max(i) FILTER (event_type = 'error') AS last FROM e GROUP BY user_id) SELECT e.user_id, string_agg(event_type, chr(10) ORDER BY i) || chr(10) AS value FROM e JOIN r ON r.user_id = e.user_id WHERE e.i >= coalesce(r.last, 1) GROUP BY e.user_id""")
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = LogWindows(partition_patterns=("error",)).build(entries(spark, sf_dir))
+    last = parts.groupBy("instance").agg(F.max("partition_id").alias("partition_id"))
+    rows = parts.join(last, ["instance", "partition_id"]).groupBy("instance").agg(F.sort_array(F.collect_list(F.struct("pos", "component"))).alias("l"))
+    return rows.select(F.col("instance").alias("user_id"), sinks.block(F.transform("l", lambda x: x["component"])).alias("value"))

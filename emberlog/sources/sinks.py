@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,15 @@ def write_dataset(entries: DataFrame, event_types: DataFrame, instances: DataFra
     entries.repartition("instance").sortWithinPartitions("instance", "pos").write.mode(mode).partitionBy("instance").parquet(f"{path}/entries")
 
 
-def text_blocks(df: DataFrame, lines: str) -> DataFrame:
-    """value: the filled lines (array<string>) of each row, stripped, a blank line after the block."""
+def block(lines: Column) -> Column:
+    """The filled lines, stripped, and a blank line after them."""
     stripped = F.transform(lines, lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", ""))
-    return df.select(F.concat(F.array_join(F.filter(stripped, lambda x: x != ""), "\n"), F.lit("\n")).alias("value"))
+    return F.concat(F.array_join(F.filter(stripped, lambda x: x != ""), "\n"), F.lit("\n"))
+
+
+def text_blocks(df: DataFrame, lines: str) -> DataFrame:
+    """value: the lines (array<string>) of each row as a block."""
+    return df.select(block(F.col(lines)).alias("value"))
 
 
 def write_text_blocks(df: DataFrame, lines: str, path: str, mode: str = "errorifexists") -> None:
