@@ -7,11 +7,12 @@ plain columns.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.patterns import PATTERNS, PRESETS, Mask, MiningSettings
@@ -101,21 +102,31 @@ class TemplateTree:
         return self._nearest(self._lengths.get(len(tokens), ()), tokens, 1.0, True) if at is None else at
 
 
-def parameters_of(template: str, message: str, masks: Sequence[Mask]) -> list[tuple[str, str]]:
-    """(value, mask) of each place of the template in the unmasked message."""
+@functools.lru_cache(maxsize=10_000)
+def _patterns(template: str, masks: tuple[Mask, ...]) -> tuple[tuple[str, ...], list[re.Pattern]]:
+    """The masks of a template's places, and patterns with a group for each: by the masks' own patterns, and by anything."""
     named: dict[str, list[str]] = {}
     for name, pattern in masks:
         named.setdefault(name, []).append(pattern)
-    for loose in (False, True):  # a mask's own pattern first; anything where that fails
-        built, names, last = "", [], 0
-        for m in _PLACE.finditer(template):
+    names = tuple(m[1] for m in _PLACE.finditer(template))
+    out = []
+    for loose in (False, True):
+        built, last = "", 0
+        for i, m in enumerate(_PLACE.finditer(template)):
             built += re.sub(r"(?:\\ |\s)+", r"\\s+", re.escape(template[last : m.start()]))
             options = ["(?:" + p.lstrip("^") + ")" for p in named.get(m[1], [])]
-            built += f"(?P<p{len(names)}>{'|'.join(options) if options and not loose else '.+?'})"
-            names.append(m[1])
+            built += f"(?P<p{i}>{'|'.join(options) if options and not loose else '.+?'})"
             last = m.end()
         built += re.sub(r"(?:\\ |\s)+", r"\\s+", re.escape(template[last:]))
-        found = re.fullmatch(r"\s*" + built + r"\s*", message, re.S)
+        out.append(re.compile(r"\s*" + built + r"\s*", re.S))
+    return names, out
+
+
+def parameters_of(template: str, message: str, masks: Sequence[Mask]) -> list[tuple[str, str]]:
+    """(value, mask) of each place of the template in the unmasked message."""
+    names, patterns = _patterns(template, tuple(masks))
+    for pattern in patterns:
+        found = pattern.fullmatch(message)
         if found:
             return [(found[f"p{i}"], name) for i, name in enumerate(names)]
     return []
@@ -162,6 +173,39 @@ def mine_templates(entries: DataFrame, settings: MiningSettings | str = "hadoop"
     return entries.select(*columns).groupBy(component).applyInPandas(mine, schema)
 
 
+def mine_distinct(entries: DataFrame, settings: MiningSettings | str = "hadoop", component: str = "component", order: Sequence[str] = ("pos",), message: str = "message", keep: Sequence[str] = ()) -> DataFrame:
+    """As mine_templates(), for components of any size: trees learn from the different masked messages of a component, in the
+    order of their first places, and all rows get their template in a join.
+
+    A message that comes again doesn't widen templates further, so templates can be narrower than those of mine_templates().
+    """
+    settings = PRESETS[settings] if isinstance(settings, str) else settings
+    columns = list(dict.fromkeys([component, *order, *keep, message]))
+    rows = entries.select(*columns).withColumn("__masked", masked(F.coalesce(F.col(message), F.lit("")), settings.masks))
+    firsts = rows.groupBy(component, "__masked").agg(F.min(F.struct(*order)).alias("__first"))
+    name, kind = entries.schema[component].name, entries.schema[component].dataType.simpleString()
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__rank", kind="stable")
+        tree = TemplateTree(settings.similarity, settings.depth)
+        for text in group["__masked"]:
+            tree.learn(text)
+        events = [tree.match(text) or 0 for text in group["__masked"]]
+        return pd.DataFrame({name: group[component], "__masked": group["__masked"], "event": [e + 1 for e in events], "template": [" ".join(tree.templates[e]) for e in events]})
+
+    ranked = firsts.withColumn("__rank", F.row_number().over(Window.partitionBy(component).orderBy("__first"))).drop("__first")
+    known = ranked.groupBy(component).applyInPandas(learn, f"`{name}` {kind}, __masked string, event long, template string")
+    joined = rows.join(known, [component, "__masked"]).drop("__masked")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema)
+
+    def fill(batches):
+        for batch in batches:
+            found = [parameters_of(t, m or "", settings.masks) for t, m in zip(batch["template"], batch[message], strict=True)]
+            yield batch.assign(parameters=[[{"value": v, "mask": n} for v, n in p] for p in found])
+
+    return joined.mapInPandas(fill, f"{kinds}, parameters array<struct<value: string, mask: string>>")
+
+
 def event_dictionary(mined: DataFrame, component: str = "component") -> DataFrame:
     return mined.select(component, "event", "template").distinct()
 
@@ -205,4 +249,4 @@ def with_simplified_message(mined: DataFrame, into: str = "simplified") -> DataF
     return mined.withColumn(into, reconstruct(F.col("template"), F.transform("parameters", lambda p: simplified(p["value"], p["mask"]))))
 
 
-__all__ = ["PATTERNS", "TemplateTree", "event_dictionary", "masked", "mine_messages", "mine_templates", "parameters_of", "reconstruct", "simplified", "with_simplified_message"]
+__all__ = ["PATTERNS", "TemplateTree", "event_dictionary", "masked", "mine_distinct", "mine_messages", "mine_templates", "parameters_of", "reconstruct", "simplified", "with_simplified_message"]

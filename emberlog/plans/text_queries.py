@@ -98,6 +98,12 @@ def reconstruct_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.select("event_id", templates.reconstruct(F.col("template"), F.transform("parameters", lambda p: p["value"])).alias("message"))
 
 
+@query("SELECT event_id, event_type || ' ' || props AS message, event_type || ' {\"k\": <number>}' AS template FROM events")
+def mine_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = templates.mine_distinct(entries(spark, sf_dir), SETTINGS, order=["instance", "pos"], keep=["event_id"])
+    return mined.select("event_id", templates.reconstruct(F.col("template"), F.transform("parameters", lambda p: p["value"])).alias("message"), "template")
+
+
 @query("SELECT DISTINCT event_type AS component, 1::BIGINT AS event, event_type || ' {\"k\": <number>}' AS template FROM events")
 def event_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.event_dictionary(templates.mine_templates(entries(spark, sf_dir), SETTINGS, order=["instance", "pos"]))

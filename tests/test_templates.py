@@ -56,6 +56,13 @@ def test_columns_mine_and_rebuild(spark):
     assert mined.agg(F.min("event")).first()[0] == 1
 
 
+def test_distinct_mining_rebuilds(spark):
+    rows = spark.createDataFrame([("a", i, m) for i, m in enumerate(MESSAGES * 3)], "component string, pos long, message string")
+    mined = templates.mine_distinct(rows, MiningSettings(0.1, 3))
+    rebuilt = mined.select("message", templates.reconstruct(F.col("template"), F.transform("parameters", lambda p: p["value"])).alias("again"))
+    assert rebuilt.count() == 3 * len(MESSAGES) and rebuilt.filter("message <> again").count() == 0
+
+
 def test_ids_start_anew_in_each_component(spark):
     rows = spark.createDataFrame([("a", 1, "x y"), ("b", 1, "p q"), ("b", 2, "r s t")], "component string, pos long, message string")
     ids = {(r["component"], r["event"]) for r in templates.mine_templates(rows, MiningSettings()).collect()}
