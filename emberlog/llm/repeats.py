@@ -35,6 +35,8 @@ from emberlog.llm.shingles import mixed, slices
 LENGTH, GRAM = 200, 48
 #: Bytes of text whose hashes a task holds at once, and bytes of fragments in a shard on average.
 CHUNK_BYTES, SHARD_BYTES = 1 << 19, 2 << 20
+#: Anchors with more different fragments than this tell their fragments apart by further anchors.
+CROWD = 4096
 #: Ids are broadcast to pick texts if they are at most so many; beyond that the texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64), 0x51ED270B) | np.uint64(1)
@@ -120,18 +122,38 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, whole, t)] + [pa.array(first, pa.int64()), pa.array(count, pa.int32())], ["anchor", "whole", "t", "first", "n"])
 
 
+def further_anchors(data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, number, key) of runs of strings in a fragment's bytes that have the same two further anchors; equal strings
+    have equal keys."""
+    width = LENGTH - GRAM + 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _UP[: len(data)], dtype=np.uint64)])
+    grams = (sums[GRAM:] - sums[:-GRAM]) * _DOWN[: len(data) - GRAM + 1]
+    places, key = [], np.zeros(len(data) - LENGTH + 1, np.uint64)
+    for salt in (0x2545F491, 0x4F6CDD1D):
+        hashes = mixed(grams, salt)
+        packed = hashes >> np.uint64(24) << np.uint64(24) | np.arange(len(grams), dtype=np.uint64)
+        at = (_windows(packed, width) & np.uint64(0xFFFFFF)).astype(np.int64)
+        places.append(at)
+        key = mixed(key + hashes[at], salt)
+    cuts = np.flatnonzero((places[0][1:] != places[0][:-1]) | (places[1][1:] != places[1][:-1])) + 1
+    starts = np.concatenate([[0], cuts])
+    return list(zip(starts.tolist(), np.diff(np.append(starts, len(key))).tolist(), key[starts].view(np.int64).tolist(), strict=True))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text and its wanted fragments to anchor, whole, bytes."""
+    """text and its wanted fragments to their bytes: those of crowded anchors in parts. grouped: by what they go to shards."""
+    names = ["anchor", "whole", "offset", "grouped", "bytes"]
     for batch in batches:
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             data = (text.as_py() or "").encode()
-            rows = wanted.as_py()
+            rows = []
+            for r in wanted.as_py():
+                blob = data[r["first"] : r["first"] + r["n"] + LENGTH - 1]
+                parts = further_anchors(np.frombuffer(blob, np.uint8)) if r["crowded"] else [(0, r["n"], 0)]
+                rows += [(r["anchor"], r["whole"], at, r["anchor"] ^ key, blob[at : at + n + LENGTH - 1]) for at, n, key in parts]
             for at in range(0, len(rows), 5000):
-                part = rows[at : at + 5000]
-                blobs = [data[r["first"] : r["first"] + r["n"] + LENGTH - 1] for r in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["anchor"] for r in part], pa.int64()), pa.array([r["whole"] for r in part], pa.int64()), pa.array(blobs, pa.binary())], ["anchor", "whole", "bytes"]
-                )
+                columns = list(zip(*rows[at : at + 5000], strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names)
 
 
 def repeated_in(parts: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -177,10 +199,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _sorted_shard(table: pa.Table) -> pa.Table:
-    parts: dict[tuple[int, int], bytes] = {}
-    for a, w, b in zip(*(table.column(c).to_pylist() for c in ("anchor", "whole", "bytes")), strict=True):
-        parts[a, w] = b
-    rows = [(a, w, lo, hi) for (a, w), spans in zip(parts, repeated_in(list(parts.values())), strict=True) for lo, hi in spans]
+    parts: dict[tuple[int, int, int], bytes] = {}
+    for a, w, o, b in zip(*(table.column(c).to_pylist() for c in ("anchor", "whole", "offset", "bytes")), strict=True):
+        parts[a, w, o] = b
+    rows = [(a, w, o + lo, o + hi) for (a, w, o), spans in zip(parts, repeated_in(list(parts.values())), strict=True) for lo, hi in spans]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
     released()
     return pa.table([pa.array(c, pa.int64()) for c in columns], ["anchor", "whole", "lo", "hi"])
@@ -194,15 +216,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     least, most = F.min("whole").over(anchors), F.max("whole").over(anchors)
     met = by_anchor.withColumns({"mixed": least != most, "copies": F.count(F.lit(1)).over(wholes)}).filter(F.col("mixed") | (F.col("copies") > 1))
     rank = F.row_number().over(wholes.orderBy("t", "first"))
-    met = saved(met.withColumn("fetch", F.col("mixed") & (rank == 1)))
+    met = met.withColumn("fetch", F.col("mixed") & (rank == 1))
+    met = saved(met.withColumn("crowded", F.sum(F.col("fetch").cast("int")).over(anchors) > CROWD))
 
     settled = met.filter(F.col("copies") > 1).select("t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + LENGTH - 1).alias("hi"))
     fetch = met.filter("fetch")
     shards = max(1, -(-fetch.count() * (LENGTH + 80) // SHARD_BYTES))
-    wanted = saved(fetch.groupBy("t").agg(F.collect_list(F.struct("anchor", "whole", "first", "n")).alias("wanted")))
+    wanted = saved(fetch.groupBy("t").agg(F.collect_list(F.struct("anchor", "whole", "first", "n", "crowded")).alias("wanted")))
     texts = picked(docs, wanted.select("t"))
-    pieces = texts.join(wanted, "t").select("text", "wanted").mapInArrow(tidy(_cut), "anchor long, whole long, bytes binary")
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
+    pieces = texts.join(wanted, "t").select("text", "wanted").mapInArrow(tidy(_cut), "anchor long, whole long, offset long, grouped long, bytes binary")
+    shard = F.pmod(F.xxhash64("grouped"), F.lit(shards)).cast("int")
     covers = pieces.groupBy(shard.alias("shard")).applyInArrow(_sorted_shard, "anchor long, whole long, lo long, hi long")
     lone = met.filter(F.col("mixed") & (F.col("copies") == 1)).select("anchor", "whole", "t", "first")
     edges = lone.join(covers, ["anchor", "whole"]).select("t", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))

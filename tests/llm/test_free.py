@@ -120,7 +120,9 @@ def _repeats(texts):
     return out
 
 
-def test_repeats(spark, saved_docs):
+@pytest.mark.parametrize("crowd", [0, 4096])
+def test_repeats(spark, saved_docs, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rng = random.Random(8)
     part = " ".join(_words(rng, 60))
     exact = part[:200]
