@@ -33,7 +33,7 @@ def structure(
 ) -> DataFrame:
     """Entries of all lines that fit; lines: file, line_no, line.
 
-    on_error: 'abort' fails on the first line that doesn't fit; 'skip' leaves such lines out; 'append' joins them (stripped),
+    on_error: 'abort' fails on a line that doesn't fit (the first that any task meets); 'skip' leaves such lines out; 'append' joins them (stripped),
     each after a separator, to the field append_to of the last entry before them in their file, and fails if there is none.
     """
     parsed = parse(lines, log_format, line)
