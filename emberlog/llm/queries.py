@@ -143,7 +143,8 @@ def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    hits = decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return hits.withColumn("score", F.round("score", 6))
 
 
 @query
@@ -217,3 +218,28 @@ FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN f ON f.doc_id = t.doc_id
 
 
 ORACLE_SQL["op9_diagonal_licenses"] = _license_sql()
+
+
+ORACLE_SQL["op3_block_max_wand"] = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(x, '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM low),
+cut AS (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM benchmark),
+sentences AS (SELECT item_id, x, list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)),
+  lambda s: regexp_extract_all(s, '[0-9a-z\x{80}-\x{10FFFF}]+')), lambda s: len(s) > 0) AS s FROM cut),
+it AS (SELECT item_id, flatten(s) AS w, CASE WHEN len(s) < 2 THEN flatten(s) ELSE flatten(s[1:len(s) - 1]) END AS qw, CASE WHEN len(s) < 2 THEN [] ELSE s[len(s)] END AS aw FROM sentences WHERE len(s) > 0),
+n AS (SELECT count(*) AS n, avg(len(w)) AS average, max(len(w)) AS stride FROM it),
+tf AS (SELECT item_id, word, count(*) AS tf FROM (SELECT item_id, unnest(w) AS word FROM it) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+raw AS (SELECT tf.item_id, tf.word, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(it.w) / average)) AS x FROM tf JOIN df ON df.word = tf.word JOIN it ON it.item_id = tf.item_id, n),
+weights AS (SELECT *, x / sum(x) OVER (PARTITION BY item_id) AS weight FROM raw),
+win AS (SELECT doc_id, k, w[k * stride + 1:k * stride + 2 * stride] AS w FROM (SELECT doc_id, w, stride, unnest(generate_series(0, greatest(-(-len(w) // stride), 1) - 1)) AS k FROM d, n)),
+terms AS (SELECT DISTINCT doc_id, k, word FROM (SELECT doc_id, k, unnest(w) AS word FROM win)),
+scored AS (SELECT doc_id, k, item_id, sum(weight) AS score FROM terms JOIN weights ON weights.word = terms.word GROUP BY ALL HAVING sum(weight) >= 0.5),
+parts AS (SELECT item_id, 'i' AS part, w FROM it UNION ALL SELECT item_id, 'q', qw FROM it UNION ALL SELECT item_id, 'a', aw FROM it WHERE len(aw) > 0),
+grams AS (SELECT DISTINCT item_id, part, ' ' || array_to_string(w[i:i + least(len(w), 5) - 1], ' ') || ' ' AS g FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM parts)),
+found AS (SELECT s.doc_id, s.k, s.item_id, part, avg(contains(' ' || array_to_string(win.w, ' ') || ' ', g)::INT) AS share FROM scored s JOIN win ON win.doc_id = s.doc_id AND win.k = s.k JOIN grams ON grams.item_id = s.item_id GROUP BY ALL),
+shares AS (SELECT doc_id, k, item_id, max(share) FILTER (part = 'i') AS whole, max(share) FILTER (part = 'q') AS question, coalesce(max(share) FILTER (part = 'a'), 1.0) AS answer FROM found GROUP BY ALL),
+hits AS (SELECT h.doc_id, h.item_id, round(score, 6) AS score, question, answer FROM shares h JOIN scored s ON s.doc_id = h.doc_id AND s.k = h.k AND s.item_id = h.item_id WHERE whole >= 0.8 OR least(question, answer) >= 0.8)
+SELECT doc_id, item_id, score, question AS question_overlap, answer AS answer_overlap
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, question DESC, answer DESC) AS r FROM hits) WHERE r = 1
+"""
