@@ -243,3 +243,12 @@ hits AS (SELECT h.doc_id, h.item_id, round(score, 6) AS score, question, answer
 SELECT doc_id, item_id, score, question AS question_overlap, answer AS answer_overlap
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, question DESC, answer DESC) AS r FROM hits) WHERE r = 1
 """
+
+
+#: For pages whose one article has headings, paragraphs, bold text and breaks only, as the given ones have.
+ORACLE_SQL["op10_tree_scoring"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(?:p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(replace(regexp_replace(regexp_replace(x, '&quot;', '"', 'g'), '&amp;?', chr(1), 'g'), chr(1), '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, len(text)::BIGINT AS n_chars FROM c
+"""
