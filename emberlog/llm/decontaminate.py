@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.memory import tidy
+from emberlog.llm.memory import small_batches, tidy
 from emberlog.llm.shingles import slices
 
 K1, B = 1.2, 0.75
@@ -229,6 +229,7 @@ def _searcher(items):
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item found in it: key, item_id, score (1 or more for a whole copy), question_overlap,
     answer_overlap (shares of their shingles; an answer without words counts as found)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).orderBy("id", "text")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.memory import small_batches
+
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
@@ -273,4 +275,5 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 
 def extract(df: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """df with the main text of each page."""
+    small_batches(df.sparkSession)
     return df.withColumn(into, F.pandas_udf(_main_texts, "string")(F.col(html)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
-from emberlog.llm.memory import tidy
+from emberlog.llm.memory import small_batches, tidy
 from emberlog.llm.scratch import dropped, saved
 from emberlog.llm.shingles import mixed, shingle_sets, slices
 
@@ -280,6 +280,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     percent: pairs link when 100 * shared shingles >= percent * shingles of either.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     least = percent / 100 - MARGIN
     signed = saved(docs.mapInArrow(tidy(_signed(k)), "key long, n long, id long, check long, signature binary"))

@@ -26,13 +26,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from emberlog.llm.memory import tidy
+from emberlog.llm.memory import small_batches, tidy
 
 CAPACITY = 2048
 #: A block ends at so many tokens or texts of so many bytes; text is tokenized in slices of SLICE_BYTES.
 BLOCK_TOKENS, SLICE_BYTES = 2_000_000, 4 << 20
 #: At so many words, the tokenizer's cache keeps those used more than once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: So many sequences of lowest cost are tried before a document is cut.
 TRIES = 8
 END_ID = 1
@@ -245,6 +245,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     doc_tokens (with end_id), sequence_id and offset (its place there, gapless from 0). tokenizer: a file's path on the workers."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     field = df.schema[key]
     run = _packer(tokenizer, capacity, end_id, to_arrow_type(field.dataType), linear, quadratic)
     slim = df.select(df[key].alias("__key"), df[text].alias("__text"))

@@ -70,9 +70,9 @@ def n_repeat_words(words: Column) -> Column:
     return let(words, count)
 
 
-def base_rules(text: Column) -> list[Rule]:
-    """Too short, or half of the words inside repeated windows."""
-    words = words_of(text)
+def base_rules(text: Column, words: Column | None = None) -> list[Rule]:
+    """Too short, or half of the words inside repeated windows. words: of the text, where they are split anyway."""
+    words = words_of(text) if words is None else words
     return [
         Rule("few_words", F.size(words) < 50),
         Rule("repeats", let(words, lambda w: 100 * n_repeat_words(w) > 50 * F.size(w))),
@@ -133,10 +133,17 @@ def cascade(df: DataFrame, rules: list[Rule] | None = None, text: str = "text",
     return df.withColumn("rejected_by", first_rejection(ordered)).withColumn("kept", F.col("rejected_by").isNull())
 
 
-def keep(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of df, as they are, that no rule rejects."""
-    rules = base_rules(F.col(text)) + method_rules(F.col(text)) if rules is None else rules
-    return df.filter(first_rejection(order_rules(df, rules, text, sample_rows)).isNull())
+def keep(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of df, as they are, that no base or method rule rejects; all rules share one split into words."""
+    t = F.col(text)
+    order = [r.name for r in order_rules(df, base_rules(t) + method_rules(t), text, sample_rows)]
+
+    def kept(words: Column) -> Column:
+        known = {"n_words": F.size(words), "word_chars": F.length(F.array_join(words, ""))}
+        rules = sorted(base_rules(t, words) + method_rules(t, known), key=lambda r: order.index(r.name))
+        return first_rejection(rules).isNull()
+
+    return df.filter(let(words_of(t), kept))
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.induced import powers, running_hash, suffix_order
-from emberlog.llm.memory import released, tidy
+from emberlog.llm.memory import released, small_batches, tidy
 from emberlog.llm.scratch import dropped, saved
 from emberlog.llm.shingles import mixed, slices
 
@@ -255,6 +255,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: key, n_bytes, kept (binary, what is left) and removed (array of struct<lo, hi>, bytes)."""
+    small_batches(df.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("key"), whole.alias("text"), F.xxhash64(whole).alias("t"), F.octet_length(whole).cast("long").alias("n"))
     copies = docs.filter(F.col("n") >= LENGTH).groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t")
