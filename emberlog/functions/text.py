@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,3 +45,8 @@ def natural_key(c: Column, width: int = 20) -> Column:
 def case_words(c: Column) -> Column:
     """A token split where case changes: 'parseHTTPHeader' to parse, HTTP, Header."""
     return F.split(c, r"(?<!^)(?<![A-Z])(?=[A-Z])|(?<!^)(?=[A-Z][a-z])")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once even where body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

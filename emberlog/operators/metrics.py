@@ -10,12 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.text import bound
 from emberlog.operators.vocabulary import tokens
 
 
 def ngrams(words: Column, n: int) -> Column:
     """array<string>: n words each, joined by a space."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, of)
 
 
 def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int = 1) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.text import bound
+
 LABEL_PAD = -100
 
 
@@ -80,12 +82,20 @@ def flatten_sentences(sentences: Column, separator: Column) -> Column:
 
 def split_at(ids: Column, token: int, at_end: bool = False) -> Column:
     """Pieces of ids, cut before each token (or after it)."""
-    n = F.size(ids)
-    cuts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(ids, i) == token)
-    starts = F.concat(F.array(F.lit(1)), F.transform(cuts, lambda i: i + 1 if at_end else i))
-    starts = F.filter(F.array_distinct(starts), lambda i: i <= n)
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
-    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.slice(ids, a, b - a))).otherwise(F.array().cast("array<array<int>>"))
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        cuts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(x, i) == token)
+        starts = F.concat(F.array(F.lit(1)), F.transform(cuts, lambda i: i + 1 if at_end else i))
+        starts = F.filter(F.array_distinct(starts), lambda i: i <= n)
+
+        def pieces(s: Column) -> Column:
+            ends = F.concat(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.array(n + 1))
+            return F.zip_with(s, ends, lambda a, b: F.slice(x, a, b - a))
+
+        return F.when(n > 0, bound(starts, pieces)).otherwise(F.array().cast("array<array<int>>"))
+
+    return bound(ids, of)
 
 
 def between(ids: Column, begin: int, end: int) -> Column:
