@@ -68,7 +68,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         elif size:
             x = np.uint64(size)
             for w in words[b : b + size]:
-                x = mixed(np.array([x + w], np.uint64), 0x5BD1E995)[0]
+                x = mixed(np.array([x], np.uint64) + w, 0x5BD1E995)[0]
             sets.append(np.array([x], np.uint64))
         else:
             sets.append(np.empty(0, np.uint64))
