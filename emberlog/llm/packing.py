@@ -30,9 +30,9 @@ from emberlog.llm.memory import small_batches, tidy
 
 CAPACITY = 2048
 #: A block ends at so many tokens or texts of so many bytes; text is tokenized in slices of SLICE_BYTES.
-BLOCK_TOKENS, SLICE_BYTES = 2_000_000, 4 << 20
+BLOCK_TOKENS, SLICE_BYTES = 2_000_000, 8 << 20
 #: At so many words, the tokenizer's cache keeps those used more than once.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: So many sequences of lowest cost are tried before a document is cut.
 TRIES = 8
 END_ID = 1
