@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import decontaminate, minhash, packing, pii, quality
-from emberlog.llm.scratch import saved
+from emberlog.llm.scratch import ROW, dropped, numbered, saved
 
 #: Near duplicates: words in a shingle, and percent of shared shingles.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -27,13 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of least id; of rows that share that id, one."""
-    judged = saved(minhash.near_duplicates(docs, k=SHINGLE_WORDS, percent=PERCENT))
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group: the one of least id (null last), of rows that share that id the first. Rows are told apart by
+    ids of their own, so rows that only share a doc_id, or have none, are documents like all others."""
+    rows = numbered(docs)
+    judged = minhash.near_duplicates(rows, key=ROW, k=SHINGLE_WORDS, percent=PERCENT)
+    named = saved(judged.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "component_id", "doc_id"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW)).alias("first"))
+    gone = saved(named.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"))
+    dropped(named)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = not judged.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,10 +251,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return out.withColumnRenamed("doc_id", key)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", broadcast_ids: int = 4_000_000) -> DataFrame:
-    """docs without the documents that hold an item; their ids are broadcast if they are few enough, else shuffled."""
-    from emberlog.llm.scratch import saved
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", broadcast_ids: int = 4_000_000) -> DataFrame:
+    """docs without the rows whose text holds an item, whatever their keys; row ids are broadcast if they are few enough, else shuffled."""
+    from emberlog.llm.scratch import ROW, numbered, saved
 
-    hits = saved(contaminated(docs, benchmark, key, text).select(F.col(key).alias("__hit")).distinct())
+    rows = numbered(docs)
+    hits = saved(contaminated(rows, benchmark, ROW, text).select(ROW).distinct())
     few = hits.count() <= broadcast_ids
-    return docs.join(F.broadcast(hits) if few else hits, F.col(key) == F.col("__hit"), "left_anti")
+    return rows.join(F.broadcast(hits) if few else hits, ROW, "left_anti").select(*docs.columns)

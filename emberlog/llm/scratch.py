@@ -10,7 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A column of row ids.
+ROW = "__row"
 _written: list[str] = []
 
 
@@ -33,6 +36,11 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with ROW, an id of each row's own; it is written with the table, so all readers find the same."""
+    return saved(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -255,3 +255,19 @@ def test_pipeline(spark, saved_docs, tmp_path):
     assert kept[1] == kept[0] - {n + 6, n + 7}
     assert kept[2] == kept[1] - {n + 8} == kept[3] == kept[4]
     assert corpus_pipeline.run(spark, path).count() >= len(kept[4])
+
+
+def test_pipeline_of_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, d, e, f = (" ".join(_words(rng, 150)) for _ in range(6))
+    item = " ".join(_words(rng, 30)) + ". " + " ".join(_words(rng, 8)) + "."
+    held = c + " " + item
+    rows = [(None, a), (None, b), (None, held), (5, d), (5, e), (5, e), (5, held), (6, a + " tail"), (7, d), (None, f), (None, f + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    one_each = [(5, d), (5, e), (5, held), (6, a + " tail"), (None, b), (None, f)]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(one_each)
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()) == Counter(x for x in rows if x[1] != held)
