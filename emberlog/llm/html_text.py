@@ -2,9 +2,9 @@
 
 A page is read into a tree of its elements. Paragraph-like blocks pass points for their length and commas to their parent,
 half to the grandparent and less further up; a container's points are discounted by its share of text in links. The best
-container is taken (a page's best <article>, where it has any, else its <main>), with those of its siblings that score well
-or read like prose; within them, all
-that is marked as menu, header, footer, sidebar, notice, advert, form or reader comment goes, and all the rest stays in page
+container is taken, an <article> with a bonus (or the <article> or else the <main> around it), with those of its siblings
+that score well or read like prose; where all else on a page is a paragraph at most and has no heading, the <article> with the
+page's only <h1> is taken alone. Within them, all that is marked as menu, header, footer, sidebar, notice, advert, form or reader comment goes, and all the rest stays in page
 order.
 
 White space in a block becomes one space; blocks are joined by one space; character references are decoded. Null or empty
@@ -49,6 +49,8 @@ FIRM = frozenset("comment comments commentlist disqus respond replies reply disc
 WITH = frozenset("has with no without".split())
 UNSEEN = frozenset("hidden visually-hidden is-hidden sr-only screen-reader-text".split())
 LINKS_MOST = 0.33
+#: An article's points count so much more when containers are compared.
+ARTICLE = 1.5
 
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -236,6 +238,21 @@ def _outermost(node: _Node, tag: str) -> _Node:
     return found
 
 
+def _alone(root: _Node) -> _Node | None:
+    """The article with the page's only <h1>, if outside it there is one paragraph at most and no heading."""
+    seen = [n for n, leaving in _walk(root) if not leaving and not n.out]
+    titles = [n for n in seen if n.tag == "h1"]
+    article = _outermost(titles[0], "article") if len(titles) == 1 else None
+    if article is None or article.tag != "article":
+        return None
+    within = {id(n) for n, leaving in _walk(article) if not leaving}
+    outside = [n for n in seen if id(n) not in within and n.chars]
+    if any(n.tag in ("article", "h2", "h3", "h4", "h5", "h6") for n in outside):
+        return None
+    held = lambda n: any(isinstance(x, str) and x.strip() or not isinstance(x, str) and not x.out and x.tag not in BLOCK and x.chars for x in n.parts)
+    return article if sum(n.tag in BLOCK and held(n) for n in outside) <= 1 else None
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page; '' if it has none."""
     if not page:
@@ -244,19 +261,23 @@ def main_text(page: str | None) -> str:
     _settled(root)
     nodes = _scored(root)
     density = lambda n: n.linked / n.chars if n.chars else 0.0
-    worth = lambda n: n.score * (1 - density(n))
-    articles = [n for n, leaving in _walk(root) if not leaving and n.tag == "article" and n.chars and not n.out]
-    best = max(nodes, key=worth, default=None)
-    if articles:
-        kept = [_outermost(max(articles, key=lambda n: (worth(n), n.chars)), "article")]
+    worth = lambda n: n.score * (1 - density(n)) * (ARTICLE if n.tag == "article" else 1)
+    best, alone = max(nodes, key=worth, default=None), _alone(root)
+    if best is None:
+        articles = [n for n, leaving in _walk(root) if not leaving and n.tag == "article" and n.chars and not n.out]
+        best = max(articles, key=lambda n: n.chars, default=None)
+    least = 0.2 * worth(best) if best is not None else 0.0
+    if best is not None:
+        best = _outermost(best, "article")
+    if alone is not None:
+        kept = [alone]
     elif best is None:
         kept = [root]
-    elif _outermost(best, "main").tag == "main" and density(_outermost(best, "main")) <= LINKS_MOST:
+    elif best.tag != "article" and _outermost(best, "main").tag == "main" and density(_outermost(best, "main")) <= LINKS_MOST:
         kept = [_outermost(best, "main")]
     elif best.tag in ("body", "html") or best.parent is None:
         kept = [best]
     else:
-        least = 0.2 * worth(best)
         kept = [
             x
             for x in best.parent.parts

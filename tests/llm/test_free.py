@@ -226,6 +226,18 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "<p>deep</p>") == "deep"
 
 
+def test_articles_compete():
+    par = lambda x, n=4: "".join(f"<p>{x}{i}, a paragraph of some length, with commas, and words.</p>" for i in range(n))
+    said = lambda x, n=4: " ".join(f"{x}{i}, a paragraph of some length, with commas, and words." for i in range(n))
+    teaser = "<article><h2>Other</h2><p>Read on.</p></article>"
+    assert html_text.main_text(f"<body><div>{par('b')}</div><div>{teaser}</div></body>") == said("b")
+    titled = "<article><h1>Other</h1><p>Read on.</p></article>"
+    assert html_text.main_text(f"<body><div>{titled}</div><div>{par('b')}</div></body>") == said("b")
+    assert html_text.main_text(f"<body><div><article>{par('a')}</article><article>{par('c')}</article></div></body>") == said("a") + " " + said("c")
+    assert html_text.main_text(f"<body><article><h1>T</h1>{par('a')}</article><article>{par('c', 3)}</article></body>") == "T " + said("a") + " " + said("c", 3)
+    assert html_text.main_text(f"<body><article><h1>T</h1><div>{par('a')}</div></article><div class='ad'>buy</div></body>") == "T " + said("a")
+
+
 def test_pages(spark, tmp_path):
     rows = [(1, "u", PAGE), (2, "u", None), (1, "u", PAGE)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
