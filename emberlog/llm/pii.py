@@ -44,13 +44,17 @@ SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 #: Kinds and patterns of the generators that the trees judge.
 LOOSE = {
-    "secret": r"(?i)(?<![a-z0-9_])[a-z_]{3,20}\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{16,128}[\"']?",
+    "secret": r"(?i)(?<![a-z0-9_])[a-z0-9_]{3,}+\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{16,}+[\"']?",
     "tel": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "email_spelled": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,32} ?[\[(]at[\])] ?[a-z0-9-]{2,32}(?: ?[\[(]dot[\])] ?[a-z]{2,10})+",
 }
+#: What a text must hold, as a pattern, for a kind that is searched in few texts.
+LOOSE_SIGN = {"email_spelled": r"[\[(][aA][tT][\])]", "ipv6": ":"}
+#: The start of a candidate that counts as its context, too: a name of any length, or so many code points.
+HEAD = r"^(?:[A-Za-z0-9_]{20,}|(?s:.{0,20}))"
 #: Words before a candidate that speak for it.
 CUES = "token|secret|key|passw|pwd|auth|phone|call|tel|mobile|fax|ssn|social|iban|account|bank|ipv6|address|host|mail|contact"
 
@@ -89,7 +93,7 @@ _SPAN = "array<struct<kind: string, start: int, end: int, text: string, before:
 
 
 def _matches(text: Column, kind: str, pattern: str, sign: str) -> Column:
-    """All leftmost matches that don't overlap, with their places in code points; nothing is searched without the sign."""
+    """All leftmost matches that don't overlap, with their places in code points; nothing is searched without the sign (a character, or a pattern)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(ms: Column) -> Column:
@@ -113,7 +117,7 @@ def _matches(text: Column, kind: str, pattern: str, sign: str) -> Column:
         return F.when(F.size(ms) == 0, F.array().cast(_SPAN)).otherwise(let(F.split(text, pattern, -1), of))
 
     none = F.array().cast(_SPAN)
-    return F.when(text.contains(sign), let(found, placed)).otherwise(none) if sign else let(found, placed)
+    return F.when(text.contains(sign) if len(sign) == 1 else text.rlike(sign), let(found, placed)).otherwise(none) if sign else let(found, placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -134,7 +138,7 @@ def _columns(s: Column) -> dict[str, Column]:
         "digits": F.length(digits).cast("double"),
         "length": F.length(s["text"]).cast("double"),
         "groups": F.size(F.split(s["text"], "[^A-Za-z0-9]+")).cast("double"),
-        "cue": F.concat(s["before"], F.substring(s["text"], 1, 20)).rlike(f"(?i){CUES}").cast("double"),
+        "cue": F.concat(s["before"], F.regexp_extract(s["text"], HEAD, 0)).rlike(f"(?i){CUES}").cast("double"),
         "varied": F.size(F.array_distinct(F.split(F.lower(s["text"]), ""))).cast("double"),
         "glued": s["after"].rlike("^[A-Za-z0-9]").cast("double"),
         "year": s["text"].rlike("(?:^|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|$)").cast("double"),
@@ -147,7 +151,7 @@ def _numbers(kind: str, text: str, before: str, after: str) -> dict[str, float]:
         "digits": float(len(re.sub("[^0-9]", "", text))),
         "length": float(len(text)),
         "groups": float(len(re.split("[^A-Za-z0-9]+", text))),
-        "cue": float(bool(re.search(CUES, before[-NEAR:] + text[:20], re.I))),
+        "cue": float(bool(re.search(CUES, before[-NEAR:] + re.match(HEAD, text)[0], re.I))),
         "varied": float(len(set(text.lower()))),
         "glued": float(bool(re.match("[A-Za-z0-9]", after))),
         "year": float(bool(re.search("(?:^|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|$)", text))),
@@ -167,8 +171,9 @@ def made_candidates(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str, s
         kind, good = list(LOOSE)[n % len(LOOSE)], rng.random() < 0.5
         before, after = rng.choice(plain), rng.choice([" and so", ".", "", "\n"])
         if kind == "secret":
-            name = rng.choice(["token", "secret", "api_key", "password", "auth", "TOKEN"]) if good else rng.choice(["title", "name", "page", "color", "class"])
-            value = rng.choice([hexes(40), hexes(32), letters(8) + digits(12)]) if good else rng.choice([letters(20), "a" * 20, letters(6) + "_" + letters(12), "-" * 20])
+            name = rng.choice(["token", "secret", "api_key", "password", "auth", "TOKEN", "oauth2_token", "aws_secret_access_key"]) if good else rng.choice(["title", "name", "page", "color", "class", "html5_title", "background_image_position"])
+            long = rng.randint(60, 600)
+            value = rng.choice([hexes(40), hexes(32), letters(8) + digits(12), hexes(long)]) if good else rng.choice([letters(20), "a" * 20, letters(6) + "_" + letters(12), "-" * 20, "-" * long, letters(long)])
             text = f'{name} {rng.choice("=:")} "{value}"'
         elif kind == "tel":
             text = f"({digits(3)}) {digits(3)}-{digits(4)}" if rng.random() < 0.5 else f"{digits(3)}-{digits(3)}-{digits(4)}"
@@ -207,8 +212,7 @@ def model(rows: int = TRAIN_ROWS) -> Boosted:
 def added_spans(text: Column, base: Column, boosted: Boosted | None = None) -> Column:
     """Candidates of the loose generators that the trees accept and no base span meets; of those that meet, the first stays."""
     boosted = boosted or model()
-    sign = {"email_spelled": "at", "ipv6": ":"}
-    found = F.concat(*[_matches(text, k, p, sign.get(k, "")) for k, p in LOOSE.items()])
+    found = F.concat(*[_matches(text, k, p, LOOSE_SIGN.get(k, "")) for k, p in LOOSE.items()])
     clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     taken = lambda s: let(F.struct(*[c.alias(k) for k, c in _columns(s).items()]), lambda f: boosted.accepts(lambda name: f[name]))
     chosen = F.filter(found, lambda s: clear(s) & taken(s))
@@ -219,8 +223,7 @@ def added_spans(text: Column, base: Column, boosted: Boosted | None = None) -> C
         F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<start: int, end: int, kind: string>>").alias("out")).cast(slim),
         lambda a, s: F.when(s["start"] >= a["last"], F.struct(s["end"].alias("last"), F.array_append(a["out"], s).alias("out")).cast(slim)).otherwise(a),
     )
-    some = text.rlike("[0-9]") | text.contains("at") | text.contains("=") | text.contains(":")
-    return F.when(some & text.rlike("[0-9]|[\\[(][aA][tT][\\])]|[=:]"), swept["out"]).otherwise(F.array().cast("array<struct<start: int, end: int, kind: string>>"))
+    return F.when(text.rlike("[0-9=:]|" + LOOSE_SIGN["email_spelled"]), swept["out"]).otherwise(F.array().cast("array<struct<start: int, end: int, kind: string>>"))
 
 
 def spans_of(text: Column, boosted: Boosted | None = None) -> Column:

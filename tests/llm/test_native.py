@@ -65,6 +65,22 @@ def test_redaction_keeps_the_rest(spark, docs_of):
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_any_length(spark, docs_of):
+    rng = random.Random(17)
+    value = lambda n: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/+") for _ in range(n))
+    texts = [
+        f"so aws_session_token={value(356)} end",
+        f"so aws_secret_access_key = {value(40)} end",
+        f'so oauth2_token: "{value(40)}" end',
+        f"so the_name_of_a_rather_long_application_token={value(5000)} end",
+        "WRITE TO SOMEBODY [AT] EXAMPLE [DOT] COM END",
+    ]
+    texts.append("a_1" * 50_000 + "=" + "x" * 50_000 + " " + "ab_=" * 20_000)
+    rows = {r.doc_id: r.text for r in pii.redact(docs_of(texts)).collect()}
+    assert [rows[i] for i in range(4)] == ["so <SECRET> end"] * 4
+    assert rows[4] == "WRITE TO <EMAIL_SPELLED> END"
+
+
 def test_boosted_trees_hold_out():
     made = pii.made_candidates(3000, seed=99)  # other candidates than those of the training
     table = [pii._numbers(*r[:4]) for r in made]
