@@ -15,10 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every neighbour of a node, and the node itself, on the least of them: the larger ones first, then the
     smaller ones, so chains shorten by half and more. Rows of a round: at most two for each link. Rounds end when nothing
-    moves. Hot nodes keep one partial minimum for each task; their neighbours meet it in a join that can be split.
+    moves; should labels still move after MAX_ROUNDS (2**50 nodes in a chain), it raises. Hot nodes keep one partial minimum for each task; their neighbours meet it in a join that can be split.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    last = None
+    last = settled = None
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,8 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
         mark = step.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         dropped(now)
         now = step
-        if mark == last:
+        settled = mark == last
+        if settled:
             break
         last = mark
+    if not settled:
+        raise RuntimeError(f"labels still move after {MAX_ROUNDS} rounds")
     ids = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return ids.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(ids.select("id"), "id", "left_anti"))

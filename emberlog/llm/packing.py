@@ -2,7 +2,7 @@
 
 A piece of n tokens costs linear * n + quadratic * n * n (attention stays inside a piece). Inside a block of documents, the
 number of sequences is known from the number of tokens, so all are opened at once; documents go in descending order to the
-sequence of lowest cost that has room, and one that fits nowhere whole is cut to fill the room there is. All sequences of a
+sequence of lowest cost that has room for all of it, and one that fits nowhere whole is cut to fill the room of the cheapest. All sequences of a
 block are full; what is left over fills sequences whose lengths are powers of two, so nothing is padded.
 
 Blocks are runs of a task's rows, bounded by BLOCK_TOKENS: texts are never shuffled, a task holds one block at a time, and a
@@ -33,8 +33,6 @@ CAPACITY = 2048
 BLOCK_TOKENS, SLICE_BYTES = 2_000_000, 8 << 20
 #: At so many words, the tokenizer's cache keeps those used more than once.
 CACHE_WORDS = 300_000
-#: So many sequences of lowest cost are tried before a document is cut.
-TRIES = 8
 END_ID = 1
 SEQUENCES_BITS = 36
 
@@ -147,35 +145,69 @@ def lengths_of(total: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * (total // capacity) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
+class _Rooms:
+    """Open sequences by the room they have: a heap of (cost, sequence) for each room, under a tree of the least of them."""
+
+    def __init__(self, capacity: int) -> None:
+        self._leaves = 1 << capacity.bit_length()
+        self._heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self._least: list[tuple[float, int, int]] = [_NONE] * (2 * self._leaves)
+
+    def _settle(self, room: int) -> None:
+        at, heap, tree = room + self._leaves, self._heaps[room], self._least
+        tree[at] = (*heap[0], room) if heap else _NONE
+        at >>= 1
+        while at:
+            a, b = tree[2 * at], tree[2 * at + 1]
+            best = a if a <= b else b
+            if tree[at] == best:
+                break
+            tree[at] = best
+            at >>= 1
+
+    def push(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self._heaps[room], (cost, sequence))
+        self._settle(room)
+
+    def pop(self, need: int) -> tuple[float, int] | None:
+        """The sequence of least cost that has room for need, or None."""
+        at = need + self._leaves
+        best = self._least[at]
+        while at > 1:
+            if not at & 1:
+                best = min(best, self._least[at + 1])
+            at >>= 1
+        if best[1] < 0:
+            return None
+        heapq.heappop(self._heaps[best[2]])
+        self._settle(best[2])
+        return best[:2]
+
+
+_NONE = (float("inf"), -1, -1)
+
+
 def assign(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1 / 512) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) for each piece; sizes: tokens of each document, in descending order."""
     rooms = lengths_of(int(sizes.sum()), capacity)
     full = int(sizes.sum()) // capacity
-    heap = [(0.0, s) for s in range(full)]
+    open_ = _Rooms(capacity)
+    for s in range(full):
+        open_.push(0.0, s, capacity)
     small = list(reversed(range(full, len(rooms))))
     used = [0] * len(rooms)
     for document, size in enumerate(sizes.tolist()):
         start = 0
         while start < size:
-            if heap:
-                passed = []
-                while len(passed) < TRIES and heap and rooms[heap[0][1]] - used[heap[0][1]] < min(size - start, capacity):
-                    passed.append(heapq.heappop(heap))
-                if heap and len(passed) < TRIES:
-                    cost, s = heapq.heappop(heap)
-                else:
-                    cost, s = passed.pop(0)
-                for x in passed:
-                    heapq.heappush(heap, x)
-            else:
-                cost, s = 0.0, small[-1]
+            found = open_.pop(min(size - start, capacity)) or open_.pop(1)
+            cost, s = found if found else (0.0, small[-1])
             n = min(size - start, rooms[s] - used[s])
             yield document, start, n, s, used[s]
             used[s] += n
             start += n
             if s < full:
                 if used[s] < rooms[s]:
-                    heapq.heappush(heap, (cost + linear * n + quadratic * n * n, s))
+                    open_.push(cost + linear * n + quadratic * n * n, s, rooms[s] - used[s])
             elif used[s] == rooms[s]:
                 small.pop()
 

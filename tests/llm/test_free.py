@@ -59,6 +59,23 @@ def test_assignment_balances_cost():
     assert np.mean(full) > 0.3 * max(full)
 
 
+def test_documents_are_cut_only_where_none_has_room():
+    for seed in range(6):
+        sizes = np.sort(np.random.default_rng(seed).integers(1, 2500, 600))[::-1]
+        total = int(sizes.sum())
+        room, cost, full = [2048] * (total // 2048), [0.0] * (total // 2048), total // 2048
+        for d, start, n, s, offset in packing.assign(sizes):
+            if s >= full:
+                assert not any(room)
+                continue
+            need = min(int(sizes[d]) - start, 2048)
+            able = [i for i in range(full) if room[i] >= need] or [i for i in range(full) if room[i]]
+            assert s == min(able, key=lambda i: (cost[i], i)) and offset == 2048 - room[s]
+            room[s] -= n
+            cost[s] += n + n * n / 512
+        assert not any(room)
+
+
 def test_decontamination(spark, docs_of):
     rng = random.Random(5)
     items = [(i, " ".join(_words(rng, rng.randint(12, 40))) + ". " + " ".join(_words(rng, 6)) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "the the the the")]
