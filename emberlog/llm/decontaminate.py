@@ -14,13 +14,15 @@ and its answer (the last sentence) apart, enough must stand in the window.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z in lower case. Null text counts as empty;
 items without words are never found; repeated items and documents are reported each for itself; empty tables give an empty
-table. Columns other than keys and texts don't pass through. The index is built in parts of PART_ITEMS items, which bounds
-what is sent to the executors; each part takes one pass over the texts.
+table. Columns other than keys and texts don't pass through.
+
+Document frequencies, the average length and the longest item are those of the whole benchmark. The index is built in parts of
+PART_ITEMS items, so a task holds one part at a time: texts are read and split into words once, in slices, and each slice
+meets the parts one after the other. The rows are the same for any size of a part.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.memory import small_batches, tidy
-from emberlog.llm.shingles import slices
+from emberlog.llm.scratch import ROW, dropped, numbered, saved
+from emberlog.llm.shingles import SLICE_BYTES, slices
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach.
@@ -77,21 +80,24 @@ def shingles(words: tuple | list, k: int = SHINGLE) -> set[tuple]:
 class Index:
     """Inverted lists of items with BM25 weights, their heavy part, and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        items = [(n, t) for n, t in items if words_of(t)]
-        self.ids = [n for n, _ in items]
+    def __init__(self, items: list[tuple[int, str]], known: Counter | dict | None = None, n: int = 0, average: float = 0.0, longest: int = 0) -> None:
+        """known: for each word, in how many items of the benchmark it stands; n, average and longest: how many items there are
+        and how many words they have. Without known, these are taken from items."""
+        items = [(i, t) for i, t in items if words_of(t)]
+        self.ids = [i for i, _ in items]
         texts = [words_of(t) for _, t in items]
+        if known is None:
+            known, n, average, longest = Counter(w for t in texts for w in set(t)), len(texts), sum(map(len, texts)) / max(len(texts), 1), max(map(len, texts), default=1)
         self.terms = sorted({w for t in texts for w in t})
         number = {w: i for i, w in enumerate(self.terms)}
         coded = [[number[w] for w in t] for t in texts]
-        frequency = Counter(w for t in coded for w in set(t))
-        average = sum(map(len, coded)) / max(len(coded), 1)
+        frequency = [known[w] for w in self.terms]
         rows = []
         for item, words in enumerate(coded):
             weights = {}
-            for w, n in Counter(words).items():
-                idf = np.log(1 + (len(coded) - frequency[w] + 0.5) / (frequency[w] + 0.5))
-                weights[w] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / average))
+            for w, here in Counter(words).items():
+                idf = np.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5))
+                weights[w] = idf * here * (K1 + 1) / (here + K1 * (1 - B + B * len(words) / average))
             whole, light = sum(weights.values()), 0.0
             for w, x in sorted(weights.items(), key=lambda p: (p[1], p[0])):
                 light += x / whole
@@ -110,7 +116,7 @@ class Index:
         self.block = np.array([b for _, b in blocks], np.int64)
         self.block_weight = np.array(list(blocks.values()))
         self.block_bounds = np.searchsorted(np.array([w for w, _ in blocks], np.int64), np.arange(len(self.terms) + 1))
-        self.stride = max(map(len, coded), default=1)
+        self.stride = max(longest, 1)
         self.parts = []
         for _, text in items:
             question, answer = question_and_answer(text)
@@ -192,69 +198,110 @@ def _candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> tuple[np
 _SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-@functools.lru_cache(maxsize=1)
-def _index(items: tuple[tuple[int, str], ...]) -> tuple[Index, pa.Array]:
-    index = Index(list(items))
-    return index, pa.array(index.terms, pa.large_string())
+_held: tuple[int, Index, pa.Array] | None = None  # the part that this worker met last
+
+
+def _index(part) -> tuple[Index, pa.Array]:
+    """The index of a broadcast part, kept until another one is asked for."""
+    global _held
+    if _held is None or _held[0] != part.id:
+        _held = None
+        rows, n, average, longest = part.value
+        known = {w: c for _, _, counts in rows for w, c in counts.items()}
+        index = Index([(i, t) for i, t, _ in rows], known, n, average, longest)
+        _held = (part.id, index, pa.array(index.terms, pa.large_string()))
+        part.unpersist_local()
+    return _held[1:]
+
+
+class _Part:
+    """A broadcast part; its rows leave the worker's memory once they are indexed."""
+
+    def __init__(self, broadcast, number: int) -> None:
+        self._broadcast, self.id = broadcast, number
+
+    @property
+    def value(self):
+        return self._broadcast.value
 
+    def unpersist_local(self) -> None:
+        self._broadcast.__dict__.pop("_value", None)
+
+
+def _searcher(parts: list[_Part]):
+    # With several parts, an index is built anew for each slice, so slices are larger.
+    most = SLICE_BYTES if len(parts) == 1 else 8 * SLICE_BYTES
 
-def _searcher(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, terms = _index(items.value)
-        for batch in batches if index.ids else ():
-            for at, texts in slices(batch.column(1)):
+        for batch in batches:
+            for at, texts in slices(batch.column(1), most):
                 lists = pc.ascii_split_whitespace(_spaced(texts))
                 flat = lists.flatten()
                 if not len(flat):
                     continue
                 offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 coded = flat.dictionary_encode()
-                known = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                words = known[coded.indices.to_numpy()]
                 filled = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(filled)])
-                words, bounds = words[filled], ends[offsets]
-                best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for text, start in zip(*(x.tolist() for x in _candidates(index, words, bounds)), strict=True):
-                    for item, hit in index.found(words[start : min(start + 2 * index.stride, int(bounds[text + 1]))]).items():
-                        best[text, item] = max(best.get((text, item), hit), hit)
-                if best:
-                    keys = batch.column(0).slice(at, len(texts)).cast(pa.int64()).take(pa.array([t for t, _ in best]))
-                    scores = [pa.array([v[i] for v in best.values()], pa.float64()) for i in range(3)]
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for _, i in best], pa.int64()), *scores], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                bounds = np.concatenate([[0], np.cumsum(filled)])[offsets]
+                indices = coded.indices.to_numpy()[filled]
+                for part in parts:
+                    index, terms = _index(part)
+                    if not index.ids:
+                        continue
+                    known = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    words = known[indices]
+                    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+                    for text, start in zip(*(x.tolist() for x in _candidates(index, words, bounds)), strict=True):
+                        for item, hit in index.found(words[start : min(start + 2 * index.stride, int(bounds[text + 1]))]).items():
+                            best[text, item] = max(best.get((text, item), hit), hit)
+                    if best:
+                        keys = batch.column(0).slice(at, len(texts)).cast(pa.int64()).take(pa.array([t for t, _ in best]))
+                        scores = [pa.array([v[i] for v in best.values()], pa.float64()) for i in range(3)]
+                        yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for _, i in best], pa.int64()), *scores], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text to id, text and the item's words."""
+    for batch in batches:
+        words = pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], ["id", "text", "words"])
+
+
+def _parts(benchmark: DataFrame) -> Iterator[tuple]:
+    """(rows, n, average, longest): rows are PART_ITEMS items (id, text, document frequency of its words); the rest is of all items."""
+    items = benchmark.mapInArrow(_counted, "id long, text string, words array<string>").filter(F.size("words") > 0).withColumn("at", F.monotonically_increasing_id())
+    items = saved(items)
+    n, average, longest = items.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    word = items.select("at", F.explode(F.array_distinct("words")).alias("word"))
+    counts = word.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    # A word of many items would fill one task of this join; AQE splits it, as it does any skewed join.
+    of_item = word.join(counts, "word").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("word", "c"))).alias("counts"))
+    rows = []
+    for row in items.select("at", "id", "text").join(of_item, "at").orderBy("id", "text").toLocalIterator():
+        rows.append((row["id"], row["text"], row["counts"]))
+        if len(rows) == PART_ITEMS:
+            yield rows, n, average, longest
+            rows = []
+    if rows or not n:
+        yield rows, n, average or 1.0, longest or 1
+    dropped(items)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item found in it: key, item_id, score (1 or more for a whole copy), question_overlap,
     answer_overlap (shares of their shingles; an answer without words counts as found)."""
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).orderBy("id", "text")
-    out, part = None, []
-
-    def search(rows: list) -> None:
-        nonlocal out
-        items = spark.sparkContext.broadcast(tuple(rows))
-        hits = slim.mapInArrow(tidy(_searcher(items)), _SCHEMA)
-        out = hits if out is None else out.unionByName(hits)
-
-    for row in ordered.toLocalIterator():
-        part.append((row["id"], row["text"] or ""))
-        if len(part) == PART_ITEMS:
-            search(part)
-            part = []
-    if part or out is None:
-        search(part)
-    return out.withColumnRenamed("doc_id", key)
+    items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text"))
+    parts = [context.broadcast(part) for part in _parts(items)]
+    return slim.mapInArrow(tidy(_searcher([_Part(b, b._jbroadcast.id()) for b in parts])), _SCHEMA).withColumnRenamed("doc_id", key)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", broadcast_ids: int = 4_000_000) -> DataFrame:
     """docs without the rows whose text holds an item, whatever their keys; row ids are broadcast if they are few enough, else shuffled."""
-    from emberlog.llm.scratch import ROW, numbered, saved
-
     rows = numbered(docs)
     hits = saved(contaminated(rows, benchmark, ROW, text).select(ROW).distinct())
     few = hits.count() <= broadcast_ids

@@ -76,6 +76,18 @@ def test_documents_are_cut_only_where_none_has_room():
         assert not any(room)
 
 
+def test_parts_of_the_index_change_nothing(spark, docs_of, monkeypatch):
+    rng = random.Random(15)
+    items = [(i, " ".join(_words(rng, rng.randint(6, 40), 30)) + ". " + " ".join(_words(rng, 4, 30)) + ".") for i in range(40)]
+    texts = [" ".join(_words(rng, 150, 30)) + " " + items[i][1] for i in range(0, 40, 3)] + ["none at all", None]
+    benchmark = spark.createDataFrame([*items, (3, items[3][1]), (None, items[4][1])], "item_id long, text string")
+    found = []
+    for most in (7, 20_000):
+        monkeypatch.setattr(decontaminate, "PART_ITEMS", most)
+        found.append(sorted(map(repr, decontaminate.contaminated(docs_of(texts), benchmark).collect())))
+    assert found[0] == found[1] and len(found[0]) >= 14
+
+
 def test_decontamination(spark, docs_of):
     rng = random.Random(5)
     items = [(i, " ".join(_words(rng, rng.randint(12, 40))) + ". " + " ".join(_words(rng, 6)) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "the the the the")]
