@@ -6,8 +6,12 @@ sorted by (region, further minima) in each order; neighbours there have the long
 resolved at their own, greater depth first. Links that hold on full sets join classes into components. Then each region that
 still holds more than one component is taken up at its least depth: all its pairs across components whose estimated
 similarity isn't clearly below the threshold are compared by samples of their sets (whole sets up to SAMPLE shingles), and
-those that link or may link are confirmed on full sets, too. A pair at the threshold shares no region with a
-probability of (1 - threshold**DEPTH)**TREES, under 1e-10 at 0.85; no partner or candidate is capped.
+those that link or may link are confirmed on full sets, too. No partner or candidate is capped. A pair at the threshold
+shares no region with a probability of (1 - threshold**DEPTH)**TREES: 5.6e-11 at 0.85, 4.8e-8 at 0.80. One that does is
+passed over, as its estimate from HASHES minima is too low, with a probability of at most LOST (see least_estimate()).
+
+A hot region - much text in common, or a large group of near copies - has one component that holds most of its rows after the
+first pass. Its rows are cut into blocks and stay there; only rows of other components go to all blocks of the region.
 
 Signatures, links and labels stay in tables; only counts reach the driver. Documents without words link with nothing. Null
 text counts as empty. Rows that share a key are documents of their own that bear the same name; rows without a key get no
@@ -16,6 +20,7 @@ component and are kept. An empty table gives an empty table. Columns other than
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +36,34 @@ from emberlog.llm.shingles import mixed, shingle_sets, slices
 HASHES, TREES, DEPTH = 128, 32, 4
 #: Orders whose neighbours are tried first.
 FIRST_TREES = 8
-#: A pair is confirmed when its estimate is at least the threshold less so much (5 standard deviations of it at 0.85).
-MARGIN = 0.16
+#: A pair at the threshold falls below the estimate that counts with this probability at most.
+LOST = 1e-9
 #: Of its neighbours, a representative tries so many of the best first; the second pass takes up all others.
 FIRST_TRIES = 2
 #: Shingles of a set that are compared in the second pass: all, or of a larger set this many to half as many.
 SAMPLE = 1024
-#: Rows of a region that one task takes up; larger regions are cut into blocks, and each pair of blocks is a task.
-REGION_ROWS = 20_000
+#: Rows of a region that one task takes up; larger regions are cut into blocks.
+REGION_ROWS = 1000
+#: Regions of more rows find their blocks by a broadcast.
+HOT_ROWS = 5000
 #: Ids are broadcast to pick texts if they are at most so many; beyond that the texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64), 0x1234567) | np.uint64(1)).astype(np.uint32)
 _B = mixed(np.arange(1, HASHES + 1, dtype=np.uint64), 0x89ABCDE).astype(np.uint32)
 
 
+def least_estimate(percent: int) -> float:
+    """The highest share of equal minima that a pair at the threshold misses with a probability of LOST at most: by the
+    binomial tail, as each of HASHES minima is equal with the probability of the similarity."""
+    p, tail, equal = percent / 100, 0.0, 0
+    while equal < HASHES:
+        tail += math.comb(HASHES, equal) * p**equal * (1 - p) ** (HASHES - equal)
+        if tail > LOST:
+            break
+        equal += 1
+    return equal / HASHES
+
+
 def signatures_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """HASHES 16-bit minima for each set; all ones for an empty set."""
     sizes = np.diff(bounds)
@@ -182,9 +201,11 @@ def _level(n: int) -> int:
 
 
 def _across(least: float, percent: int):
-    """One region's rows (block, id, component, n, signature, sample), or those of two of its blocks, to pairs across its components that link as far as samples
-    tell, each in the first order only where the two share a region. Components that a clear pair joins count as one from
-    then on, so a region gives few pairs more than it has components. Samples of small sets are whole."""
+    """One block of a region (rows of own: whether the row belongs to this block, main: to the region's largest component, id,
+    component, n, signature, sample) to pairs across components that link as far as samples tell, each in the first order
+    only where the two share a region. Pairs of rows outside the main component count in the block of either. Components that
+    a clear pair joins count as one from then on, so a block gives few pairs more than it has components. Samples of small
+    sets are whole."""
 
     def shares(i: int, rest: np.ndarray, n: np.ndarray, samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of i and each of rest: the least and the greatest similarity that the samples allow, and the likeliest."""
@@ -211,20 +232,17 @@ def _across(least: float, percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         region = table.column("region")[0].as_py()
-        across_blocks = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         id_, label, n = (table.column(c).to_numpy().copy() for c in ("id", "component", "n"))
+        own, main = (table.column(c).to_numpy() for c in ("own", "main"))
         signatures = _matrix(table.column("signature").chunk(0))
         samples = [np.frombuffer(x, np.uint32) for x in table.column("sample").to_pylist()]
-        kinds, sizes = np.unique(label, return_counts=True)
-        order = np.argsort(label == kinds[sizes.argmax()], kind="stable")  # the largest component comes last
-        id_, label, n, signatures, samples = id_[order], label[order], n[order], signatures[order], [samples[i] for i in order.tolist()]
-        block = table.column("block").to_numpy()[order]
+        order = np.argsort(main, kind="stable")  # the largest component comes last
+        id_, label, n, own, main, signatures, samples = id_[order], label[order], n[order], own[order], main[order], signatures[order], [samples[i] for i in order.tolist()]
         keys = _keys(signatures)
         tree = int(np.flatnonzero((keys == np.uint64(region % (1 << 64))).all(axis=0))[0])
         found: list[tuple[int, int]] = []
-        for i in range(int((table.column("component").to_numpy()[order] != kinds[sizes.argmax()]).sum())):
-            rest = np.flatnonzero((label[i + 1 :] != label[i]) & (percent * n[i + 1 :] <= 100 * n[i]) & (100 * n[i + 1 :] >= percent * n[i])) + i + 1
-            rest = rest[block[rest] != block[i]] if across_blocks else rest
+        for i in range(int((~main).sum())):
+            rest = np.flatnonzero((label[i + 1 :] != label[i]) & (percent * n[i + 1 :] <= 100 * n[i]) & (100 * n[i + 1 :] >= percent * n[i]) & (own[i + 1 :] | own[i])) + i + 1
             rest = rest[(signatures[rest] == signatures[i]).mean(axis=1) >= least]
             rest = rest[(keys[rest, :tree] != keys[i, :tree]).all(axis=1)]
             if not len(rest):
@@ -282,7 +300,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
     signed = saved(docs.mapInArrow(tidy(_signed(k)), "key long, n long, id long, check long, signature binary"))
     known = signed.filter(F.col("key").isNotNull() & (F.col("n") > 0))
     classes = saved(known.groupBy("id", "check", "n").agg(F.min("key").alias("rep"), F.first("signature").alias("signature")))
@@ -302,17 +320,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     labelled = saved(crowded.select("region", "id").join(merged, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component")))
     dropped(crowded)
-    open_ = labelled.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi")
-    open_ = open_.select("region", F.ceil(F.col("rows") / REGION_ROWS).cast("int").alias("blocks"))
-    open_rows = saved(labelled.join(open_, "region"))
+    kinds = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("rows"))
+    open_ = kinds.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", "rows").alias("most")).filter("kinds > 1")
+    open_ = saved(open_.select("region", F.ceil(F.col("rows") / REGION_ROWS).cast("int").alias("blocks"), "most", "rows"))
+    # Regions of many rows are few (each has HOT_ROWS at least), so their rows needn't meet in one task.
+    hot = open_.filter(F.col("rows") > HOT_ROWS)
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    calm = labelled.join(open_.filter(F.col("rows") <= HOT_ROWS), "region")
+    open_rows = saved(calm.unionByName(labelled.join(hot, "region")).drop("rows"))
     texts, ids = _texts_of(docs, classes, open_rows.select("id").distinct())
     samples = texts.mapInArrow(tidy(_sampled(k)), "id long, sample binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
     known = classes.select("id", "n", "signature").join(samples, "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = open_rows.withColumn("block", block).withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed_rows = other.withColumns({"lo": F.least("block", "__with"), "hi": F.greatest("block", "__with")})
-    members = placed_rows.join(known, "id").select("region", "lo", "hi", "block", "id", "component", "n", "signature", "sample")
-    second = saved(members.groupBy("region", "lo", "hi").applyInArrow(_across(least, percent), "a long, b long").join(first, ["a", "b"], "left_anti"))
+    home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed_rows = open_rows.select("region", "id", "component", (F.col("component") == F.col("most")).alias("main"), home.alias("home"), "blocks")
+    everywhere = F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed_rows = placed_rows.withColumn("block", F.explode(everywhere)).withColumn("own", F.col("block") == F.col("home"))
+    members = placed_rows.join(known, "id").select("region", "block", "own", "main", "id", "component", "n", "signature", "sample")
+    second = saved(members.groupBy("region", "block").applyInArrow(_across(least, percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
     dropped(labelled)
     more = _confirmed(docs, classes, second, k, percent)
     final = components(links.unionByName(more))

@@ -195,9 +195,14 @@ def _linked(texts, k, percent):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("region_rows", [7, 20_000])
-def test_near_duplicates(spark, saved_docs, monkeypatch, region_rows):
+def test_least_estimate():
+    assert 0.6 < minhash.least_estimate(85) < 0.7 and 0.5 < minhash.least_estimate(80) < minhash.least_estimate(85)
+
+
+@pytest.mark.parametrize(("region_rows", "hot_rows"), [(7, 3), (20_000, 20_000)])
+def test_near_duplicates(spark, saved_docs, monkeypatch, region_rows, hot_rows):
     monkeypatch.setattr(minhash, "REGION_ROWS", region_rows)
+    monkeypatch.setattr(minhash, "HOT_ROWS", hot_rows)
     rng = random.Random(9)
     texts = list(ODD)
     for size in (40, 120, 120):
