@@ -1,24 +1,25 @@
 """Shards by a two-pass external shuffle.
 
-Pass one scatters the records into buckets that fit in memory: a seeded hash of the key alone decides a record's shard and
-bucket, so equal texts, one source or one large group spread evenly. Pass two shuffles each bucket (Spark's shuffle() is a
-Fisher-Yates shuffle) and lays the buckets of a shard one after the other.
+Pass one scatters the records into buckets that fit in memory: a seeded hash of the key alone decides a record's shard, and
+one of the key, the text and the input partition its bucket, so equal texts, one source, or one key or none on a third of all
+rows spread evenly. Pass two shuffles each bucket (Spark's shuffle() is a Fisher-Yates shuffle) and lays the buckets of a
+shard one after the other. Each bucket is one task's partition; there are at most MAX_BUCKETS, larger where the table asks.
 
 Which shard a key gets is decided by the highest seeded hash over all shards: with one more shard, a key either stays or
 goes to the new shard.
 
-Keys may be null or repeat: such rows hash alike and keep a slot each. Null text counts as no bytes; an empty table gives an
+Keys may be null or repeat: such rows share a shard, as the law asks, and keep a slot each. Null text counts as no bytes; an empty table gives an
 empty table. Computed columns replace input columns of the same name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20240229
-#: A bucket's records are held in memory by one task: so many bytes of text on average.
-BUCKET_BYTES = 8 << 20
+#: A bucket's records are held in memory by one task: so many bytes of text on average, or more beyond MAX_BUCKETS in all.
+BUCKET_BYTES, MAX_BUCKETS = 24 << 20, 200_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -30,7 +31,7 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
 def bucket_count(df: DataFrame, text: str, shards: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets for each shard, from one pass over the sizes of all rows."""
     total = df.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + F.lit(64)).alias("n")).first()["n"] or 0
-    return max(1, -(-total // (shards * bucket_bytes)))
+    return min(max(1, -(-total // (shards * bucket_bytes))), max(1, MAX_BUCKETS // shards))
 
 
 def external_shuffle(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = SEED, buckets: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -41,31 +42,21 @@ def external_shuffle(df: DataFrame, shards: int = 8, key: str = "doc_id", text:
     n = bucket_count(df, text, shards, bucket_bytes) if buckets is None else buckets
     clean = df.drop("shard", "bucket", "slot")
     columns = [F.col(f"`{c}`") for c in clean.columns]
-    scattered = clean.select(
-        F.struct(*columns).alias("__row"),
-        shard_of(F.col(key), shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(n)).cast("int").alias("bucket"),
-    )
-    held = (
-        scattered.repartition(max(shards * n, 1), "shard", "bucket")
-        .groupBy("shard", "bucket")
-        .agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
-        .sortWithinPartitions("shard", "bucket")
-    )
-    dealt = held.select("shard", "bucket", F.posexplode(F.shuffle("__rows", seed)).alias("__at", "__row"))
-    return _with_slots(dealt, scattered).select("__row.*", "shard", "bucket", "slot")
-
-
-def _with_slots(dealt: DataFrame, scattered: DataFrame) -> DataFrame:
-    """Adds slot: a record's place in its bucket, after all earlier buckets of its shard."""
-    from pyspark.sql import Window
-
-    sizes = scattered.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return dealt.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("__start") + F.col("__at"))
+    mixed = F.xxhash64(F.lit(seed + 1), F.col(key), F.xxhash64(F.col(text)), F.spark_partition_id())
+    at = shard_of(F.col(key), shards, seed) * F.lit(n) + F.pmod(mixed, F.lit(n)).cast("int")
+    scattered = clean.select(F.struct(*columns).alias("__row"), at.alias("__at"))
+    # Partition ids are given, so that each task has one bucket.
+    held = scattered.repartitionById(shards * n, "__at").groupBy("__at").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
+    sizes = held.select("__at", F.size("__rows").alias("__n"), (F.col("__at") / n).cast("int").alias("shard"))
+    before = Window.partitionBy("shard").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    dealt = held.select("__at", F.posexplode(F.shuffle("__rows", seed)).alias("__place", "__row"))
+    placed = dealt.join(F.broadcast(starts), "__at")  # at most MAX_BUCKETS rows
+    return placed.select("__row.*", (F.col("__at") / n).cast("int").alias("shard"), (F.col("__at") % n).cast("int").alias("bucket"), (F.col("__start") + F.col("__place")).alias("slot"))
 
 
 def write_shards(shuffled: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder for each shard and bucket, rows by slot; a reader that takes the buckets in order reads the shuffled order."""
-    shuffled.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "slot").write.mode(mode).partitionBy("shard", "bucket").parquet(path)
+    """One folder for each shard and bucket, rows by slot; a reader that takes the buckets in order reads the shuffled order.
+
+    Rows of a bucket come from one task, so nothing is shuffled once more."""
+    shuffled.sortWithinPartitions("shard", "bucket", "slot").write.mode(mode).partitionBy("shard", "bucket").parquet(path)

@@ -136,6 +136,19 @@ def test_shards(spark, docs_of):
     assert shards.external_shuffle(docs.limit(0)).count() == 0
 
 
+def test_buckets_of_one_key_and_written_shards(spark, docs_of, tmp_path):
+    docs = docs_of([f"text {i % 700}" for i in range(1500)]).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    out = shards.external_shuffle(docs.repartition(4), shards=2, buckets=20)
+    nameless = out.filter("doc_id IS NULL").groupBy("shard", "bucket").count().collect()
+    assert len({r.shard for r in nameless}) == 1 and len(nameless) == 20 and max(r["count"] for r in nameless) < 75
+    shards.write_shards(out, str(tmp_path / "out"))
+    for shard in range(2):
+        slots = [r.slot for b in range(20) for r in spark.read.parquet(f"{tmp_path}/out/shard={shard}/bucket={b}").collect()]
+        assert slots == list(range(len(slots)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6, plan
+
+
 def test_shard_query(spark, saved_docs):
     path = saved_docs(ODD)
     rows = queries.QUERIES["op5_external_shuffle"](spark, path).collect()
