@@ -7,16 +7,20 @@ template. Beside that, fixed phrases are looked up where they stand.
 
 The templates are a fixed list in code, so their side of the join is bounded; texts are never joined to each other.
 
-Null text counts as empty. Repeated rows are scanned each for itself. An empty table gives an empty table. Input columns
+Null text counts as empty. Rows are told apart by numbers of their own, so repeated rows, rows that share a key and rows
+without one are scanned each for itself. An empty table gives an empty table. Input columns
 other than the key and the text don't pass through scan(), so no names clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.native import let
+from emberlog.llm.scratch import ROW, numbered
 
 K = 4
 #: Diagonals at most so far apart merge.
@@ -25,6 +29,8 @@ DRIFT = 3
 COVER = 0.6
 #: The join side of the templates may have so many rows at most to be broadcast; a longer list is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: So many hashes of templates may stand in the plan, to tell which k-grams need to be joined.
+PROBED_HASHES = 20_000
 
 #: Phrases that give a label wherever they stand.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -90,31 +96,54 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]] | None =
     )
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, k: int = K, cover: float = COVER) -> DataFrame:
-    """Verified places of templates: key, label, template, first (word), last, score (share of the template's k-grams)."""
-    table = template_table(docs.sparkSession, templates, k)
-    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    rolled = docs.select(F.col(key).alias("__key"), F.explode(_grams(F.array_remove(F.split(normal(F.col(text)), " "), ""), k)).alias("x")).select("__key", F.col("x.g").alias("g"), F.col("x.at").alias("p"))
-    hits = rolled.join(side, "g").select("__key", "label", "template", "size", "length", "p", F.col("at").alias("q"), (F.col("p") - F.col("at")).alias("diagonal"))
-    votes = hits.groupBy("__key", "label", "template", "size", "length", "diagonal").agg(
-        F.countDistinct("q").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last")
-    )
-    order = Window.partitionBy("__key", "template").orderBy("diagonal")
+def _votes(hits: DataFrame, side: DataFrame, k: int, cover: float) -> DataFrame:
+    """hits: ROW, g, p. Verified places of templates by row: ROW, label, template, first, last, score."""
+    met = hits.join(side, "g").select(ROW, "label", "template", "size", "length", "p", F.col("at").alias("q"), (F.col("p") - F.col("at")).alias("diagonal"))
+    votes = met.groupBy(ROW, "label", "template", "size", "length", "diagonal").agg(F.countDistinct("q").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
+    order = Window.partitionBy(ROW, "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT
     merged = (
         votes.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
-        .groupBy("__key", "label", "template", "size", "length", "run")
+        .groupBy(ROW, "label", "template", "size", "length", "run")
         .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
     verified = merged.withColumn("score", F.least(F.col("votes") / F.col("size"), F.lit(1.0))).filter(
         (F.col("score") >= cover) & (F.col("last") - F.col("first") + k <= 2 * F.col("length") + DRIFT)
     )
-    return verified.select(F.col("__key").alias(key), "label", "template", "first", (F.col("last") + k - 1).alias("last"), "score")
+    return verified.select(ROW, "label", "template", "first", (F.col("last") + k - 1).alias("last"), "score")
 
 
-def phrase_places(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None) -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base (array of labels): where phrases stand as whole words."""
+def _probed(words: Column, table: DataFrame, k: int) -> Column:
+    """The k-grams of words that some template holds: all are probed against the set of the templates' hashes, if it is small
+    enough to stand in the plan; a longer list leaves the probing to the join."""
+    known = [r[0] for r in table.select("g").distinct().limit(PROBED_HASHES + 1).collect()]
+    grams = _grams(words, k)
+    return grams if len(known) > PROBED_HASHES else F.filter(grams, lambda x: x["g"].isin(known))
+
+
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, k: int = K, cover: float = COVER) -> DataFrame:
+    """Verified places of templates: key, ROW (a number of the row's own), label, template, first (word), last, score (share of the template's k-grams)."""
+    rows, found = _scanned(docs, key, text, templates, {}, k, cover)
+    return found.join(rows.select(ROW, key), ROW).select(key, ROW, "label", "template", "first", "last", "score")
+
+
+def _scanned(docs: DataFrame, key: str, text: str, templates: dict[str, list[str]] | None, phrases: dict[str, str] | None, k: int = K, cover: float = COVER) -> tuple[DataFrame, DataFrame]:
+    """phrase_places() with ROW, and the verified places of templates. Texts are read, normalised and split once; what is found
+    is written without the texts, with a number for each row, so that rows which share a key stay apart."""
+    table = template_table(docs.sparkSession, templates, k)
+    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    words = lambda x: F.array_remove(F.split(x, " "), "")
+    of = _places(phrases)
+    both = let(normal(F.col(text)), lambda x: F.struct(of(x).alias("p"), _probed(words(x), table, k).alias("hits")))
+    read = numbered(docs.select(F.col(key), both.alias("__b")).select(key, "__b.p.n_words", "__b.p.f.*", F.col("__b.hits").alias("__hits")))
+    hits = read.filter(F.size("__hits") > 0).select(ROW, F.explode("__hits").alias("x")).select(ROW, F.col("x.g").alias("g"), F.col("x.at").alias("p"))
+    return read.drop("__hits"), _votes(hits, side, k, cover)
+
+
+def _places(phrases: dict[str, str] | None) -> Callable[[Column], Column]:
+    """Of normal text: struct<n_words, f: struct<n_base, first_word, last_word, base>>."""
     phrases = PHRASES if phrases is None else phrases
+    none = F.struct(F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.array().cast("array<string>").alias("base"))
 
     def found(x: Column) -> Column:
         padded = F.concat(F.lit(" "), F.replace(x, F.lit(" "), F.lit("  ")))  # a space of its own on each side of each word
@@ -127,6 +156,8 @@ def phrase_places(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
             return [n, F.when(n > 0, before), F.when(n > 0, _count(x, " ") - after - len(phrase.split()))]
 
         places = [one(p) for p in phrases]
+        if not places:
+            return none
         return F.struct(
             sum((p[0] for p in places[1:]), places[0][0]).alias("n_base"),
             F.array_min(F.array(*[p[1] for p in places])).alias("first_word"),
@@ -134,25 +165,31 @@ def phrase_places(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
             F.array_compact(F.array(*[F.when(p[0] > 0, F.lit(label)) for p, label in zip(places, phrases.values(), strict=True)])).alias("base"),
         )
 
-    none = F.struct(F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.array().cast("array<string>").alias("base"))
-
     def of(x: Column) -> Column:
         some = F.lit(False)
         for p in phrases:
             some = some | x.contains(p)
         return F.struct(_count(x, " ").alias("n_words"), F.when(some, found(x)).otherwise(none).alias("f"))
 
-    return docs.select(F.col(key), let(normal(F.col(text)), of).alias("__p")).select(key, "__p.n_words", "__p.f.*")
+    return of
+
+
+def phrase_places(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None) -> DataFrame:
+    """key, n_words, n_base, first_word, last_word, base (array of labels): where phrases stand as whole words."""
+    return docs.select(F.col(key), let(normal(F.col(text)), _places(phrases)).alias("__p")).select(key, "__p.n_words", "__p.f.*")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """phrase_places() with found (labels of verified templates) and score: the best template's, 1 where a phrase stands."""
-    best = spans(docs, key, text, templates).groupBy(F.col(key).alias("__key")).agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    places = phrase_places(docs, key, text, phrases)
-    out = places.join(best, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-    return out.withColumns(
-        {
-            "found": F.coalesce("found", F.array().cast("array<string>")),
-            "score": F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))),
-        }
-    ).drop("best")
+    rows, places = _scanned(docs, key, text, templates, phrases)
+    best = places.groupBy(ROW).agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    return (
+        rows.join(best, ROW, "left")
+        .withColumns(
+            {
+                "found": F.coalesce("found", F.array().cast("array<string>")),
+                "score": F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))),
+            }
+        )
+        .drop("best", ROW)
+    )

@@ -197,23 +197,23 @@ def _license_sql() -> str:
     k, words = licenses.K, r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
     grams = lambda x: f"(SELECT *, array_to_string(w[i:i + {k - 1}], ' ') AS g, i - 1 AS place FROM (SELECT *, unnest(generate_series(1, len(w) - {k - 1})) AS i FROM {x}))"
     stands = " UNION ALL ".join(
-        f"SELECT doc_id, i - 1 AS place, {quoted(label)} AS label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM t) WHERE "
+        f"SELECT rid, i - 1 AS place, {quoted(label)} AS label FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM t) WHERE "
         + " AND ".join(f"w[i + {j}] = {quoted(p)}" for j, p in enumerate(phrase.split()))
         for phrase, label in licenses.PHRASES.items()
     )
     return f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {words}) AS w FROM documents),
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), {words}) AS w FROM documents),
 templates AS (SELECT label, template, regexp_extract_all(lower(x), {words}) AS w FROM (VALUES {texts}) v(label, template, x)),
-h AS (SELECT d.doc_id, s.label, s.template, len(s.w) - {k - 1} AS size, len(s.w) AS length, d.place AS p, s.place AS q, d.place - s.place AS diagonal FROM {grams('t')} d JOIN {grams('templates')} s ON d.g = s.g),
-v AS (SELECT doc_id, label, template, size, length, diagonal, count(DISTINCT q) AS votes, min(p) AS lo, max(p) AS hi FROM h GROUP BY ALL),
-r AS (SELECT *, (diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.DRIFT}) IS NOT FALSE AS apart FROM v),
-m AS (SELECT doc_id, label, size, length, sum(votes) AS votes, min(lo) AS lo, max(hi) AS hi
-  FROM (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM r) GROUP BY doc_id, label, template, size, length, run),
-f AS (SELECT doc_id, list(DISTINCT label) AS found, max(least(votes / size, 1.0)) AS best FROM m WHERE least(votes / size, 1.0) >= {licenses.COVER} AND hi - lo + {k} <= 2 * length + {licenses.DRIFT} GROUP BY doc_id),
-b AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS base FROM ({stands}) GROUP BY doc_id)
+h AS (SELECT d.rid, s.label, s.template, len(s.w) - {k - 1} AS size, len(s.w) AS length, d.place AS p, s.place AS q, d.place - s.place AS diagonal FROM {grams('t')} d JOIN {grams('templates')} s ON d.g = s.g),
+v AS (SELECT rid, label, template, size, length, diagonal, count(DISTINCT q) AS votes, min(p) AS lo, max(p) AS hi FROM h GROUP BY ALL),
+r AS (SELECT *, (diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {licenses.DRIFT}) IS NOT FALSE AS apart FROM v),
+m AS (SELECT rid, label, size, length, sum(votes) AS votes, min(lo) AS lo, max(hi) AS hi
+  FROM (SELECT *, sum(apart::INT) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM r) GROUP BY rid, label, template, size, length, run),
+f AS (SELECT rid, list(DISTINCT label) AS found, max(least(votes / size, 1.0)) AS best FROM m WHERE least(votes / size, 1.0) >= {licenses.COVER} AND hi - lo + {k} <= 2 * length + {licenses.DRIFT} GROUP BY rid),
+b AS (SELECT rid, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS base FROM ({stands}) GROUP BY rid)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base, found))), ','), '') AS labels, CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
-FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN f ON f.doc_id = t.doc_id
+FROM t LEFT JOIN b ON b.rid = t.rid LEFT JOIN f ON f.rid = t.rid
 """
 
 

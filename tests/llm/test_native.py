@@ -216,6 +216,19 @@ def test_license_spans_survive_edits(spark, docs_of):
     assert [(r.doc_id, r.label) for r in found] == [(0, "mit")] and found[0]["first"] == 1
 
 
+def test_rows_that_share_an_id_keep_their_labels(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "Licensed under CC BY 4.0."), (1, "nothing to see here at all"), (None, licenses.TEMPLATES["bsd"][0]), (None, None), (2, "Released under the MIT License."), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op9_diagonal_licenses"](spark, str(tmp_path))
+    expected = [(1, "cc-by", 1.0), (1, "", 0.0), (None, "bsd", 1.0), (None, "", 0.0), (2, "mit", 1.0), (2, "", 0.0)]
+    assert Counter((r.doc_id, r.labels, r.score) for r in found.collect()) == Counter(expected)
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    told = duckdb.sql(queries.ORACLE_SQL["op9_diagonal_licenses"]).fetchall()
+    assert Counter((r[0], r[6], r[7]) for r in told) == Counter(expected)
+
+
 @pytest.mark.parametrize("name", ["op1_boosted_pii", "op5_external_shuffle", "op7_quality_rules", "op9_diagonal_licenses"])
 def test_empty_tables(spark, saved_docs, name):
     assert queries.QUERIES[name](spark, saved_docs([])).count() == 0
