@@ -1,15 +1,17 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree of its elements. Paragraph-like blocks pass points for their length and commas to their parent,
-half to the grandparent and less further up; a container's points are discounted by its share of text in links. The best
-container is taken, an <article> with a bonus (or the <article> or else the <main> around it), with those of its siblings
-that score well or read like prose; where all else on a page is a paragraph at most and has no heading, the <article> with the
-page's only <h1> is taken alone. Within them, all that is marked as menu, header, footer, sidebar, notice, advert, form or reader comment goes, and all the rest stays in page
-order.
+half to the grandparent and less further up; a container's points are discounted by its share of text in links, and those of an
+<article> or <main> count BONUS times. The container of most points is the best one, whatever its name. Elements around it
+that add nothing but headings are taken instead of it. Kept are the best container and, in page order, those of its siblings
+that have SIBLING of its points, read like prose (paragraphs and headings), or share an <article> or <main> with it, unless
+they are mostly links. Within them, all that is marked as menu, header, footer, sidebar, notice, advert, form or reader comment
+goes, and all the rest stays. If such marks leave no text, only element names count as marks.
 
 White space in a block becomes one space; blocks are joined by one space; character references are decoded. Null or empty
-html gives an empty text, as do pages without text outside such marks. Repeated rows are read each for itself; an empty table
-gives an empty table; the added column replaces an input column of its name. Work on one page is linear in its length.
+html gives an empty text, as do pages without text outside such marks. A tag that is never closed takes the rest of the page.
+Repeated rows are read each for itself; an empty table gives an empty table; the added column replaces an input column of its
+name. Work on one page is linear in its length.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"})}
 ENDS |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 NEVER = frozenset("script style textarea title noscript iframe xmp template head nav header footer aside form button select datalist option input label svg math object canvas audio video dialog menu fieldset search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 #: Words in class, id or role that mark what isn't the article.
 MARKS = frozenset(
@@ -49,26 +52,32 @@ FIRM = frozenset("comment comments commentlist disqus respond replies reply disc
 WITH = frozenset("has with no without".split())
 UNSEEN = frozenset("hidden visually-hidden is-hidden sr-only screen-reader-text".split())
 LINKS_MOST = 0.33
-#: An article's points count so much more when containers are compared.
-ARTICLE = 1.5
-
-_TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>")
+#: Points of an article or main element count so much more; a sibling's points count at this share of the best container's.
+BONUS, SIBLING = 1.5, 0.2
+#: Elements that a paragraph which is open outside them isn't ended in.
+SCOPES = frozenset("p td th button object table".split())
+
+_TOKEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+#: The rest of a tag. A quote counts after an equals sign only.
+_REST = re.compile(r"((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: For each element name, the kinds of ENDS that it belongs to or bounds.
+_KINDS = {tag: [kind for kind, (names, within) in ENDS.items() if tag in names | within] for names, within in ENDS.values() for tag in names | within}
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "out", "score", "chars", "linked", "depth")
+    __slots__ = ("tag", "parent", "parts", "out", "score", "chars", "headed", "linked", "scope")
 
     def __init__(self, tag: str, parent: _Node | None, out: int) -> None:
         self.tag, self.parent, self.out = tag, parent, out
         self.parts: list = []  # texts and nodes in page order
-        self.score, self.chars, self.linked = 0.0, 0, 0
-        self.depth = parent.depth + 1 if parent else 0
+        self.score, self.chars, self.headed, self.linked = 0.0, 0, 0, 0
+        self.scope: _Node | None = self if tag in SCOPES or parent is None else parent.scope
 
 
-def _marked(tag: str, attributes: str) -> int:
+def _marked(tag: str, attributes: str, by_words: bool) -> int:
     """0: seems part of the text; 1: marked as something else, unless an article stands in it; 2: something else."""
     if tag in NEVER:
         return 2
@@ -82,7 +91,7 @@ def _marked(tag: str, attributes: str) -> int:
             return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return 2
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and by_words:
             for part in value.split():
                 words = _WORD.findall(_CAMEL.sub("-", part).lower())
                 if part.lower() in UNSEEN or FIRM.intersection(words):
@@ -104,25 +113,28 @@ def _settled(root: _Node) -> None:
             node.out = bool(above or node.out == 2 or (node.out == 1 and id(node) not in around))
 
 
-def _tree(page: str) -> _Node:
+def _tree(page: str, by_words: bool = True) -> tuple[_Node, bool]:
+    """The root, and whether words in attributes mark anything."""
+    worded = False
     root = top = _Node("#", None, 0)
     at, end = 0, len(page)
+    open_tags: dict[str, list[_Node]] = {}
+    # For each kind of element that a new one of it ends: those open, and the open elements that hold them, from outside in.
+    open_ends: dict[str, list[_Node]] = {kind: [] for kind in ENDS}
 
-    def close(names: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
+    def enter(node: _Node) -> None:
         nonlocal top
-        node = top
-        while node is not root and node.tag not in within:
-            if node.tag in names:
-                top = node.parent
-                return
-            node = node.parent
-
-    open_tags: dict[str, int] = {}
+        top = node
+        open_tags.setdefault(node.tag, []).append(node)
+        for kind in _KINDS.get(node.tag, ()):
+            open_ends[kind].append(node)
 
     def pop_to(node: _Node) -> None:
         nonlocal top
         while top is not node:
-            open_tags[top.tag] -= 1
+            open_tags[top.tag].pop()
+            for kind in _KINDS.get(top.tag, ()):
+                open_ends[kind].pop()
             top = top.parent
 
     while at < end:
@@ -134,46 +146,37 @@ def _tree(page: str) -> _Node:
             top.parts.append(references.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
-            if m[0] == "<!--":
-                closing = page.find("-->", at)
-                at = end if closing < 0 else closing + 3
+            closing = page.find("-->", at) + 2 if m[0] == "<!--" else page.find(">", at)
+            at = closing + 1 if closing >= at else end
             continue
-        tag = m[2].lower()
+        rest = _REST.match(page, at)
+        if rest is None:
+            break
+        at = rest.end()
+        tag, attributes = m[2].lower(), rest[1]
         if m[1]:
-            if open_tags.get(tag, 0):
-                node = top
-                while node.tag != tag:
-                    node = node.parent
-                pop_to(node.parent)
+            if open_tags.get(tag):
+                pop_to(open_tags[tag][-1].parent)
             elif tag in ("br", "p"):
                 top.parts.append(" ")
             continue
-        if tag in ENDS_P and open_tags.get("p", 0):
-            node = top
-            while node is not root and node.tag not in ("p", "td", "th", "button", "object", "table"):
-                node = node.parent
-            if node.tag == "p":
-                pop_to(node.parent)
-        if tag in ENDS and any(open_tags.get(x, 0) for x in ENDS[tag][0]):
-            names, within = ENDS[tag]
-            node, last = top, None
-            while node is not root and node.tag not in within:
-                if node.tag in names:
-                    last = node
-                node = node.parent
-            if last is not None:
-                pop_to(last.parent)
-        node = _Node(tag, top, _marked(tag, m[3]))
+        if tag in ENDS_P and top.scope.tag == "p":
+            pop_to(top.scope.parent)
+        if tag in ENDS:
+            waiting = open_ends[tag]
+            while waiting and waiting[-1].tag in ENDS[tag][0]:
+                pop_to(waiting[-1].parent)
+        node = _Node(tag, top, _marked(tag, attributes, by_words) if attributes or tag in NEVER else 0)
+        worded = worded or node.out > 0 and tag not in NEVER
         top.parts.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             closing = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
             at = end if closing is None else page.find(">", closing.end()) + 1 or end
             continue
-        open_tags[tag] = open_tags.get(tag, 0) + 1
-        top = node
-    return root
+        enter(node)
+    return root, worded
 
 
 def _walk(root: _Node) -> Iterator[tuple[_Node, bool]]:
@@ -197,6 +200,7 @@ def _scored(root: _Node) -> list[_Node]:
         inline = [x for x in node.parts if not isinstance(x, str) and not x.out]
         chars = sum(len(x.strip()) for x in own)
         node.chars = chars + sum(x.chars for x in inline)
+        node.headed = node.chars if node.tag in HEADINGS else sum(x.headed for x in inline)
         node.linked = node.chars if node.tag == "a" else sum(x.linked for x in inline)
         if node.parent is None or not (node.tag in PARAGRAPH or (node.tag in BLOCK and chars > 40)) or not node.chars:
             continue
@@ -229,65 +233,56 @@ def _text(node: _Node, into: list[str]) -> None:
             stack.extend(reversed(x.parts))
 
 
-def _outermost(node: _Node, tag: str) -> _Node:
-    """The highest element of that name around node, or node."""
-    above, found = node, node
-    while above is not None:
-        found = above if above.tag == tag else found
+def _density(node: _Node) -> float:
+    return node.linked / node.chars if node.chars else 0.0
+
+
+def _worth(node: _Node) -> float:
+    return node.score * (1 - _density(node)) * (BONUS if node.tag in ("article", "main") else 1)
+
+
+def _within(node: _Node) -> bool:
+    """Whether an article or main element is around node."""
+    above = node.parent
+    while above is not None and above.tag not in ("article", "main"):
         above = above.parent
-    return found
+    return above is not None
 
 
-def _alone(root: _Node) -> _Node | None:
-    """The article with the page's only <h1>, if outside it there is one paragraph at most and no heading."""
-    seen = [n for n, leaving in _walk(root) if not leaving and not n.out]
-    titles = [n for n in seen if n.tag == "h1"]
-    article = _outermost(titles[0], "article") if len(titles) == 1 else None
-    if article is None or article.tag != "article":
-        return None
-    within = {id(n) for n, leaving in _walk(article) if not leaving}
-    outside = [n for n in seen if id(n) not in within and n.chars]
-    if any(n.tag in ("article", "h2", "h3", "h4", "h5", "h6") for n in outside):
-        return None
-    held = lambda n: any(isinstance(x, str) and x.strip() or not isinstance(x, str) and not x.out and x.tag not in BLOCK and x.chars for x in n.parts)
-    return article if sum(n.tag in BLOCK and held(n) for n in outside) <= 1 else None
+def _kept(root: _Node) -> list[_Node]:
+    """The best container and its siblings."""
+    best = max(_scored(root), key=_worth, default=None)
+    if best is None:
+        return [root]
+    least = SIBLING * _worth(best)
+    while best.parent.parent is not None and best.parent.tag not in ("body", "html") and best.parent.chars - best.chars == best.parent.headed - best.headed:
+        best = best.parent
+    if best.tag in ("body", "html"):
+        return [best]
+    together = best.tag not in ("article", "main") and _within(best)
+
+    def stays(x: _Node) -> bool:
+        reads = x.tag in ("p", "blockquote", "pre") or x.tag in HEADINGS or together and x.tag in BLOCK
+        return x is best or _worth(x) >= least > 0 or reads and _density(x) <= LINKS_MOST
+
+    return [x for x in best.parent.parts if not isinstance(x, str) and not x.out and stays(x)]
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page; '' if it has none."""
-    if not page:
-        return ""
-    root = _tree(page)
-    _settled(root)
-    nodes = _scored(root)
-    density = lambda n: n.linked / n.chars if n.chars else 0.0
-    worth = lambda n: n.score * (1 - density(n)) * (ARTICLE if n.tag == "article" else 1)
-    best, alone = max(nodes, key=worth, default=None), _alone(root)
-    if best is None:
-        articles = [n for n, leaving in _walk(root) if not leaving and n.tag == "article" and n.chars and not n.out]
-        best = max(articles, key=lambda n: n.chars, default=None)
-    least = 0.2 * worth(best) if best is not None else 0.0
-    if best is not None:
-        best = _outermost(best, "article")
-    if alone is not None:
-        kept = [alone]
-    elif best is None:
-        kept = [root]
-    elif best.tag != "article" and _outermost(best, "main").tag == "main" and density(_outermost(best, "main")) <= LINKS_MOST:
-        kept = [_outermost(best, "main")]
-    elif best.tag in ("body", "html") or best.parent is None:
-        kept = [best]
-    else:
-        kept = [
-            x
-            for x in best.parent.parts
-            if not isinstance(x, str) and not x.out and (x is best or worth(x) >= least > 0 or (x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density(x) <= LINKS_MOST))
-        ]
-    into: list[str] = []
-    for node in kept:
-        _text(node, into)
-        into.append(" ")
-    return " ".join("".join(into).split())
+    by_words = True
+    while page:
+        root, worded = _tree(page, by_words)
+        _settled(root)
+        into: list[str] = []
+        for node in _kept(root):
+            _text(node, into)
+            into.append(" ")
+        text = " ".join("".join(into).split())
+        if text or not (worded and by_words):
+            return text
+        by_words = False
+    return ""
 
 
 def _main_texts(pages: pd.Series) -> pd.Series:

@@ -251,25 +251,139 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1
 
 def test_main_text():
     assert html_text.main_text(PAGE) == "T & x Hello, world, this is a long paragraph, with commas, and more of them. one two Second par 1 < 2 < 3. line"
-    article = "<body><article><h1>H</h1><p>Ti.</p><aside>x</aside><section class='reader-comments'><p>no, no, no</p></section></article><div><p>" + "other, " * 30 + "</p></div></body>"
+    article = "<body><article><h1>H</h1><p>Ti.</p><aside>x</aside><section class='reader-comments'><p>no, no, no</p></section></article></body>"
     assert html_text.main_text(article) == "H Ti."
-    assert [html_text.main_text(x) for x in (None, "", "plain  text", "<!-- x", "<script>a", "<p hidden>x</p><p>y</p>")] == ["", "", "plain text", "", "", "y"]
+    assert [html_text.main_text(x) for x in (None, "", "plain  text", "<!-- x", "<script>a", "<p hidden>x</p><p>y</p>", "x <a href='y")] == ["", "", "plain text", "", "", "y", "x"]
     around = "<div class='page-with-header'><div class='overflow-hidden'><article><p>in</p><div class='share-bar'>x</div></article></div></div>"
     assert html_text.main_text(around) == "in"
     assert html_text.main_text("<article><p>text</p></article><div id='comments'><article><p>" + "me, too " * 9 + "</p></article></div>") == "text"
+    assert html_text.main_text("<article class='discussion'><p>All of it.</p></article>") == "All of it."
     assert html_text.main_text("<div>" * 3000 + "<p>deep</p>") == "deep"
 
 
-def test_articles_compete():
-    par = lambda x, n=4: "".join(f"<p>{x}{i}, a paragraph of some length, with commas, and words.</p>" for i in range(n))
-    said = lambda x, n=4: " ".join(f"{x}{i}, a paragraph of some length, with commas, and words." for i in range(n))
+PAR = lambda x, n=4: "".join(f"<p>{x}{i}, a paragraph of some length, with commas, and words.</p>" for i in range(n))
+SAID = lambda x, n=4: " ".join(f"{x}{i}, a paragraph of some length, with commas, and words." for i in range(n))
+
+
+def test_containers_compete_whatever_their_names():
     teaser = "<article><h2>Other</h2><p>Read on.</p></article>"
-    assert html_text.main_text(f"<body><div>{par('b')}</div><div>{teaser}</div></body>") == said("b")
+    assert html_text.main_text(f"<body><div>{PAR('b')}</div><div>{teaser}</div></body>") == SAID("b")
+    assert html_text.main_text(f"<body><div>{PAR('b')}</div>{teaser}</body>") == SAID("b")
     titled = "<article><h1>Other</h1><p>Read on.</p></article>"
-    assert html_text.main_text(f"<body><div>{titled}</div><div>{par('b')}</div></body>") == said("b")
-    assert html_text.main_text(f"<body><div><article>{par('a')}</article><article>{par('c')}</article></div></body>") == said("a") + " " + said("c")
-    assert html_text.main_text(f"<body><article><h1>T</h1>{par('a')}</article><article>{par('c', 3)}</article></body>") == "T " + said("a") + " " + said("c", 3)
-    assert html_text.main_text(f"<body><article><h1>T</h1><div>{par('a')}</div></article><div class='ad'>buy</div></body>") == "T " + said("a")
+    assert html_text.main_text(f"<body><div>{titled}</div><div>{PAR('b')}</div></body>") == SAID("b")
+    assert html_text.main_text(f"<body><div><article>{PAR('a')}</article><article>{PAR('c')}</article></div></body>") == SAID("a") + " " + SAID("c")
+    assert html_text.main_text(f"<body><article><h1>T</h1>{PAR('a')}</article><article>{PAR('c', 3)}</article></body>") == "T " + SAID("a") + " " + SAID("c", 3)
+    assert html_text.main_text(f"<body><article><h1>T</h1><div>{PAR('a')}</div></article><div class='ad'>buy</div></body>") == "T " + SAID("a")
+    assert html_text.main_text(f"<body><article><h1>T</h1><section>{PAR('a', 9)}</section><section>{PAR('c', 1)}</section></article></body>") == "T " + SAID("a", 9) + " " + SAID("c", 1)
+
+
+def test_pages_without_their_article_tag():
+    page = f"<body><nav><a href='/x'>x</a></nav><div class='ad'>Buy, now.</div><article><h1>T</h1>{PAR('a', 6)}<ul><li>one<li>two</ul></article><footer>f</footer></body>"
+    expected = html_text.main_text(page)
+    assert expected == "T " + SAID("a", 6) + " one two"
+    other = "<article><h2>Other</h2><p>Read on.</p></article>"
+    for changed in (
+        page.replace("article>", "div>"),
+        re.sub("</?article>", "", page),
+        page.replace("<article>", "<section id='x'>").replace("</article>", "</section>"),
+        page.replace("<article>", "<div><div>").replace("</article>", "</div></div>"),
+        page.replace("</h1>", "</h1><div>").replace("</article>", "</div></article>"),
+        page.replace("article>", "div>").replace("<footer>", other + "<footer>"),
+        page.replace("<footer>", f"<div>{other}</div><footer>"),
+    ):
+        assert html_text.main_text(changed) == expected, changed
+
+
+def _plain_scores(node):
+    """Points by the rule as it is written, with lists for elements: [tag, [text or element, ...], points, parent]."""
+    text = lambda n: "".join(x if isinstance(x, str) else text(x) for x in n[1])
+    size = lambda n: sum(len(x.strip()) if isinstance(x, str) else size(x) for x in n[1])
+    linked = lambda n: size(n) if n[0] == "a" else sum(linked(x) for x in n[1] if not isinstance(x, str))
+    every = [n for n in _elements(node)]
+    for n in every:
+        own = sum(len(x.strip()) for x in n[1] if isinstance(x, str))
+        if not size(n) or not (n[0] in ("p", "li") or n[0] in ("div", "section", "article", "h1", "h2") and own > 40):
+            continue
+        commas = sum(x.count(",") for x in n[1] if isinstance(x, str)) + sum(x.count(",") for e in n[1] if not isinstance(e, str) for x in e[1] if isinstance(x, str))
+        into = n[3] if n[0] in ("p", "li") else n
+        for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+            if into is None or into[3] is None:
+                break
+            into[2] += share * (1 + commas + min(size(n) / 100, 3)) * (1 - linked(n) / size(n))
+            into = into[3]
+    density = lambda n: linked(n) / size(n) if size(n) else 0
+    worth = lambda n: n[2] * (1 - density(n)) * (1.5 if n[0] == "article" else 1)
+    heads = lambda n: size(n) if n[0] in ("h1", "h2") else sum(heads(x) for x in n[1] if not isinstance(x, str))
+    scored = [n for n in every if n[2] > 0]
+    if not scored:
+        return " ".join(_said([node]).split())
+    most = max(map(worth, scored))
+    best = [n for n in scored if worth(n) == most]
+    if len(best) > 1:
+        return None  # a tie
+    best = best[0]
+    least = 0.2 * most
+    while best[3][3] is not None and best[3][0] != "body" and size(best[3]) - size(best) == heads(best[3]) - heads(best):
+        best = best[3]
+    if best[0] == "body":
+        return " ".join(_said([best]).split())
+    up, together = best[3], False
+    while up is not None:
+        together, up = together or up[0] == "article", up[3]
+    together = together and best[0] != "article"
+    kept = []
+    for x in best[3][1]:
+        if not isinstance(x, str) and (x is best or worth(x) >= least or density(x) <= 0.33 and (x[0] in ("p", "h1", "h2") or together and x[0] not in ("a", "b"))):
+            kept.append(x)
+    return " ".join(_said(kept).split())
+
+
+def _elements(node):
+    yield node
+    for x in node[1]:
+        if not isinstance(x, str):
+            yield from _elements(x)
+
+
+def _said(nodes):
+    return " ".join("".join(x if isinstance(x, str) else x[0] in ("a", "b") and _said([x]) or " " + _said([x]) + " " for x in n[1]) for n in nodes)
+
+
+def test_scores_against_the_rule():
+    rng = random.Random(21)
+
+    def made(depth, parent, tag):
+        node = [tag, [], 0.0, parent]
+        for _ in range(rng.randint(1, 4)):
+            if tag in ("p", "li", "h1", "h2", "a", "b") or depth == 0:
+                node[1].append(" ".join(rng.choice(["alpha", "beta,", "gamma.", "x"]) for _ in range(rng.randint(1, 30))))
+                if tag in ("p", "li") and rng.random() < 0.4:
+                    node[1].append(made(0, node, rng.choice("ab")))
+            else:
+                node[1].append(made(depth - 1, node, rng.choice(["div", "div", "section", "article", "p", "p", "p", "h1", "h2", "li"])))
+        return node
+
+    html = lambda n: f"<{n[0]}>" + "".join(x if isinstance(x, str) else html(x) for x in n[1]) + f"</{n[0]}>"
+    told = 0
+    for _ in range(400):
+        root = ["#", [], 0.0, None]
+        body = made(rng.randint(1, 4), root, "body")
+        root[1].append(body)
+        expected = _plain_scores(root)
+        if expected is not None and "<li><li>" not in html(body):
+            told += 1
+            assert html_text.main_text(html(body)) == expected, html(body)
+    assert told > 200
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<p><button>" + "<div>" * 200_000, "<!" * 500_000, '<a ="><' * 150_000, "<ul><li>" * 120_000, "<li><div>" * 100_000, "<p>" * 300_000, "<a b='c" * 150_000, "<" * 1_000_000])
+def test_hostile_pages(page):
+    import time
+
+    html_text.main_text(page[: len(page) // 8])
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 6  # a megabyte; under 3 s where nothing else runs
 
 
 def test_pages(spark, tmp_path):
