@@ -1,4 +1,4 @@
-"""Small gradient-boosted trees: trained with numpy on the driver, applied as a SQL expression."""
+"""Small gradient-boosted trees: trained with numpy on the driver, calibrated on other rows, applied as a SQL expression."""
 
 from __future__ import annotations
 
@@ -22,11 +22,11 @@ class Node:
 
 @dataclass(frozen=True)
 class Boosted:
-    """score: log-odds. threshold: of the probability, from held-out rows."""
+    """start: log-odds before all trees. cuts: for each group of candidates, the least log-odds that is accepted."""
 
     trees: tuple[Node, ...]
     start: float
-    threshold: float
+    cuts: tuple[tuple[str, float], ...] = ()
 
     def score(self, feature) -> Column:
         """Log-odds as a column; feature(name) gives a feature's column."""
@@ -35,15 +35,22 @@ class Boosted:
             total = total + _column(tree, feature)
         return total
 
-    def accepts(self, feature) -> Column:
-        return self.score(feature) >= F.lit(float(np.log(self.threshold / (1 - self.threshold))))
+    def least(self, group: Column) -> Column:
+        """The least log-odds accepted in a group; zero for groups that weren't calibrated."""
+        out = F.lit(0.0)
+        for name, cut in self.cuts:
+            out = F.when(group == name, F.lit(cut)).otherwise(out)
+        return out
 
-    def probability(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+    def scores(self, rows: dict[str, np.ndarray]) -> np.ndarray:
         n = len(next(iter(rows.values())))
         total = np.full(n, self.start)
         for tree in self.trees:
             total += _values(tree, rows, n)
-        return 1 / (1 + np.exp(-total))
+        return total
+
+    def probability(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.scores(rows)))
 
 
 def _column(node: Node, feature) -> Column:
@@ -87,11 +94,9 @@ def _shrunk(node: Node, rate: float) -> Node:
     return Node(0.0, node.feature, node.cut, _shrunk(node.low, rate), _shrunk(node.high, rate))
 
 
-def train(rows: dict[str, np.ndarray], label: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.4, least: int = 5, recall: float = 0.99) -> Boosted:
-    """Every fourth row is held out; the threshold is the largest that keeps the recall there, at most one half."""
-    held = np.arange(len(label)) % 4 == 3
-    fit = {k: v[~held].astype(float) for k, v in rows.items()}
-    y = label[~held].astype(float)
+def train(rows: dict[str, np.ndarray], label: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.4, least: int = 5) -> Boosted:
+    fit = {k: v.astype(float) for k, v in rows.items()}
+    y = label.astype(float)
     start = round(float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), 6)
     total, trees = np.full(len(y), start), []
     for _ in range(rounds):
@@ -99,7 +104,35 @@ def train(rows: dict[str, np.ndarray], label: np.ndarray, rounds: int = 20, dept
         tree = _shrunk(_grow(fit, p - y, p * (1 - p), np.arange(len(y)), depth, least), rate)
         trees.append(tree)
         total = total + _values(tree, fit, len(y))
-    model = Boosted(tuple(trees), start, 0.5)
-    told = np.sort(model.probability({k: v[held].astype(float) for k, v in rows.items()})[label[held] > 0])
-    bound = float(told[int((1 - recall) * len(told))]) if len(told) else 0.5
-    return Boosted(model.trees, start, min(0.5, max(bound - 1e-9, 0.01)))
+    return Boosted(tuple(trees), start)
+
+
+def isotonic(scores: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores in ascending order (each once) and the probabilities, never falling, that fit the labels best."""
+    kinds, inverse = np.unique(scores, return_inverse=True)
+    weight = np.bincount(inverse).astype(float)
+    mean = np.bincount(inverse, label) / weight
+    pools: list[list[float]] = []  # mean, weight, number of scores
+    for m, w in zip(mean.tolist(), weight.tolist(), strict=True):
+        pools.append([m, w, 1])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            m2, w2, n2 = pools.pop()
+            m1, w1, n1 = pools.pop()
+            pools.append([(m1 * w1 + m2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return kinds, np.repeat([p[0] for p in pools], [int(p[2]) for p in pools])
+
+
+def calibrated(model: Boosted, rows: dict[str, np.ndarray], label: np.ndarray, group: np.ndarray, least: dict[str, float]) -> Boosted:
+    """model with a cut for each group: the least score whose calibrated probability, by isotonic regression over the group's
+    rows, reaches least[group]. Rows should be others than those of the training. A group that never reaches it accepts none."""
+    scores, cuts = model.scores({k: v.astype(float) for k, v in rows.items()}), []
+    for name in sorted(least):
+        at = group == name
+        kinds, probability = isotonic(scores[at], label[at].astype(float))
+        good = np.flatnonzero(probability >= least[name])
+        if not len(good):
+            cuts.append((name, float("inf")))
+            continue
+        below = kinds[good[0] - 1] if good[0] else kinds[good[0]] - 1.0
+        cuts.append((name, round(float(kinds[good[0]] + below) / 2, 6)))  # halfway to the score that is refused
+    return Boosted(model.trees, model.start, tuple(cuts))
