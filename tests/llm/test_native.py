@@ -254,6 +254,41 @@ def test_cascade_is_the_same_in_any_order(spark, docs_of):
     assert quality.cascade(docs.limit(0)).count() == 0
 
 
+def test_rejected_texts_meet_no_later_rule(spark, docs_of):
+    """Rules that fail the job if they are computed for a text that an earlier rule rejects."""
+    docs = docs_of(["bad one", "bad two", "fine", "fair"])
+    armed = lambda start: F.when(F.col("text").startswith(start), F.raise_error(F.lit("computed")).cast("boolean")).otherwise(F.lit(False))
+    rules = [quality.Rule("first", F.col("text").startswith("bad")), quality.Rule("second", armed("bad")), quality.Rule("third", armed("bad") | (F.col("text") == "fair"))]
+    found = docs.withColumn("by", quality.first_rejection(rules)).select("doc_id", "by").collect()
+    assert [r.by for r in sorted(found)] == ["first", "first", None, "third"]
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException):
+        docs.withColumn("by", quality.first_rejection(rules[::-1])).select("doc_id", "by").collect()
+
+
+def test_rules_are_ordered_by_rejections_per_second(spark):
+    sample = spark.createDataFrame([(f"text {i} " + "word " * 400,) for i in range(200)], "text string")
+    slow = F.length(F.regexp_replace("text", "(?:[a-z]+ ){1,50}x", "")) < 0
+    rules = [quality.Rule("slow", slow), quality.Rule("quick_and_idle", F.length("text") < 0), quality.Rule("quick", F.length("text") > 0)]
+    assert [r.name for r in quality.order_rules(sample, rules)] == ["quick", "quick_and_idle", "slow"]
+    assert 0 < quality.sampled(sample.union(sample), sample_rows=100).count() <= 100
+
+
+@pytest.mark.parametrize(
+    ("rule", "text"),
+    [
+        ("symbols", "wo#rd " * 60), ("capitals", "WORD Two " * 40), ("digits", "a12345 " * 60), ("equal_lines", "one two three\n" * 60), ("word_length", "a " * 60),
+        ("bullets", "\n".join(f"- item number {i}" for i in range(60))), ("ellipses", "\n".join(f"read more of {i} ..." for i in range(60))), ("braces", "if (x) { y } " * 30), ("broken", "w�rd " * 60),
+    ],
+)
+def test_each_rule_rejects(spark, docs_of, rule, text):
+    rules = {r.name: r for r in quality.method_rules(F.col("text"))}
+    good = " ".join(f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst") + ". And {so} on... - 12\n- item"
+    assert [r.bad for r in docs_of([text, good, None]).select("doc_id", rules[rule].reject.alias("bad")).orderBy("doc_id").collect()][:2] == [True, False]
+    assert len(rules) == 9
+
+
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
