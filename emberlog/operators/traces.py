@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.operators.ordering import consecutive_distinct
+from emberlog.sources.written import saved
 
 _MARKER = r"\[([0-9a-fA-F]+), ?([0-9a-fA-F]+), ?([0-9a-fA-F]+)\]"
-MAX_DEPTH = 10_000
 
 
 def from_markers(entries: DataFrame, message: str = "message", prefix_only: bool = True, remove: bool = False) -> DataFrame:
@@ -47,15 +47,21 @@ def forest(tuples: DataFrame, pos: str = "pos") -> DataFrame:
 def paths(spans: DataFrame) -> DataFrame:
     """trace, span, depth (0 for a trace's top spans) and path (span ids joined by '/') of all spans that a root reaches.
 
-    Each round joins the spans found last with their children, and is written, so a round's plan stays small.
+    Each round joins every span that hasn't come to its root with the piece of path that ends at its topmost known ancestor,
+    so pieces double in length and a depth of n takes log n rounds. Each round is written; spans that have come to their root
+    aren't touched again. When a round brings none home, all that are left hang on cycles.
     """
-    spans.createOrReplaceTempView("__emberlog_spans")
-    return spans.sparkSession.sql(f"""
-        WITH RECURSIVE found(trace, span, depth, path) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-          SELECT trace, span, 0L, span FROM __emberlog_spans WHERE parent IS NULL
-          UNION ALL
-          SELECT s.trace, s.span, f.depth + 1, concat(f.path, '/', s.span) FROM found f JOIN __emberlog_spans s ON s.trace = f.trace AND s.parent = f.span
-        ) SELECT trace, span, depth, path FROM found""")
+    begun = spans.select("trace", "span", F.col("parent").alias("up"), F.lit(1).cast("long").alias("spans"), F.col("span").alias("path"))
+    now, done = saved(begun), None
+    while True:
+        home = now.filter(F.col("up").isNull())
+        done = home if done is None else done.unionByName(home)
+        far = done.unionByName(now.filter(F.col("up").isNotNull())).select("trace", F.col("span").alias("up"), F.col("up").alias("__up"), F.col("spans").alias("__spans"), F.col("path").alias("__path"))
+        joined = now.filter(F.col("up").isNotNull()).join(far, ["trace", "up"])
+        now = saved(joined.select("trace", "span", F.col("__up").alias("up"), (F.col("spans") + F.col("__spans")).alias("spans"), F.concat("__path", F.lit("/"), "path").alias("path")))
+        if now.filter(F.col("up").isNull()).isEmpty():
+            break
+    return done.select("trace", "span", (F.col("spans") - 1).alias("depth"), "path")
 
 
 def find(spans: DataFrame, span: str) -> DataFrame:

@@ -37,6 +37,18 @@ def test_last_parent_counts_and_cycles_go(spark):
     assert looped["looped"] and looped["parent"] is None
 
 
+def test_deep_and_wide_forests(spark):
+    chain = spark.range(3000).selectExpr("'t' AS trace", "cast(id AS string) AS span", "CASE WHEN id > 0 THEN cast(id - 1 AS string) END AS parent")
+    wide = spark.range(200_000).selectExpr("'w' AS trace", "cast(id AS string) AS span", "CASE WHEN id > 0 THEN '0' END AS parent")
+    many = spark.range(1_000_000).selectExpr("cast(id % 1000 AS string) AS trace", "cast(id AS string) AS span", "CASE WHEN id >= 1000 THEN cast((id div 1000 - 1) div 2 * 1000 + id % 1000 AS string) END AS parent")
+    found = traces.paths(chain.unionByName(wide).unionByName(many))
+    assert found.count() == 3000 + 200_000 + 1_000_000
+    deepest = found.filter("trace = 't' AND span = '2999'").first()
+    assert deepest["depth"] == 2999 and deepest["path"] == "/".join(map(str, range(3000)))
+    assert found.filter("trace = 'w' AND depth = 1 AND path = concat('0/', span)").count() == 199_999
+    assert found.filter("size(split(path, '/')) <> depth + 1").count() == 0
+
+
 def test_markers(spark):
     rows = spark.createDataFrame([("[A, 1,0] did it",), ("no marker",), ("x [a, 2, 1]",)], "message string")
     out = traces.from_markers(rows, remove=True).collect()
