@@ -1,39 +1,18 @@
-"""Tables that cut lineage: Parquet under the folder in spark.checkpoint.dir, which all executors and the driver share.
+"""Tables that cut lineage (see emberlog.sources.written), and numbers for rows.
 
-A lost executor then costs the tasks that read such a table, not the work before it. Tables that a returned DataFrame still
-reads stay; clean() removes all that this process has written, once their readers are done.
+Tables that a returned DataFrame still reads stay; clean() removes all that this process has written, once their readers are
+done.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.sources.written import clean, dropped, folder, saved
+
 #: A column of row ids.
 ROW = "__row"
-_written: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary folder, set for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="emberlog-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written once and read back."""
-    path = f"{folder(df.sparkSession)}/emberlog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._emberlog_path = path
-    return out
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -41,21 +20,4 @@ def numbered(df: DataFrame) -> DataFrame:
     return saved(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _written:
-        _written.remove(path)
-
-
-def dropped(table: DataFrame) -> None:
-    """Deletes a table of saved() that nothing reads any more."""
-    path = getattr(table, "_emberlog_path", None)
-    if path:
-        _delete(table.sparkSession, path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes all tables that saved() has written in this process."""
-    for path in list(_written):
-        _delete(spark, path)
+__all__ = ["ROW", "clean", "dropped", "folder", "numbered", "saved"]
