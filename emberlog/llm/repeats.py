@@ -1,18 +1,22 @@
 """Repeated passages: bytes covered by a string of LENGTH bytes that starts anywhere else, too.
 
-Sorting the suffixes of a whole corpus costs far more than its repeats are worth, so most strings are settled before:
+All strings that may repeat are put in order by external induced sorting (see emberlog.llm.induced), whose common prefixes tell
+which ones do. Before that, strings are dealt to shards, and those that can't repeat, or do so plainly, are left out:
 
 1. Winnowing gives each string of LENGTH bytes one anchor: of the GRAM-byte strings in it, the one of least hash. Equal
-   strings have equal anchors. Runs of strings with one anchor make a fragment: about 280 bytes for each 77.
+   strings have equal anchors, so each shard can be sorted by itself. Runs of strings with one anchor make a fragment: about
+   280 bytes for each 77.
 2. Fragments meet by the anchor's hash. An anchor that stands once settles its fragment: nothing in it repeats. Equal
    fragments (by a second hash of all their bytes) settle each other: all in them repeats.
 3. What is left - fragments that share an anchor but differ, mostly where copies begin, end or were edited - goes to shards
-   by anchor, each different fragment once, and each shard's suffixes are put in order by induced sorting with bucket queues
-   that spill to disk. Neighbours in that order with a common prefix of LENGTH bytes repeat, which is checked byte by byte.
+   by anchor, each different fragment once. A shard is read as it comes, so it can be larger than memory: beyond a bound its
+   text, its queues and its tables lie in files of the task. Suffixes that are neighbours in its order with a common prefix of
+   LENGTH bytes repeat.
 
-Texts are known by a 64-bit hash, so copies of a text are one text; texts that stand twice repeat whole. Texts are read and
-hashed where they lie; only the texts that keep fragments for step 3 or lose bytes are shuffled. No text, fragment list or
-link reaches the driver.
+Anchors on many fragments are told first; their rows are pre-aggregated by fragment and never meet in one task. Texts are known
+by a 64-bit hash, and a second one tells different texts that share it, which then go by the second; texts that stand twice
+repeat whole. Texts are read and hashed where they lie; only the texts that keep fragments for step 3 or lose bytes are
+shuffled. No text, fragment list or link reaches the driver.
 
 Null text counts as empty; texts under LENGTH bytes keep all; repeated rows are copies of each other; empty tables give
 empty tables. Columns other than the key and the text don't pass through.
@@ -20,25 +24,42 @@ empty tables. Columns other than the key and the text don't pass through.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.induced import powers, running_hash, suffix_order
+from emberlog.llm.induced import Disk, descending_suffixes
 from emberlog.llm.memory import released, small_batches, tidy
 from emberlog.llm.scratch import dropped, saved
 from emberlog.llm.shingles import mixed, slices
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text whose hashes a task holds at once, and bytes of fragments in a shard on average.
-CHUNK_BYTES, SHARD_BYTES = 1 << 19, 2 << 20
+CHUNK_BYTES, SHARD_BYTES = 1 << 19, 8 << 20
+#: Anchors on more fragments than this, or than a millionth of all, are hot; there are so few that they can be broadcast.
+HOT_ROWS = 2000
 #: Anchors with more different fragments than this tell their fragments apart by further anchors.
 CROWD = 4096
 #: Ids are broadcast to pick texts if they are at most so many; beyond that the texts are shuffled to them.
 BROADCAST_IDS = 4_000_000
+#: Salt of the second hash of a text.
+SECOND = 0x5EC0
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, modulo 2**64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64), 0x51ED270B) | np.uint64(1)
 _UP, _DOWN = powers(CHUNK_BYTES + 2 * LENGTH)
 
@@ -156,34 +177,84 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names)
 
 
-def repeated_in(parts: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each part, the stretches covered by strings of LENGTH bytes that start in two places of all parts."""
-    sizes = np.array([len(p) for p in parts])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    text = np.ones(int((sizes + 1).sum()) + 1, np.int16)
-    for b, p in zip(begins.tolist(), parts, strict=True):
-        text[b : b + len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) + 2
-    text[-1] = 0
-    up, down = powers(len(text))
-    sums = running_hash(text, up)
-    del up
-    order = suffix_order(text, sums, down)
-    full = np.zeros(len(text), bool)
-    for b, size in zip(begins.tolist(), sizes.tolist(), strict=True):
-        full[b : b + max(size - LENGTH + 1, 0)] = True
-    order = order[full[order]]
-    told = (sums[order + LENGTH] - sums[order]) * down[order]
-    near = np.flatnonzero(told[1:] == told[:-1])
-    twice = np.zeros(len(text), bool)
-    view = np.lib.stride_tricks.sliding_window_view(text, LENGTH) if len(text) >= LENGTH else None
-    for at in range(0, len(near), 20_000):
-        i = near[at : at + 20_000]
-        same = (view[order[i]] == view[order[i + 1]]).all(axis=1)
-        twice[order[i[same]]] = twice[order[i[same] + 1]] = True
-    out = []
-    for b, size in zip(begins.tolist(), sizes.tolist(), strict=True):
-        out.append(merged([(s, s + LENGTH) for s in np.flatnonzero(twice[b : b + size]).tolist()]))
-    return out
+class _Shard:
+    """The text of a shard - its parts, 2 added to each byte, with a 1 behind each - and what the parts are, as they come."""
+
+    def __init__(self) -> None:
+        self.disk = Disk()
+        self._parts: list[np.ndarray] = []
+        self._held, self._file, self.size = 0, None, 0
+        self.names: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, names: tuple[np.ndarray, ...], parts: pa.Array) -> None:
+        """names: arrays that tell the parts; parts: binary."""
+        sizes = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        text = np.ones(int((sizes + 1).sum()), np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[begins + sizes] = False
+        text[inside] = np.frombuffer(b"".join(parts.to_pylist()), np.uint8) + 2  # UTF-8 has no byte over 244
+        self.names.append((*names, self.size + begins, sizes))
+        self._parts.append(text)
+        self.size += len(text)
+        self._held += len(text)
+        if self._held > self.disk.most:
+            self._file = self._file or tempfile.TemporaryFile()
+            for x in self._parts:
+                x.tofile(self._file)
+            self._parts, self._held = [], 0
+
+    def text(self) -> np.ndarray:
+        end = np.zeros(1, np.uint8)
+        if self._file is None:
+            return np.concatenate([*self._parts, end])
+        for x in (*self._parts, end):
+            x.tofile(self._file)
+        self._file.flush()
+        return np.memmap(self._file, np.uint8, "r", shape=(self.size + 1,))
+
+    def repeated(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """names, lo and hi of the maximal stretches covered by strings of LENGTH bytes that start in two places of the shard."""
+        if not self.names:
+            return
+        names = [np.concatenate(x) for x in zip(*self.names, strict=True)]
+        begins, sizes = names[-2:]
+        twice = self.disk.room(self.size + 1, bool)
+        last = None
+        for places, common in descending_suffixes(self.text(), 256, self.disk):
+            at = np.flatnonzero(common >= LENGTH)
+            twice[places[at]] = True
+            twice[places[at[at > 0] - 1]] = True
+            if len(at) and at[0] == 0:
+                twice[last] = True
+            last = places[-1]
+        carried = None  # the last stretch so far, which may go on: part, first and last string
+        for k in range(0, len(twice), CHUNK_BYTES):
+            place = np.flatnonzero(twice[k : k + CHUNK_BYTES]) + k
+            part = np.searchsorted(begins, place, side="right") - 1
+            whole = place + LENGTH <= begins[part] + sizes[part]  # other strings reach over the end of their part
+            place, part = place[whole], part[whole]
+            if not len(place):
+                continue
+            fresh = np.concatenate([[True], (part[1:] != part[:-1]) | (place[1:] - place[:-1] > LENGTH)])
+            starts = np.flatnonzero(fresh)
+            ends = np.append(starts[1:], len(place)) - 1
+            stretch = np.stack([part[starts], place[starts], place[ends]])
+            if carried is not None:
+                if stretch[0, 0] == carried[0, 0] and stretch[1, 0] - carried[2, 0] <= LENGTH:
+                    stretch[1, 0] = carried[1, 0]
+                else:
+                    stretch = np.concatenate([carried, stretch], axis=1)
+            stretch, carried = stretch[:, :-1], stretch[:, -1:]
+            yield self._told(names, stretch)
+        if carried is not None:
+            yield self._told(names, carried)
+
+    @staticmethod
+    def _told(names: list[np.ndarray], stretch: np.ndarray) -> tuple[np.ndarray, ...]:
+        part, first, last = stretch
+        begin = names[-2][part]
+        return (*(x[part] for x in names[:-2]), first - begin, last + LENGTH - begin)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -198,19 +269,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _sorted_shard(table: pa.Table) -> pa.Table:
-    parts: dict[tuple[int, int, int], bytes] = {}
-    for a, w, o, b in zip(*(table.column(c).to_pylist() for c in ("anchor", "whole", "offset", "bytes")), strict=True):
-        parts[a, w, o] = b
-    rows = [(a, w, o + lo, o + hi) for (a, w, o), spans in zip(parts, repeated_in(list(parts.values())), strict=True) for lo, hi in spans]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    released()
-    return pa.table([pa.array(c, pa.int64()) for c in columns], ["anchor", "whole", "lo", "hi"])
+def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, anchor, whole, offset, bytes) in order of shards to anchor, whole, lo, hi of stretches that repeat."""
 
+    def told(shard: _Shard) -> Iterator[pa.RecordBatch]:
+        for anchor, whole, offset, lo, hi in shard.repeated():
+            if len(lo):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, whole, offset + lo, offset + hi)], ["anchor", "whole", "lo", "hi"])
+        released()
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs: t (hash of text), text. Rows of t, lo, hi: covered stretches of texts that stand once or more (not merged)."""
-    found = docs.select("t", "text").mapInArrow(tidy(_found), "anchor long, whole long, t long, first long, n int")
+    shard, at = _Shard(), None
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        for b, e in zip(cuts[:-1], cuts[1:], strict=True) if len(numbers) else ():
+            if at is not None and numbers[b] != at:
+                yield from told(shard)
+                shard = _Shard()
+            at = numbers[b]
+            shard.add(tuple(batch.column(i).slice(b, e - b).to_numpy() for i in (1, 2, 3)), batch.column(4).slice(b, e - b))
+    yield from told(shard)
+
+
+def _calm(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of fragments whose anchors stand a bounded number of times: covered stretches (t, lo, hi), fragments to be sorted (t,
+    anchor, whole, first, n, crowded) and those of them that stand once (anchor, whole, t, first)."""
     by_anchor = found.repartition("anchor").dropDuplicates(["anchor", "whole", "t", "first", "n"])
     anchors, wholes = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
     least, most = F.min("whole").over(anchors), F.max("whole").over(anchors)
@@ -218,16 +301,48 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rank = F.row_number().over(wholes.orderBy("t", "first"))
     met = met.withColumn("fetch", F.col("mixed") & (rank == 1))
     met = saved(met.withColumn("crowded", F.sum(F.col("fetch").cast("int")).over(anchors) > CROWD))
-
     settled = met.filter(F.col("copies") > 1).select("t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + LENGTH - 1).alias("hi"))
-    fetch = met.filter("fetch")
+    lone = met.filter(F.col("mixed") & (F.col("copies") == 1)).select("anchor", "whole", "t", "first")
+    return settled, met.filter("fetch").select("t", "anchor", "whole", "first", "n", "crowded"), lone
+
+
+def _hot(found: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As _calm(), of fragments with hot anchors (more than rows fragments each): nothing is grouped without partial sums, and
+    what hot fragments have in common is broadcast, as there are at most a rows-th of all as many."""
+    pairs = saved(
+        found.groupBy("anchor", "whole").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("t").alias("t"), F.max("t").alias("t1"), F.min("first").alias("f0"), F.max("first").alias("f1"), F.min_by("first", "t").alias("first"), F.max("n").alias("n")
+        )
+    )
+    kinds = F.broadcast(pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")))
+    told = pairs.join(kinds, "anchor").withColumn("twice", (F.col("t") != F.col("t1")) | (F.col("f0") != F.col("f1")))
+    twice = told.filter("twice").select("anchor", "whole", "rows")
+    large = F.broadcast(twice.filter(F.col("rows") > rows).drop("rows"))
+    members = found.join(large, ["anchor", "whole"], "left_semi").unionByName(
+        found.join(large, ["anchor", "whole"], "left_anti").join(twice.filter(F.col("rows") <= rows).drop("rows"), ["anchor", "whole"], "left_semi")
+    )
+    settled = members.select("t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + LENGTH - 1).alias("hi"))
+    mixed = told.filter("kinds > 1").withColumn("crowded", F.col("kinds") > CROWD)
+    return settled, mixed.select("t", "anchor", "whole", "first", "n", "crowded"), mixed.filter(~F.col("twice")).select("anchor", "whole", "t", "first")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """docs: t (names the text), text. Rows of t, lo, hi: covered stretches of texts that stand once or more (not merged)."""
+    found = saved(docs.select("t", "text").mapInArrow(tidy(_found), "anchor long, whole long, t long, first long, n int"))
+    rows = max(HOT_ROWS, found.count() // 1_000_000)
+    hot = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > rows).select("anchor"))
+    if hot.isEmpty():
+        settled, fetch, lone = _calm(found)
+    else:
+        parts = _calm(found.join(F.broadcast(hot), "anchor", "left_anti")), _hot(found.join(F.broadcast(hot), "anchor", "left_semi"), rows)
+        settled, fetch, lone = (a.unionByName(b) for a, b in zip(*parts, strict=True))
     shards = max(1, -(-fetch.count() * (LENGTH + 80) // SHARD_BYTES))
     wanted = saved(fetch.groupBy("t").agg(F.collect_list(F.struct("anchor", "whole", "first", "n", "crowded")).alias("wanted")))
-    texts = picked(docs, wanted.select("t"))
+    texts = picked(docs.select("t", "text"), wanted.select("t")).dropDuplicates(["t"])
     pieces = texts.join(wanted, "t").select("text", "wanted").mapInArrow(tidy(_cut), "anchor long, whole long, offset long, grouped long, bytes binary")
-    shard = F.pmod(F.xxhash64("grouped"), F.lit(shards)).cast("int")
-    covers = pieces.groupBy(shard.alias("shard")).applyInArrow(_sorted_shard, "anchor long, whole long, lo long, hi long")
-    lone = met.filter(F.col("mixed") & (F.col("copies") == 1)).select("anchor", "whole", "t", "first")
+    shard = F.pmod(F.xxhash64("grouped"), F.lit(shards)).cast("int").alias("shard")
+    dealt = pieces.select(shard, "anchor", "whole", "offset", "bytes").repartition("shard").sortWithinPartitions("shard")
+    covers = dealt.mapInArrow(tidy(_sorted_shards), "anchor long, whole long, lo long, hi long")
     edges = lone.join(covers, ["anchor", "whole"]).select("t", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
     return settled.unionByName(edges)
 
@@ -253,13 +368,24 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """t of texts that stand twice, with the least and greatest of their second hashes."""
+    return saved(docs.filter(F.col("n") >= LENGTH).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi")).filter("c > 1"))
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: key, n_bytes, kept (binary, what is left) and removed (array of struct<lo, hi>, bytes)."""
     small_batches(df.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(key).alias("key"), whole.alias("text"), F.xxhash64(whole).alias("t"), F.octet_length(whole).cast("long").alias("n"))
-    copies = docs.filter(F.col("n") >= LENGTH).groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t")
-    copies = saved(copies)
+    docs = df.select(F.col(key).alias("key"), whole.alias("text"), F.xxhash64(whole).alias("t"), F.xxhash64(F.lit(SECOND), whole).alias("u"), F.octet_length(whole).cast("long").alias("n"))
+    copies = _copies(docs)
+    shared = copies.filter("lo <> hi").select("t")
+    if not shared.isEmpty():
+        # Different texts of one hash, a handful in billions, go by their second one.
+        docs = docs.join(F.broadcast(shared.withColumn("__shared", F.lit(True))), "t", "left").withColumn("t", F.when(F.col("__shared"), F.col("u")).otherwise(F.col("t"))).drop("__shared")
+        copies = _copies(docs)
+    copies = copies.select("t")
+    docs = docs.drop("u")
     spans = saved(repeated_spans(docs))
     marked = saved(spans.join(copies, "t", "left_anti").groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     dropped(spans)

@@ -125,14 +125,51 @@ def test_bounds_lose_no_item():
                 assert (t, s) in kept
 
 
-@pytest.mark.parametrize("most", [100, 1 << 20])
-def test_suffix_order(most):
+def _ordered(text):
+    """All suffixes but the last in descending order, and their common prefixes, by comparing them."""
+    text = list(map(int, text))
+    places = sorted(range(len(text)), key=lambda i: text[i:])[:0:-1]
+    common = [0]
+    for a, b in zip(places, places[1:], strict=False):
+        k = 0
+        while k < 255 and text[a + k : a + k + 1] == text[b + k : b + k + 1]:
+            k += 1
+        common.append(k)
+    return places, common
+
+
+def _induced(text, characters, most):
+    disk = induced.Disk(most)
+    out = list(induced.descending_suffixes(text, characters, disk))
+    return ([x for p, _ in out for x in p.tolist()], [x for _, c in out for x in c.tolist()]), disk
+
+
+@pytest.mark.parametrize("span", [4, 50, 1 << 18])
+def test_induced_sorting(monkeypatch, span):
+    monkeypatch.setattr(induced, "SPAN", span)
     rng = np.random.default_rng(0)
-    for n, a in ((1, 3), (5, 2), (50, 2), (300, 1), (1000, 4)):
-        text = np.concatenate([rng.integers(1, a + 1, n), [0]])
-        plain = bytes(text.astype(np.uint8))
-        order = induced.suffix_order(text, induced.running_hash(text), most=most)
-        assert [plain[i : i + 256] for i in order] == sorted(plain[i : i + 256] for i in range(len(plain)))
+    for trial in range(150):
+        n, a = int(rng.integers(1, 120)), int(rng.integers(1, 6))
+        text = rng.integers(1, a + 1, n)
+        text = np.tile(text[: int(rng.integers(1, 8))], 20)[:n] if trial % 5 == 0 else np.tile(text, 3) if trial % 7 == 0 else text
+        text = np.append(text, 0)
+        assert _induced(text, a + 1, 200 if trial % 2 else 1 << 20)[0] == _ordered(text), text.tolist()
+    steps = np.arange(1, 300)
+    for text in (np.ones(600, int), np.tile(np.append(np.ones(400, int), 2), 3), np.tile(steps, 5), np.tile(steps[::-1], 5), np.tile(np.append(steps, steps[::-1]), 4)):
+        text = np.append(text, 0)
+        assert _induced(text, int(text.max()) + 1, 500)[0] == _ordered(text)
+
+
+def test_sorting_far_beyond_memory(monkeypatch):
+    """A text whose tuples take a hundred times the bound: it spills, and recurses, and gives the same."""
+    monkeypatch.setattr(induced, "SPAN", 1000)
+    rng = np.random.default_rng(1)
+    base = rng.integers(1, 20, 30_000)
+    text = np.concatenate([base, rng.integers(1, 20, 20_000), base[5000:25_000], [0]])
+    within, _ = _induced(text, 20, 1 << 30)
+    beyond, disk = _induced(text, 20, 8000)
+    assert within == beyond and disk.depth >= 3 and disk.spilled > 100 * disk.most
+    assert max(beyond[1]) == 255 and sorted(beyond[0]) == list(range(len(text) - 1))
 
 
 def _repeats(texts):
@@ -149,9 +186,10 @@ def _repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("crowd", [0, 4096])
-def test_repeats(spark, saved_docs, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "hot"), [(0, 2000), (4096, 2000), (4096, 2), (3, 1)])
+def test_repeats(spark, saved_docs, monkeypatch, crowd, hot):
     monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
     rng = random.Random(8)
     part = " ".join(_words(rng, 60))
     exact = part[:200]
@@ -164,6 +202,38 @@ def test_repeats(spark, saved_docs, monkeypatch, crowd):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id], (r.doc_id, texts[r.doc_id])
 
 
+@pytest.mark.parametrize("most", [3000, 1 << 30])
+def test_shards_beyond_memory(monkeypatch, most):
+    import pyarrow as pa
+
+    monkeypatch.setattr(induced, "QUEUE_BYTES", most)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 700)
+    rng = random.Random(18)
+    common = rng.randbytes(900).replace(b"\xff", b"a").replace(b"\xfe", b"b")
+    parts = [bytes(rng.randrange(32, 127) for _ in range(rng.randint(0, 600))) + common[k * 40 : k * 40 + rng.randint(100, 500)] for k in range(12)] * 1 + [b"ab" * 300, common[:200], common[100:299]]
+    shard = repeats._Shard()
+    for at in range(0, len(parts), 4):
+        shard.add((np.arange(at, min(at + 4, len(parts))),), pa.array(parts[at : at + 4], pa.binary()))
+    found = {(int(n), int(a), int(b)) for x in shard.repeated() for n, a, b in zip(*x, strict=True)}
+    seen = Counter(p[i : i + 200] for p in parts for i in range(len(p) - 199))
+    expected = {(n, a, b) for n, p in enumerate(parts) for a, b in repeats.merged([(i, i + 200) for i in range(len(p) - 199) if seen[p[i : i + 200]] > 1])}
+    assert found == expected and len(found) > 5
+    assert (shard.disk.spilled > 0) == (most == 3000)
+
+
+def test_texts_of_one_hash(spark, docs_of, monkeypatch):
+    """Different texts whose first hashes are the same keep what doesn't repeat."""
+    from pyspark.sql import functions as F
+
+    plain = repeats.F.xxhash64
+    rng = random.Random(19)
+    texts = [" ".join(_words(rng, 80)) for _ in range(4)]
+    texts.append(texts[3])
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: F.lit(5).cast("long") if len(c) == 1 and "coalesce" in str(c[0]) else plain(*c))
+    rows = {r.doc_id: r.removed for r in repeats.remove_repeats(docs_of(texts)).collect()}
+    assert [bool(rows[i]) for i in range(5)] == [False, False, False, True, True]
+
+
 def test_long_text_in_chunks(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 700)
     data = np.frombuffer(random.Random(3).randbytes(5000), np.uint8)
