@@ -7,7 +7,7 @@ turns that of the falling suffixes is induced in an ascending scan, and from the
 scan. Each scan takes tuples (first character, place, common prefix with the one before) from a queue in the order of their
 characters and gives each one's left neighbour, as a tuple, back to the queue. The common prefix of two neighbours is one more
 than the least between the suffixes that they were induced from, so common prefixes are carried through all scans and, by
-way of the stretches' lengths, through the recursion.
+way of the stretches' lengths, through the recursion, which ends where the names that are left fit in memory.
 
 Queues hold ranges of characters; ranges wait in memory up to a bound for all of them, and beyond it in a temporary file. The
 text, names and places of turns lie in mapped files beyond that bound, too. So memory is bounded whatever the length of the
@@ -23,9 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of waiting tuples, or of one array, that are held in memory.
-QUEUE_BYTES = 96 << 20
+QUEUE_BYTES = 72 << 20
 #: Tuples that are sorted or scanned at once.
 SPAN = 1 << 18
+#: Ranges of a queue are smaller by so much.
+SPLIT = 4
+#: Bytes of memory for each name in which a text of names is sorted; the recursion ends where that fits.
+NAME_BYTES = 48
 #: Common prefixes are told up to so many characters.
 MOST_COMMON = 255
 
@@ -110,9 +114,10 @@ class Queue:
     """Tuples (character, place, common prefix) by ranges of characters."""
 
     def __init__(self, counts: np.ndarray, disk: Disk) -> None:
-        """counts: of each character; a range has about SPAN tuples, or one character that has more."""
-        heavy = counts > SPAN
-        group = (np.cumsum(counts) - counts) // SPAN
+        """counts: of each character; a range has about SPAN / SPLIT tuples, or one character that has more."""
+        size = max(SPAN // SPLIT, 1)
+        heavy = counts > size
+        group = (np.cumsum(counts) - counts) // size
         cut = np.ones(len(counts), bool)
         cut[1:] = (group[1:] != group[:-1]) | heavy[1:] | heavy[:-1]
         self.edges = np.append(np.flatnonzero(cut), len(counts))
@@ -485,6 +490,32 @@ def _common(text: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray,
     return out.astype(np.uint8)
 
 
+def _within_memory(text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As descending_suffixes(), for names that are few enough: by ranks of doubled length."""
+    n, rank, kept, k = len(text), np.asarray(text).astype(np.int64), [], 1
+    while True:
+        if k < MOST_COMMON:
+            kept.append(rank.astype(np.int32))
+        after = np.zeros(n, np.int64)
+        after[: n - k] = rank[k:] + 1
+        key = rank * (int(rank.max()) + 2) + after
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+        k *= 2
+        if rank[order[-1]] == n - 1:
+            break
+    order = order[:0:-1]
+    common = np.zeros(n - 1, np.int64)
+    for j in reversed(range(len(kept))):
+        # Ranks of 2**j names tell whether so many more are the same; the closing 0 keeps places apart before the end.
+        a, b = order[:-1] + common[1:], order[1:] + common[1:]
+        same = (a < n) & (b < n)
+        same[same] = kept[j][a[same]] == kept[j][b[same]]
+        common[1:][same] += 1 << j
+    yield order, np.minimum(common, MOST_COMMON).astype(np.uint8)
+
+
 def descending_suffixes(text: np.ndarray, characters: int, disk: Disk | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, common prefixes) of all suffixes but the last, in descending order; a common prefix is that with the suffix
     before it in this order, up to MOST_COMMON. text: whole numbers under characters, 0 at the end alone."""
@@ -506,6 +537,8 @@ def descending_suffixes(text: np.ndarray, characters: int, disk: Disk | None = N
                 by_name[names[k : k + SPAN]] = np.arange(k, min(k + SPAN, len(names)))
             # Chunks of places in descending order; no two suffixes have their first name in common.
             below = ((np.asarray(by_name[max(k - SPAN, 1) : k])[::-1], np.zeros(k - max(k - SPAN, 1), np.uint8)) for k in range(len(by_name), 1, -SPAN))
+        elif len(names) * NAME_BYTES <= disk.most:
+            below = _within_memory(names)
         else:
             below = descending_suffixes(names, kinds + 1, disk)
         for numbers, common in below:

@@ -40,7 +40,7 @@ from emberlog.llm.shingles import mixed, slices
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text whose hashes a task holds at once, and bytes of fragments in a shard on average.
-CHUNK_BYTES, SHARD_BYTES = 1 << 19, 8 << 20
+CHUNK_BYTES, SHARD_BYTES = 1 << 19, 12 << 20
 #: Anchors on more fragments than this, or than a millionth of all, are hot; there are so few that they can be broadcast.
 HOT_ROWS = 2000
 #: Anchors with more different fragments than this tell their fragments apart by further anchors.

@@ -154,6 +154,8 @@ def test_induced_sorting(monkeypatch, span):
         text = np.tile(text[: int(rng.integers(1, 8))], 20)[:n] if trial % 5 == 0 else np.tile(text, 3) if trial % 7 == 0 else text
         text = np.append(text, 0)
         assert _induced(text, a + 1, 200 if trial % 2 else 1 << 20)[0] == _ordered(text), text.tolist()
+        places, common = zip(*induced._within_memory(text), strict=True)
+        assert (places[0].tolist(), common[0].tolist()) == _ordered(text)
     steps = np.arange(1, 300)
     for text in (np.ones(600, int), np.tile(np.append(np.ones(400, int), 2), 3), np.tile(steps, 5), np.tile(steps[::-1], 5), np.tile(np.append(steps, steps[::-1]), 4)):
         text = np.append(text, 0)
