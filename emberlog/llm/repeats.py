@@ -205,10 +205,10 @@ class _Shard:
             self._parts, self._held = [], 0
 
     def text(self) -> np.ndarray:
-        end = np.zeros(1, np.uint8)
+        parts, self._parts = [*self._parts, np.zeros(1, np.uint8)], []
         if self._file is None:
-            return np.concatenate([*self._parts, end])
-        for x in (*self._parts, end):
+            return np.concatenate(parts)
+        for x in parts:
             x.tofile(self._file)
         self._file.flush()
         return np.memmap(self._file, np.uint8, "r", shape=(self.size + 1,))
@@ -291,51 +291,45 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from told(shard)
 
 
-def _calm(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of fragments whose anchors stand a bounded number of times: covered stretches (t, lo, hi), fragments to be sorted (t,
-    anchor, whole, first, n, crowded) and those of them that stand once (anchor, whole, t, first)."""
-    by_anchor = found.repartition("anchor").dropDuplicates(["anchor", "whole", "t", "first", "n"])
-    anchors, wholes = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
-    least, most = F.min("whole").over(anchors), F.max("whole").over(anchors)
-    met = by_anchor.withColumns({"mixed": least != most, "copies": F.count(F.lit(1)).over(wholes)}).filter(F.col("mixed") | (F.col("copies") > 1))
-    rank = F.row_number().over(wholes.orderBy("t", "first"))
-    met = met.withColumn("fetch", F.col("mixed") & (rank == 1))
-    met = saved(met.withColumn("crowded", F.sum(F.col("fetch").cast("int")).over(anchors) > CROWD))
-    settled = met.filter(F.col("copies") > 1).select("t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + LENGTH - 1).alias("hi"))
-    lone = met.filter(F.col("mixed") & (F.col("copies") == 1)).select("anchor", "whole", "t", "first")
-    return settled, met.filter("fetch").select("t", "anchor", "whole", "first", "n", "crowded"), lone
-
+def _met(found: DataFrame) -> DataFrame:
+    """Fragments that share their anchor: anchor, whole, t, first, n, copies (1: it stands once), mixed (other fragments have that
+    anchor, too), fetch (this row stands for its fragment in a shard) and crowded (many do).
 
-def _hot(found: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As _calm(), of fragments with hot anchors (more than rows fragments each): nothing is grouped without partial sums, and
-    what hot fragments have in common is broadcast, as there are at most a rows-th of all as many."""
-    pairs = saved(
-        found.groupBy("anchor", "whole").agg(
-            F.count(F.lit(1)).alias("rows"), F.min("t").alias("t"), F.max("t").alias("t1"), F.min("first").alias("f0"), F.max("first").alias("f1"), F.min_by("first", "t").alias("first"), F.max("n").alias("n")
-        )
-    )
-    kinds = F.broadcast(pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")))
-    told = pairs.join(kinds, "anchor").withColumn("twice", (F.col("t") != F.col("t1")) | (F.col("f0") != F.col("f1")))
-    twice = told.filter("twice").select("anchor", "whole", "rows")
-    large = F.broadcast(twice.filter(F.col("rows") > rows).drop("rows"))
-    members = found.join(large, ["anchor", "whole"], "left_semi").unionByName(
-        found.join(large, ["anchor", "whole"], "left_anti").join(twice.filter(F.col("rows") <= rows).drop("rows"), ["anchor", "whole"], "left_semi")
+    Rows are dealt by anchor. Those of hot anchors are dealt by fragment, and those of hot fragments by place; what these need
+    to know of each other comes from partial sums that are broadcast, as hot anchors and fragments are few.
+    """
+    rows = max(HOT_ROWS, found.count() // 1_000_000)
+    hot = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > rows).select("anchor", F.lit(True).alias("hot"))
+    told = found.join(F.broadcast(hot), "anchor", "left")
+    if_hot = lambda c: F.when(F.col("hot"), F.col(c)).alias(c)
+    pairs = told.groupBy(if_hot("anchor"), if_hot("whole")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("first").alias("f0"), F.max("first").alias("f1"), F.min_by("first", "t").alias("at")
     )
-    settled = members.select("t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + LENGTH - 1).alias("hi"))
-    mixed = told.filter("kinds > 1").withColumn("crowded", F.col("kinds") > CROWD)
-    return settled, mixed.select("t", "anchor", "whole", "first", "n", "crowded"), mixed.filter(~F.col("twice")).select("anchor", "whole", "t", "first")
+    pairs = saved(pairs.filter("anchor IS NOT NULL"))
+    kinds = pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    large = pairs.filter(F.col("rows") > rows).select("anchor", "whole", "t0", "at", ((F.col("t0") != F.col("t1")) | (F.col("f0") != F.col("f1"))).alias("twice"))
+    known = found.join(F.broadcast(kinds), "anchor", "left").join(F.broadcast(large), ["anchor", "whole"], "left")
+    deal = F.when(F.col("twice").isNotNull(), F.xxhash64("anchor", "whole", "t", "first")).when(F.col("kinds").isNotNull(), F.xxhash64("anchor", "whole")).otherwise(F.col("anchor"))
+    dealt = known.withColumn("deal", deal).repartition("deal").dropDuplicates(["deal", "anchor", "whole", "t", "first", "n"])
+    anchors, wholes = Window.partitionBy("deal", "anchor"), Window.partitionBy("deal", "anchor", "whole")
+    met = dealt.withColumns(
+        {
+            "mixed": F.when(F.col("kinds").isNotNull(), F.col("kinds") > 1).otherwise(F.min("whole").over(anchors) != F.max("whole").over(anchors)),
+            "copies": F.when(F.col("twice").isNotNull(), F.when(F.col("twice"), 2).otherwise(1)).otherwise(F.count(F.lit(1)).over(wholes)),
+        }
+    ).filter(F.col("mixed") | (F.col("copies") > 1))
+    one = F.when(F.col("twice").isNotNull(), (F.col("t") == F.col("t0")) & (F.col("first") == F.col("at"))).otherwise(F.row_number().over(wholes.orderBy("t", "first")) == 1)
+    met = met.withColumn("fetch", F.col("mixed") & one)
+    crowded = F.coalesce(F.col("kinds"), F.sum(F.col("fetch").cast("int")).over(anchors)) > CROWD
+    return saved(met.withColumn("crowded", crowded).select("anchor", "whole", "t", "first", "n", "copies", "mixed", "fetch", "crowded"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs: t (names the text), text. Rows of t, lo, hi: covered stretches of texts that stand once or more (not merged)."""
     found = saved(docs.select("t", "text").mapInArrow(tidy(_found), "anchor long, whole long, t long, first long, n int"))
-    rows = max(HOT_ROWS, found.count() // 1_000_000)
-    hot = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > rows).select("anchor"))
-    if hot.isEmpty():
-        settled, fetch, lone = _calm(found)
-    else:
-        parts = _calm(found.join(F.broadcast(hot), "anchor", "left_anti")), _hot(found.join(F.broadcast(hot), "anchor", "left_semi"), rows)
-        settled, fetch, lone = (a.unionByName(b) for a, b in zip(*parts, strict=True))
+    met = _met(found)
+    settled = met.filter(F.col("copies") > 1).select("t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + LENGTH - 1).alias("hi"))
+    fetch, lone = met.filter("fetch"), met.filter(F.col("mixed") & (F.col("copies") == 1)).select("anchor", "whole", "t", "first")
     shards = max(1, -(-fetch.count() * (LENGTH + 80) // SHARD_BYTES))
     wanted = saved(fetch.groupBy("t").agg(F.collect_list(F.struct("anchor", "whole", "first", "n", "crowded")).alias("wanted")))
     texts = picked(docs.select("t", "text"), wanted.select("t")).dropDuplicates(["t"])
