@@ -1,8 +1,9 @@
 """Template mining: masks, a fixed-depth search tree over messages, parameters, reconstruction, simplification.
 
-Mining is online and order-dependent by nature: each component is one group, mined in the order of its rows. The tree is
-learned over all messages of a component first; then each message is matched. Masking, reconstruction and simplification are
-plain columns.
+Mining is online and order-dependent by nature. Messages of different components, or of different numbers of tokens, never
+meet in the tree, so each such group is mined by itself, in the order of its rows: it gets masked messages and their order,
+nothing else. The tree is learned over all messages of a group first; then each different masked message is matched. Rows get
+their template in a join and their parameters in Arrow batches. Reconstruction and simplification are plain columns.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.patterns import PATTERNS, PRESETS, Mask, MiningSettings
 from emberlog.functions.text import FLAGS, stable_hash
+from emberlog.sources.written import saved
 
 WILD = "<*>"
 MOST_CHILDREN = 100
@@ -155,22 +157,69 @@ def mine_messages(messages: Sequence[str], settings: MiningSettings) -> tuple[li
     return out, templates
 
 
+def _with_parameters(rows: DataFrame, settings: MiningSettings, message: str) -> DataFrame:
+    """Adds parameters, read from each message by its template."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def fill(batches):
+        for batch in batches:
+            found = [parameters_of(t, m or "", settings.masks) for t, m in zip(batch["template"], batch[message], strict=True)]
+            yield batch.assign(parameters=[[{"value": v, "mask": n} for v, n in p] for p in found])
+
+    return rows.mapInPandas(fill, f"{kinds}, parameters array<struct<value: string, mask: string>>")
+
+
 def mine_templates(entries: DataFrame, settings: MiningSettings | str = "hadoop", component: str = "component", order: Sequence[str] = ("pos",), message: str = "message", keep: Sequence[str] = ()) -> DataFrame:
-    """component, order and keep columns, message, event (from 1 in each component), template, parameters (value, mask)."""
+    """component, order and keep columns, message, event (from 1 in each component, by the first message of each cluster), template,
+    parameters (value, mask). order must tell the rows of a component apart."""
     settings = PRESETS[settings] if isinstance(settings, str) else settings
-    columns = [component, *order, *[c for c in keep if c not in (component, *order)], message]
-    columns = list(dict.fromkeys(columns))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in entries.select(*columns).schema]
+    columns = list(dict.fromkeys([component, *order, *keep, message]))
+    rules = [(name, re.compile(pattern)) for name, pattern in settings.masks]
 
-    def mine(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order), kind="stable")
-        found, templates = mine_messages([m or "" for m in group[message]], settings)
-        return group.assign(
-            event=[e for e, _ in found], template=[templates[e] for e, _ in found], parameters=[[{"value": v, "mask": n} for v, n in p] for _, p in found]
-        )
+    @F.pandas_udf("string")
+    def hidden(messages: pd.Series) -> pd.Series:
+        def hide(text: str | None) -> str:
+            text = text or ""
+            for name, pattern in rules:
+                text = pattern.sub(f"<{name}>", text)
+            return text
 
-    schema = ", ".join([*kinds, "event long", "template string", "parameters array<struct<value: string, mask: string>>"])
-    return entries.select(*columns).groupBy(component).applyInPandas(mine, schema)
+        return messages.map(hide, na_action=None)
+
+    @F.pandas_udf("int")
+    def tokens(messages: pd.Series) -> pd.Series:
+        return messages.map(lambda m: len(m.split()))
+
+    rows = entries.select(*columns).withColumn("__masked", hidden(F.col(message)))
+    rows = rows.withColumn("__tokens", tokens(F.col("__masked")))
+    places = [f"__o{i}" for i in range(len(order))]
+    slim = rows.select(F.col(component).alias("__component"), "__tokens", *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)], "__masked")
+    kind = lambda c: entries.schema[c].dataType.simpleString()
+    schema = ", ".join([f"__component {kind(component)}", "__tokens int", "__masked string", "template string", *(f"{p} {kind(c)}" for p, c in zip(places, order, strict=True))])
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(places, kind="stable")
+        tree = TemplateTree(settings.similarity, settings.depth)
+        founded: list[int] = []
+        for i, text in enumerate(group["__masked"]):
+            if tree.learn(text) == len(founded):
+                founded.append(i)
+        known = group["__masked"].drop_duplicates()
+        events = [tree.match(text) or 0 for text in known]
+        first = group.iloc[[founded[e] for e in events]]
+        out = {"__component": first["__component"].array, "__tokens": first["__tokens"].array, "__masked": known.array, "template": [" ".join(tree.templates[e]) for e in events]}
+        return pd.DataFrame(out | {p: first[p].array for p in places})
+
+    known = saved(slim.groupBy("__component", "__tokens").applyInPandas(learn, schema))
+    # An event is a cluster of a component, numbered by the row that founded it. Clusters are few.
+    number = F.row_number().over(Window.partitionBy("__component").orderBy(*places, "__tokens"))
+    keys = ["__component", "__tokens", *places]
+    clusters = known.select(*keys).distinct().withColumn("event", number.cast("long"))
+    numbered = clusters.select(*[F.col(k).alias(f"{k}_") for k in keys], "event")
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    told = known.join(numbered, same).select("__component", F.col("__masked").alias("__known"), "event", "template")
+    joined = rows.join(told, F.col(component).eqNullSafe(F.col("__component")) & (F.col("__masked") == F.col("__known")))
+    return _with_parameters(joined.select(*columns, "event", "template"), settings, message)
 
 
 def mine_distinct(entries: DataFrame, settings: MiningSettings | str = "hadoop", component: str = "component", order: Sequence[str] = ("pos",), message: str = "message", keep: Sequence[str] = ()) -> DataFrame:
@@ -195,15 +244,7 @@ def mine_distinct(entries: DataFrame, settings: MiningSettings | str = "hadoop",
 
     ranked = firsts.withColumn("__rank", F.row_number().over(Window.partitionBy(component).orderBy("__first"))).drop("__first")
     known = ranked.groupBy(component).applyInPandas(learn, f"`{name}` {kind}, __masked string, event long, template string")
-    joined = rows.join(known, [component, "__masked"]).drop("__masked")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema)
-
-    def fill(batches):
-        for batch in batches:
-            found = [parameters_of(t, m or "", settings.masks) for t, m in zip(batch["template"], batch[message], strict=True)]
-            yield batch.assign(parameters=[[{"value": v, "mask": n} for v, n in p] for p in found])
-
-    return joined.mapInPandas(fill, f"{kinds}, parameters array<struct<value: string, mask: string>>")
+    return _with_parameters(rows.join(known, [component, "__masked"]).drop("__masked"), settings, message)
 
 
 def event_dictionary(mined: DataFrame, component: str = "component") -> DataFrame:
@@ -217,6 +258,19 @@ def reconstruct(template: Column, values: Column) -> Column:
     return F.array_join(F.zip_with(pieces, F.slice(filled, F.lit(1), F.size(pieces)), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
 
 
+def _hex_rest(digits: Column, modulus: int) -> Column:
+    """A hexadecimal number of any length modulo a number."""
+    parts = F.regexp_extract_all(digits, F.lit("[0-9a-fA-F]{1,8}"), F.lit(0))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: (a * F.pow(F.lit(16), F.length(x)).cast("long") + F.conv(x, 16, 10).cast("long")) % modulus)
+
+
+def _whole_hex(digits: Column) -> Column:
+    """A hexadecimal number in decimal digits: exact up to 31 digits, longer ones stay as they are."""
+    parts = F.regexp_extract_all(F.lpad(digits, 32, "0"), F.lit("[0-9a-fA-F]{8}"), F.lit(0))
+    wide = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a * F.lit(4294967296).cast("decimal(11,0)") + F.conv(x, 16, 10).cast("decimal(11,0)")).cast("decimal(38,0)"))
+    return F.when(F.length(digits) <= 15, F.conv(digits, 16, 10)).when(F.length(digits) <= 31, wide.cast("string")).otherwise(digits)
+
+
 def simplified(value: Column, mask: Column) -> Column:
     """A short stand-in for a parameter, by the name of its mask; the first rule that fits counts."""
     code = stable_hash(value, 100_000)
@@ -236,8 +290,8 @@ def simplified(value: Column, mask: Column) -> Column:
         .when(mask.endswith("_id"), F.concat(F.regexp_replace(mask, "_id$", ""), F.lit("#"), code.cast("string")))
         .when(mask.rlike("^(?:ipv4_address|ipv6_address|mac_address)"), F.concat(F.lit("remote host #"), code.cast("string")))
         .when(mask == "long_numerical_list", common)
-        .when(mask == "hex_number", F.conv(hex_digits, 16, 10))
-        .when(mask == "hex_segment", F.lower(F.hex(F.conv(F.right(value, F.lit(15)), 16, 10).cast("long") % 100_000)))
+        .when(mask == "hex_number", _whole_hex(hex_digits))
+        .when(mask == "hex_segment", F.lower(F.hex(_hex_rest(value, 100_000))))
         .when(mask == "hex_identifier", F.lower(F.hex(code)))
         .when(mask.startswith("number"), value)
         .otherwise(plain)

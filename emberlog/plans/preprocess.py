@@ -33,7 +33,8 @@ def process_logs(lines: DataFrame, dataset: str, instances: DataFrame | None = N
     if dataset in cleaning.TIME_FORMATS:
         year = None
         if dataset == "telcoapp":
-            rows = rows.join(F.broadcast(instances.select("instance", F.year("fault_time").alias("__year"))), "instance", "left")
+            years = instances.select("instance", F.year("fault_time").alias("__year"))
+            rows = rows.join(F.broadcast(years) if _small(years) else years, "instance", "left")
             year = F.col("__year")
         rows = cleaning.timestamped(rows, cleaning.TIME_FORMATS[dataset], year).drop("__year")
     else:

@@ -86,7 +86,8 @@ def mask_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SETTINGS = MiningSettings(0.4, 4, masks("hex_number", "number"))
 
 
-@query()
+@query("""SELECT event_id, event_type AS component, 1::BIGINT AS event, event_type || ' {"k": <number>}' AS template,
+'[{"value":"' || regexp_extract(props, '-?\\d+') || '","mask":"number"}]' AS parameters FROM events""".replace("\\\\", "\\"))
 def mine_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     mined = templates.mine_templates(entries(spark, sf_dir), SETTINGS, order=["instance", "pos"], keep=["event_id"])
     return mined.select("event_id", "component", "event", "template", F.to_json("parameters").alias("parameters"))

@@ -1,5 +1,7 @@
 """Template mining, parameters, simplification, cleaning."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,22 @@ def test_columns_mine_and_rebuild(spark):
     assert mined.agg(F.min("event")).first()[0] == 1
 
 
+def test_groups_give_what_one_tree_gives(spark):
+    """Clusters of each component, mined in groups by tokens, against one tree over all messages of a component."""
+    rng = random.Random(6)
+    words = ["open", "close", "file", "7", "12", "0x1f", "x=3", "user", "failed"]
+    made = [(rng.choice(["a", "b", "", None]), i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for i in range(600)]
+    settings = MiningSettings(0.4, 5, masks("hex_number", "number"))
+    rows = spark.createDataFrame(made, "component string, pos long, message string")
+    mined = templates.mine_templates(rows.repartition(5), settings)
+    found = {r["pos"]: (r["event"], r["template"], [(p["value"], p["mask"]) for p in r["parameters"]]) for r in mined.collect()}
+    for component in ("a", "b", "", None):
+        own = [x for x in made if x[0] == component]
+        events, names = templates.mine_messages([m for _, _, m in own], settings)
+        assert [found[i] for _, i, _ in own] == [(e, names[e], p) for e, p in events]
+    assert len(found) == 600
+
+
 def test_distinct_mining_rebuilds(spark):
     rows = spark.createDataFrame([("a", i, m) for i, m in enumerate(MESSAGES * 3)], "component string, pos long, message string")
     mined = templates.mine_distinct(rows, MiningSettings(0.1, 3))
@@ -79,6 +97,9 @@ def test_ids_start_anew_in_each_component(spark):
         ("content_or_condition_uri", "content://a", "content_or_condition-URI"),
         ("hex_number", "0xFF", "255"),
         ("hex_segment", "0186a1", "1"),
+        ("hex_segment", "d41d8cd98f00b204e9800998ecf8427e", hex(0xD41D8CD98F00B204E9800998ECF8427E % 100_000)[2:]),
+        ("hex_number", "0xFEDCBA9876543210FEDC", str(0xFEDCBA9876543210FEDC)),
+        ("hex_number", "0x7FFFFFFFFFFFFFFF1234567890ABCDE", str(0x7FFFFFFFFFFFFFFF1234567890ABCDE)),
         ("long_numerical_list", "1 2 2 3 3 3 4", "3, 2, 1"),
         ("number_with_unit", "5ms", "5ms"),
         ("*", "42", "42"),
