@@ -11,21 +11,31 @@ from emberlog.functions.text import strip
 from emberlog.sources.formats import LineFormat, compile_format
 
 
-def _fields(line: Column, fmt: LineFormat, trimmed: bool) -> list[Column]:
-    out = []
-    for name, group in zip(fmt.fields, fmt.groups, strict=True):
-        value = F.regexp_extract(line, fmt.pattern, group)
-        value = strip(value) if trimmed else value
-        out.append((F.nullif(value, F.lit("")) if name in fmt.optional else value).alias(name))
-    return out
+#: Stands between the fields of a matched line.
+_SEAM = "\u0001"
+
+
+def _pieces(line: Column, fmt: LineFormat) -> Column:
+    """'', the groups of all fields and what follows the match, of a line that fits; else the line alone. The pattern is matched
+    once for all fields, but for lines that hold the seam themselves."""
+    marked = _SEAM + "".join(f"${g}{_SEAM}" for g in fmt.groups)
+    one_by_one = F.array(F.lit(""), *[F.regexp_extract(line, fmt.pattern, g) for g in fmt.groups], F.lit(""))
+    slow = F.when(line.rlike(fmt.pattern), one_by_one).otherwise(F.array(line))
+    return F.when(line.contains(_SEAM), slow).otherwise(F.split(F.regexp_replace(line, fmt.pattern, marked), _SEAM))
 
 
 def parse(lines: DataFrame, log_format: str | LineFormat, line: str = "line", trimmed: bool = True) -> DataFrame:
     """Adds the fields and is_valid; the fields of a line that doesn't fit are null. Fields of absent optional parts are null."""
     fmt = log_format if isinstance(log_format, LineFormat) else compile_format(log_format)
-    fits = F.coalesce(F.col(line).rlike(fmt.pattern), F.lit(False))
-    out = lines.withColumn("is_valid", fits)
-    return out.select("*", *[F.when(F.col("is_valid"), c).alias(n) for n, c in zip(fmt.fields, _fields(F.col(line), fmt, trimmed), strict=True)])
+    out = lines.withColumn("__pieces", _pieces(F.col(line), fmt))
+    out = out.withColumn("is_valid", F.coalesce(F.size("__pieces") == len(fmt.fields) + 2, F.lit(False)))
+
+    def field(i: int, name: str) -> Column:
+        value = F.get(F.col("__pieces"), F.lit(i + 1))
+        value = strip(value) if trimmed else value
+        return F.when(F.col("is_valid"), F.nullif(value, F.lit("")) if name in fmt.optional else value).alias(name)
+
+    return out.select(*lines.columns, "is_valid", *[field(i, name) for i, name in enumerate(fmt.fields)])
 
 
 def structure(

@@ -46,6 +46,17 @@ def test_absent_optional_group_is_null(lines_of):
     assert [(r["component"], r["process_id"], r["message"]) for r in rows] == [("Net", "112", "error: closed"), (None, None, "error (peer): timeout")]
 
 
+def test_lines_that_hold_the_seam(lines_of):
+    rows = structuring.structure(lines_of(["a\u0001b: c\u0001", "x: y", "\u0001", "\u0001a\u0001b\u0001"]), "<k>: <v>", "skip").orderBy("line_no").collect()
+    assert [(r["k"], r["v"]) for r in rows] == [("a\u0001b", "c\u0001"), ("x", "y")]
+
+
+@pytest.mark.parametrize(("text", "groups", "optional"), [(r"(?:<a> )?<b|(x|[()]y)>(?<n>z)(<c>)?", (1, 2, 6), {"a", "c"}), (r"\(<a>\) [(<]<b>", (1, 2), set()), ("plain", (), set())])
+def test_groups_and_optional_fields(text, groups, optional):
+    fmt = compile_format(text)
+    assert fmt.groups == groups and fmt.optional == optional
+
+
 LINES = ["a: one", "b: two", "bad 1", "  bad 2 ", "bad 3", "c: three"]
 
 
