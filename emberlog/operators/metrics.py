@@ -24,17 +24,43 @@ def ngrams(words: Column, n: int) -> Column:
     return bound(words, of)
 
 
-def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int = 1) -> DataFrame:
-    """key, precision, recall, f1 of shared n-grams (by counts)."""
-    grams = lambda c: ngrams(tokens(F.col(c), split_case=False), n)
+#: The endings that stem() takes off, the longest that leaves three letters.
+ENDINGS = ("ations", "ation", "ingly", "edly", "ings", "ing", "ies", "ed", "es", "ly", "s")
+
+
+def stemmed(words: Column) -> Column:
+    """stem() of each word, as a column."""
+    return F.transform(words, lambda w: F.regexp_replace(w, f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1"))
+
+
+def shared_ngrams(pairs: DataFrame, key: str, prediction: str, reference: str, n: int = 1, stems: bool = False) -> DataFrame:
+    """key, shared (n-grams that both have, by counts), predicted and referred (n-grams of each)."""
+    words = lambda c: tokens(F.col(c), split_case=False)
+    grams = lambda c: ngrams(stemmed(words(c)) if stems else words(c), n)
     base = pairs.select(F.col(key), grams(prediction).alias("__p"), grams(reference).alias("__r"))
     count = lambda c, name: base.select(key, F.explode(c).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(name))
     shared = count("__p", "a").join(count("__r", "b"), [key, "g"]).groupBy(key).agg(F.sum(F.least("a", "b")).alias("s"))
-    sizes = base.select(key, F.size("__p").alias("np"), F.size("__r").alias("nr")).join(shared, key, "left")
-    s = F.coalesce("s", F.lit(0))
-    share = lambda size: F.when(F.col(size) > 0, s / F.col(size)).otherwise(F.lit(0.0))
-    whole = F.col("np") + F.col("nr")
-    return sizes.select(key, share("np").alias("precision"), share("nr").alias("recall"), F.when(s > 0, 2 * s / whole).otherwise(F.lit(0.0)).alias("f1"))
+    return base.select(key, F.size("__p").alias("predicted"), F.size("__r").alias("referred")).join(shared, key, "left").select(key, F.coalesce("s", F.lit(0)).alias("shared"), "predicted", "referred")
+
+
+def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int = 1, stems: bool = False) -> DataFrame:
+    """key, precision, recall, f1 of shared n-grams (by counts), of words or of their stems."""
+    share = lambda size: F.when(F.col(size) > 0, F.col("shared") / F.col(size)).otherwise(F.lit(0.0))
+    f1 = F.when(F.col("shared") > 0, 2 * F.col("shared") / (F.col("predicted") + F.col("referred"))).otherwise(F.lit(0.0))
+    return shared_ngrams(pairs, key, prediction, reference, n, stems).select(key, share("predicted").alias("precision"), share("referred").alias("recall"), f1.alias("f1"))
+
+
+def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, most: int = 4) -> DataFrame:
+    """One row: bleu over all pairs together (counts of all are added up first), precision_1 to precision_most and brevity."""
+    out = None
+    for n in range(1, most + 1):
+        sums = shared_ngrams(pairs, key, prediction, reference, n).agg(F.sum("shared").alias("s"), F.sum("predicted").alias("p"), F.sum("referred").alias("r"))
+        part = sums.select(F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(F.lit(0.0)).alias(f"precision_{n}"), *([F.col("p"), F.col("r")] if n == 1 else []))
+        out = part if out is None else out.crossJoin(F.broadcast(part))  # one row each
+    brevity = F.when(F.col("p") >= F.col("r"), F.lit(1.0)).when(F.col("p") > 0, F.exp(1 - F.col("r") / F.col("p"))).otherwise(F.lit(0.0))
+    names = [f"precision_{n}" for n in range(1, most + 1)]
+    mean = F.exp(sum((F.log(F.nullif(F.col(c), F.lit(0.0))) for c in names[1:]), F.log(F.nullif(F.col(names[0]), F.lit(0.0)))) / most)
+    return out.select(*names, brevity.alias("brevity")).withColumn("bleu", F.col("brevity") * F.coalesce(mean, F.lit(0.0)))
 
 
 def lcs_length(a: Sequence, b: Sequence) -> int:
@@ -97,7 +123,7 @@ def bleu(prediction: Sequence, reference: Sequence, most: int = 4) -> float:
 
 def stem(word: str) -> str:
     """A word without its common English endings."""
-    for end in ("ations", "ation", "ingly", "edly", "ings", "ing", "ies", "ed", "es", "ly", "s"):
+    for end in ENDINGS:
         if word.endswith(end) and len(word) - len(end) >= 3:
             return word[: -len(end)]
     return word
@@ -125,24 +151,27 @@ def meteor(prediction: Sequence[str], reference: Sequence[str]) -> float:
     return mean * (1 - 0.5 * (chunks / len(taken)) ** 3)
 
 
-def sequence_metrics(pairs: DataFrame, key: str, prediction: str, reference: str) -> DataFrame:
-    """key, rouge_l (F1 of the longest common subsequence), rouge_lsum (by lines), bleu and meteor."""
+def sequence_metrics(pairs: DataFrame, key: str, prediction: str, reference: str, stems: bool = False) -> DataFrame:
+    """key, rouge_l and rouge_lsum (by lines) of the longest common subsequence, each as F1 and with _precision and _recall, bleu
+    and meteor; stems: ROUGE compares words without their endings."""
+    names = [f"{r}{x}" for r in ("rouge_l", "rouge_lsum") for x in ("", "_precision", "_recall")] + ["bleu", "meteor"]
 
     def split(text: str | None) -> list[str]:
         return (text or "").lower().split()
 
     def run(batches):
+        form = stem if stems else str
         for batch in batches:
             rows = []
             for p, r in zip(batch[prediction], batch[reference], strict=True):
                 a, b = split(p), split(r)
-                lines = [[split(x) for x in (t or "").split("\n")] for t in (p, r)]
-                f1 = lambda s, a=a, b=b: 2 * s / (len(a) + len(b)) if s else 0.0
-                rows.append((f1(lcs_length(a, b)), f1(summary_lcs(*lines)), bleu(a, b), meteor(a, b)))
-            yield pd.DataFrame({key: batch[key], **{n: [float(x[i]) for x in rows] for i, n in enumerate(("rouge_l", "rouge_lsum", "bleu", "meteor"))}})
+                lines = [[[form(w) for w in split(x)] for x in (t or "").split("\n")] for t in (p, r)]
+                told = lambda s, a=a, b=b: (2 * s / (len(a) + len(b)), s / len(a), s / len(b)) if s else (0.0, 0.0, 0.0)
+                rows.append((*told(lcs_length([form(w) for w in a], [form(w) for w in b])), *told(summary_lcs(*lines)), bleu(a, b), meteor(a, b)))
+            yield pd.DataFrame({key: batch[key], **{n: [float(x[i]) for x in rows] for i, n in enumerate(names)}})
 
     kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, prediction, reference).mapInPandas(run, f"{key} {kind}, rouge_l double, rouge_lsum double, bleu double, meteor double")
+    return pairs.select(key, prediction, reference).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def perplexity(loss: Column) -> Column:

@@ -333,14 +333,21 @@ def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 3) for c in ("mean", "q1", "median", "q3", "min", "max", "stdev", "whisker_low", "whisker_high")})
 
 
-def _rouge_sql(n: int) -> str:
+_ROUGE = """id, round(CASE WHEN np > 0 THEN s / np ELSE 0 END, 6)::DOUBLE AS precision, round(CASE WHEN nr > 0 THEN s / nr ELSE 0 END, 6)::DOUBLE AS recall, round(CASE WHEN s > 0 THEN 2 * s / (np + nr) ELSE 0 END, 6)::DOUBLE AS f1"""
+
+
+def _rouge_sql(n: int, stems: bool = False, told: str = _ROUGE) -> str:
     gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(n))
-    return f"""WITH p AS (SELECT u.conv_id * 1000 + u.turn AS id, regexp_extract_all(lower(a.text), '[\\p{{L}}\\p{{N}}_]+') AS p, regexp_extract_all(lower(u.text), '[\\p{{L}}\\p{{N}}_]+') AS r
+    words = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"
+    if stems:
+        plain = words
+        words = lambda c: f"list_transform({plain(c)}, lambda x: regexp_replace(x, '^(.{{3,}}?)(?:{'|'.join(metrics.ENDINGS)})$', '\\1'))"
+    return f"""WITH p AS (SELECT u.conv_id * 1000 + u.turn AS id, {words('a.text')} AS p, {words('u.text')} AS r
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'),
 g AS (SELECT id, 'p' AS side, {gram} AS g FROM (SELECT id, p AS w, unnest(generate_series(1, len(p) - {n - 1})) AS i FROM p) UNION ALL SELECT id, 'r', {gram} FROM (SELECT id, r AS w, unnest(generate_series(1, len(r) - {n - 1})) AS i FROM p)),
 c AS (SELECT id, g, count(*) FILTER (side = 'p') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY ALL),
 s AS (SELECT id, sum(least(a, b)) AS s FROM c GROUP BY id), z AS (SELECT p.id, greatest(len(p) - {n - 1}, 0) AS np, greatest(len(r) - {n - 1}, 0) AS nr, coalesce(s.s, 0) AS s FROM p LEFT JOIN s ON s.id = p.id)
-SELECT id, round(CASE WHEN np > 0 THEN s / np ELSE 0 END, 6)::DOUBLE AS precision, round(CASE WHEN nr > 0 THEN s / nr ELSE 0 END, 6)::DOUBLE AS recall, round(CASE WHEN s > 0 THEN 2 * s / (np + nr) ELSE 0 END, 6)::DOUBLE AS f1 FROM z"""
+SELECT {told} FROM z"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,8 +357,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user.join(after, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "prediction", "reference")
 
 
-def _rouge(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    out = metrics.rouge_n(_pairs(spark, sf_dir), "id", "prediction", "reference", n)
+def _rouge(spark: SparkSession, sf_dir: str, n: int, stems: bool = False) -> DataFrame:
+    out = metrics.rouge_n(_pairs(spark, sf_dir), "id", "prediction", "reference", n, stems)
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
@@ -365,6 +372,32 @@ def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rouge(spark, sf_dir, 2)
 
 
+@query(_rouge_sql(3))
+def rouge_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rouge(spark, sf_dir, 3)
+
+
+@query(_rouge_sql(4))
+def rouge_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rouge(spark, sf_dir, 4)
+
+
+@query(_rouge_sql(1, stems=True))
+def rouge_1_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rouge(spark, sf_dir, 1, stems=True)
+
+
+_SUMS = [f"({_rouge_sql(n, told='sum(s) AS s, sum(np) AS p, sum(nr) AS r')}) AS t{n}" for n in range(1, 5)]
+
+
+@query(f"""SELECT round(t1.s / t1.p, 6)::DOUBLE AS precision_1, round(t2.s / t2.p, 6)::DOUBLE AS precision_2, round(CASE WHEN t1.p >= t1.r THEN 1 ELSE exp(1 - t1.r / t1.p) END, 6)::DOUBLE AS brevity,
+round(CASE WHEN t1.s * t2.s * t3.s * t4.s = 0 THEN 0 ELSE CASE WHEN t1.p >= t1.r THEN 1 ELSE exp(1 - t1.r / t1.p) END
+  * exp((ln(nullif(t1.s, 0) / t1.p) + ln(nullif(t2.s, 0) / t2.p) + ln(nullif(t3.s, 0) / t3.p) + ln(nullif(t4.s, 0) / t4.p)) / 4) END, 6)::DOUBLE AS bleu FROM {', '.join(_SUMS)}""")
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.corpus_bleu(_pairs(spark, sf_dir), "id", "prediction", "reference")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("precision_1", "precision_2", "brevity", "bleu")])
+
+
 @query()
 def rouge_l_bleu_meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sequence_metrics(_pairs(spark, sf_dir), "id", "prediction", "reference")
