@@ -3,7 +3,8 @@
 All rolling k-word hashes of each text meet the hashes of the templates in a join; a hit at word p of the text and word q of
 a template votes for the diagonal p - q. Votes are counted by text and diagonal, neighbouring diagonals merge (a word more or
 less shifts the rest of a match), and a merged run counts when the words between its first and last hit cover enough of the
-template. Beside that, fixed phrases are looked up where they stand.
+template. Where verified places of several templates lie over each other, those of a lower score than another go. Beside that,
+fixed phrases are looked up where they stand.
 
 The templates are a fixed list in code, so their side of the join is bounded; texts are never joined to each other.
 
@@ -27,6 +28,8 @@ K = 4
 DRIFT = 3
 #: A template is found when verified hits cover so much of its k-grams.
 COVER = 0.6
+#: Words of a block in which places of templates are compared.
+BLOCK_WORDS = 256
 #: The join side of the templates may have so many rows at most to be broadcast; a longer list is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: So many hashes of templates may stand in the plan, to tell which k-grams need to be joined.
@@ -35,7 +38,7 @@ PROBED_HASHES = 20_000
 #: Phrases that give a label wherever they stand.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public notices and the labels they give.
+#: Public notices and the labels they give. Of long licenses, the passage that names them or grants their rights.
 TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
@@ -51,12 +54,61 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
         "Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies.",
+    ],
+    "0bsd": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+        "this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "wtfpl": [
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    ],
+    "postgresql": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is "
+        "hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "cc0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
 }
 
@@ -110,7 +162,13 @@ def _votes(hits: DataFrame, side: DataFrame, k: int, cover: float) -> DataFrame:
     verified = merged.withColumn("score", F.least(F.col("votes") / F.col("size"), F.lit(1.0))).filter(
         (F.col("score") >= cover) & (F.col("last") - F.col("first") + k <= 2 * F.col("length") + DRIFT)
     )
-    return verified.select(ROW, "label", "template", "first", (F.col("last") + k - 1).alias("last"), "score")
+    found = verified.select(ROW, "label", "template", "first", (F.col("last") + k - 1).alias("last"), "score")
+    # Notices that share words: of those that lie over each other, one with a lower score goes. They meet by blocks of words.
+    block = F.explode(F.sequence(F.floor(F.col("first") / BLOCK_WORDS), F.floor(F.col("last") / BLOCK_WORDS)))
+    other = found.select(F.col(ROW).alias("__r"), F.col("first").alias("__f"), F.col("last").alias("__l"), F.col("score").alias("__s"), block.alias("__b"))
+    over = (F.col(ROW) == F.col("__r")) & (F.col("block") == F.col("__b")) & (F.col("__f") <= F.col("last")) & (F.col("first") <= F.col("__l")) & (F.col("__s") > F.col("score"))
+    beaten = found.withColumn("block", block).join(other, over, "left_semi").select(ROW, "template", "first", "last").distinct()
+    return found.join(beaten, [ROW, "template", "first", "last"], "left_anti")
 
 
 def _probed(words: Column, table: DataFrame, k: int) -> Column:

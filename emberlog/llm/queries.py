@@ -214,7 +214,8 @@ v AS (SELECT rid, label, template, size, length, diagonal, count(DISTINCT q) AS
 r AS (SELECT *, (diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {licenses.DRIFT}) IS NOT FALSE AS apart FROM v),
 m AS (SELECT rid, label, size, length, sum(votes) AS votes, min(lo) AS lo, max(hi) AS hi
   FROM (SELECT *, sum(apart::INT) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM r) GROUP BY rid, label, template, size, length, run),
-f AS (SELECT rid, list(DISTINCT label) AS found, max(least(votes / size, 1.0)) AS best FROM m WHERE least(votes / size, 1.0) >= {licenses.COVER} AND hi - lo + {k} <= 2 * length + {licenses.DRIFT} GROUP BY rid),
+c AS (SELECT rid, label, lo, hi + {k} - 1 AS hi, least(votes / size, 1.0) AS score FROM m WHERE least(votes / size, 1.0) >= {licenses.COVER} AND hi - lo + {k} <= 2 * length + {licenses.DRIFT}),
+f AS (SELECT rid, list(DISTINCT label) AS found, max(score) AS best FROM c a WHERE NOT EXISTS (FROM c o WHERE o.rid = a.rid AND o.lo <= a.hi AND a.lo <= o.hi AND o.score > a.score) GROUP BY rid),
 b AS (SELECT rid, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS base FROM ({stands}) GROUP BY rid)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base, found))), ','), '') AS labels, CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score

@@ -317,6 +317,15 @@ def test_license_spans_survive_edits(spark, docs_of):
     assert [(r.doc_id, r.label) for r in found] == [(0, "mit")] and found[0]["first"] == 1
 
 
+def test_every_template_gives_its_label_alone(spark, docs_of):
+    texts, labels = zip(*[(f"some words before {t} and some after", label) for label, ts in licenses.TEMPLATES.items() for t in ts], strict=True)
+    found = {r.doc_id: r for r in licenses.scan(docs_of(texts), phrases={}).collect()}
+    assert [(found[i].found, found[i].score) for i in range(len(texts))] == [([label], 1.0) for label in labels]
+    many = " ".join(["x y z", licenses.TEMPLATES["agpl"][0], "q", licenses.TEMPLATES["gpl"][1]] * 300)
+    assert sorted(licenses.scan(docs_of([many]), phrases={}).first().found) == ["agpl", "gpl"]
+    assert len(licenses.TEMPLATES) >= 15
+
+
 def test_rows_that_share_an_id_keep_their_labels(spark, tmp_path):
     import duckdb
 
