@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch of texts, and its bytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
