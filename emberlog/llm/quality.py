@@ -100,7 +100,7 @@ def method_rules(text: Column, known: dict[str, Column] | None = None) -> list[R
     return [
         Rule("symbols", 10 * known.get("n_symbols", n_symbols(t)) > n_words),
         Rule("capitals", 2 * char_count(t, UPPER) > chars),
-        Rule("digits", 2 * char_count(t, DIGITS) > chars),
+        Rule("digits", 10 * char_count(t, DIGITS) > 7 * chars),
         Rule("equal_lines", equal),
         Rule("word_length", (chars > 20 * n_words) | (chars < 2 * n_words)),
         Rule("bullets", t.rlike("(?m)" + BULLET) & let(filled_lines(t), lambda x: 10 * matching(x, BULLET) > 9 * F.size(x))),

@@ -43,7 +43,7 @@ f AS (SELECT w.doc_id, x, ls, len(ws)::BIGINT AS n_words, coalesce(len(array_to_
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR 2 * (len(x) - len(regexp_replace(x, '[A-Z]', '', 'g'))) > word_chars
-    OR 2 * (len(x) - len(regexp_replace(x, '[0-9]', '', 'g'))) > word_chars
+    OR 10 * (len(x) - len(regexp_replace(x, '[0-9]', '', 'g'))) > 7 * word_chars
     OR 100 * n_dup_lines > 50 * len(ls) OR word_chars > 20 * n_words OR word_chars < 2 * n_words
     OR 10 * len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\x09]*[-*•‣▪◦]'))) > 9 * len(ls)
     OR 10 * len(list_filter(ls, lambda l: regexp_matches(l, '(?:\.\.\.|…)[\x20\x09\x0D]*$'))) > 3 * len(ls)
