@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontaminate, html_text, licenses, minhash, packing, pii, quality, repeats, shards
+from emberlog.llm import chat, decontaminate, encoding, html_text, licenses, minhash, neighbours, packing, pii, quality, repeats, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -226,6 +226,50 @@ FROM t LEFT JOIN b ON b.rid = t.rid LEFT JOIN f ON f.rid = t.rid
 ORACLE_SQL["op9_diagonal_licenses"] = _license_sql()
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    bits = f"list_reduce(range(8), lambda c, b: {step}, xor(a, x))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), lambda a, x: {bits}, 4294967295::BIGINT), 4294967295)"
+
+
+@query
+def op12_asof_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.sales_rates(*(_table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
+def _encoding_sql() -> str:
+    """Window sums over all strictly earlier rows, less those of the own fold."""
+    sums, rates = [], []
+    columns = {"a": "1", "kind": "kind", "item": "item_id", "nation": "nation_id", "vendor": "vendor_id", "segment": "segment", "client": "client_id"}
+    for name, value in columns.items():
+        for out, what in (("n", "n"), ("s", "r")):
+            over = "coalesce(sum({0}) OVER (PARTITION BY {1} ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0)"
+            sums.append(f"({over.format(what, value)} - {over.format(what, value + ', fold')})::BIGINT AS {name}_{out}")
+    rate = lambda name, prior: f"CASE WHEN {name}_n < 1 THEN {prior} ELSE (1000000 * {name}_s + 50 * {prior}) // ({name}_n + 50) END AS {name}_rate"
+    for level in ([("a", "500000")], [("kind", "a_rate"), ("nation", "a_rate"), ("segment", "a_rate")], [("item", "kind_rate"), ("vendor", "nation_rate"), ("client", "segment_rate")]):
+        rates.append("SELECT *, " + ", ".join(rate(*x) for x in level))
+    return f"""
+WITH g AS (SELECT sale_id, coalesce(item_id, -1) AS item_id, coalesce(vendor_id, -1) AS vendor_id, count(*) AS n, count(*) FILTER (flag = 'returned') AS r FROM sale_lines GROUP BY ALL),
+x AS (SELECT g.*, sold_at, coalesce(s.client_id, -1) AS client_id, {_crc32_sql("g.sale_id::VARCHAR")} % 5 AS fold FROM g JOIN sales s ON s.sale_id = g.sale_id WHERE sold_at IS NOT NULL),
+y AS (SELECT x.*, kind, v.nation_id, segment FROM x LEFT JOIN items i ON i.item_id = x.item_id LEFT JOIN vendors v ON v.vendor_id = x.vendor_id LEFT JOIN clients c ON c.client_id = x.client_id),
+h AS (SELECT *, {", ".join(sums)} FROM y),
+r1 AS ({rates[0]} FROM h), r2 AS ({rates[1]} FROM r1), r3 AS ({rates[2]} FROM r2)
+SELECT sale_id, item_id, vendor_id, n::BIGINT AS n_lines, r::BIGINT AS n_returned, item_n, item_rate::BIGINT AS item_rate, vendor_n, vendor_rate::BIGINT AS vendor_rate, client_n, client_rate::BIGINT AS client_rate FROM r3
+"""
+
+
+ORACLE_SQL["op12_asof_target_encoding"] = _encoding_sql()
+
+
+@query
+def op13_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = neighbours.fit(docs.select("doc_id", "text"), labels.filter(neighbours.remainder(F.col("doc_id"), 4) != 2).select("doc_id", "quality"))
+    scored = neighbours.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select("doc_id", (neighbours.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 ORACLE_SQL["op3_block_max_wand"] = r"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 d AS (SELECT doc_id, regexp_extract_all(x, '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM low),
