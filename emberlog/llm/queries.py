@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, decontaminate, encoding, html_text, licenses, minhash, neighbours, packing, pii, quality, repeats, shards
+from emberlog.llm import chat, decontaminate, encoding, html_text, licenses, minhash, neighbours, packing, pii, quality, repair, repeats, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,6 +233,62 @@ def _crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), lambda a, x: {bits}, 4294967295::BIGINT), 4294967295)"
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conversations with faults by crc32 of 'conv_id:turn' modulo 20; rows that are dropped stay, marked in gone."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    d = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("d") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("d") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), d.alias("d"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("d") == 0).alias("gone"), copies.alias("copy")).drop("copy")
+
+
+@query
+def op11_min_plus_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(_table(spark, sf_dir, "conversations"))
+    return repair.digests(turns, repair.audits(turns, gone="gone"), gone="gone")
+
+
+def _repair_sql() -> str:
+    """A plain dynamic program over the turns, one after the other; a state keeps cost, audit and the repaired text."""
+    least = lambda *ways: f"list_sort([{', '.join(ways)}])[1]"
+    to = lambda x, cost, letter, role, text: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {x}.t || chr(10) || {role} || ':' || {text}}}"
+    inserted = lambda x, role: to(x, 3, "I", f"'{role}'", "''")
+
+    def closed(p: str) -> str:
+        """Insertions after the four states in p."""
+        user = f"list_transform([[{p}]], lambda p: [p[1], p[2], {least('p[3]', *(inserted(f'p[{i}]', 'user') for i in (1, 2, 4)))}, p[4]])[1]"
+        return f"list_transform([{user}], lambda p: [p[1], p[2], p[3], {least('p[4]', inserted('p[3]', 'assistant'))}])[1]"
+
+    far = "{'c': 1000000000, 'a': '', 't': ''}"
+    must, cut = "(x.f IN ('b', 'd'))::INT * 1000000", "(x.f = 't')::INT * 3"
+    gone = lambda i: f"{{'c': p[{i}].c + 4, 'a': p[{i}].a || 'D', 't': p[{i}].t}}"
+    kept = lambda i, initial: to(f"p[{i}]", f"{must} + {cut} + (left(x.r, 1) <> '{initial}')::INT * 1000000", "K", "x.r", "x.t")
+    moved = lambda i, role: to(f"p[{i}]", f"{must} + {cut} + 3", "R", f"'{role}'", "x.t")
+    step = f"{gone(1)}, {least(gone(2), kept(1, 's'))}, {least(gone(3), *(w for i in (1, 2, 4) for w in (kept(i, 'u'), moved(i, 'user'))))}, {least(gone(4), kept(3, 'a'), moved(3, 'assistant'))}"
+    return f"""
+WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS r, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS t, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM base WHERE d <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(t), copy) AS pos, rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM dam),
+flt AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, r, t ORDER BY pos) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f,
+  left(lag(r) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(r, 1) AS pair FROM num),
+conv AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS turns FROM flt GROUP BY conv_id),
+steps AS (SELECT conv_id, 0::BIGINT AS pos, {closed("{'c': 0, 'a': '', 't': ''}, " + ", ".join([far] * 3))} AS p FROM conv
+  UNION ALL SELECT s.conv_id, x.pos, {closed(step)} AS p FROM steps s JOIN flt x ON x.conv_id IS NOT DISTINCT FROM s.conv_id AND x.pos = s.pos + 1),
+done AS (SELECT conv.*, p FROM conv JOIN steps s ON s.conv_id IS NOT DISTINCT FROM conv.conv_id AND s.pos = conv.turns),
+best AS (SELECT *, {least("p[1]", "p[4]")} AS b FROM done),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+ORACLE_SQL["op11_min_plus_repair"] = _repair_sql()
+
+
 @query
 def op12_asof_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.sales_rates(*(_table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
