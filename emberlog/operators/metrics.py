@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import bound
+from emberlog.operators.joins import joined
 from emberlog.operators.vocabulary import tokens
 
 
@@ -39,8 +40,8 @@ def shared_ngrams(pairs: DataFrame, key: str, prediction: str, reference: str, n
     grams = lambda c: ngrams(stemmed(words(c)) if stems else words(c), n)
     base = pairs.select(F.col(key), grams(prediction).alias("__p"), grams(reference).alias("__r"))
     count = lambda c, name: base.select(key, F.explode(c).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(name))
-    shared = count("__p", "a").join(count("__r", "b"), [key, "g"]).groupBy(key).agg(F.sum(F.least("a", "b")).alias("s"))
-    return base.select(key, F.size("__p").alias("predicted"), F.size("__r").alias("referred")).join(shared, key, "left").select(key, F.coalesce("s", F.lit(0)).alias("shared"), "predicted", "referred")
+    shared = joined(count("__p", "a"), count("__r", "b"), [key, "g"]).groupBy(key).agg(F.sum(F.least("a", "b")).alias("s"))
+    return joined(base.select(key, F.size("__p").alias("predicted"), F.size("__r").alias("referred")), shared, key, "left").select(key, F.coalesce("s", F.lit(0)).alias("shared"), "predicted", "referred")
 
 
 def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int = 1, stems: bool = False) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import bound
+from emberlog.operators.chains import packed
+from emberlog.operators.joins import joined
 
 LABEL_PAD = -100
 
@@ -33,28 +35,6 @@ def sliding_windows(rows: DataFrame, within: Sequence[str], order: Sequence[str]
     return out.withColumn("place", i - start).drop("__i", "__n")
 
 
-def packed(rows: DataFrame, within: Sequence[str], order: Sequence[str], size: str, most: int) -> DataFrame:
-    """Adds chunk (from 0): rows fill a chunk in order until the next would exceed most; a larger row stands alone.
-
-    The fold runs over one group's sizes, kept in one array; rows are joined to their chunk by place.
-    """
-    w = Window.partitionBy(*within).orderBy(*order)
-    numbered = rows.withColumn("__i", F.row_number().over(w))
-    sizes = numbered.groupBy(*within).agg(F.sort_array(F.collect_list(F.struct("__i", F.col(size).cast("long").alias("s")))).alias("__s"))
-    state = "struct<chunk: bigint, used: bigint, out: array<bigint>>"
-
-    def step(a: Column, x: Column) -> Column:
-        over = (a["used"] > 0) & (a["used"] + x["s"] > most)
-        chunk = F.when(over, a["chunk"] + 1).otherwise(a["chunk"])
-        used = F.when(over, x["s"]).otherwise(a["used"] + x["s"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.array_append(a["out"], chunk).alias("out")).cast(state)
-
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("out")).cast(state)
-    chunks = sizes.select(*within, F.posexplode(F.aggregate("__s", start, step, lambda a: a["out"])).alias("__at", "chunk"))
-    chunks = chunks.select(*within, (F.col("__at") + 1).alias("__i"), "chunk")
-    return numbered.join(chunks, [*within, "__i"]).drop("__i")
-
-
 def labelled_chunks(chunked: DataFrame, within: Sequence[str], order: Sequence[str], ids: str, is_label: Column) -> DataFrame:
     """input_ids and labels (those of label rows) of each chunk."""
     inner = F.sort_array(F.collect_list(F.struct(*order, F.col(ids).alias("__ids"), is_label.alias("__on"))))
@@ -127,10 +107,15 @@ def kept_references(chunks: DataFrame, policy: str, is_train: Column, labels: st
 
 def first_chunk_with_summary(chunks: DataFrame, summaries: DataFrame, on: str, summary: str = "summary") -> DataFrame:
     """Only the first chunk of each instance, with its manual summary as the label."""
-    return chunks.filter("chunk = 0").drop("labels").join(summaries.select(on, F.col(summary).alias("labels")), on)
+    return joined(chunks.filter("chunk = 0").drop("labels"), summaries.select(on, F.col(summary).alias("labels")), on)
 
 
 def split_by_category(instances: DataFrame, train: str | None, evaluate: str | None, column: str = "category") -> DataFrame:
     """Adds in_train and in_eval: whether the categories hold the name; without a name, all do."""
     has = lambda name: F.lit(True) if name is None else F.array_contains(column, name)
     return instances.withColumns({"in_train": has(train), "in_eval": has(evaluate)})
+
+
+__all__ = [
+    "LABEL_PAD", "between", "decorated", "first_chunk_with_summary", "flatten_sentences", "kept_references", "labelled_chunks", "packed", "padded", "sliding_windows", "split_at", "split_by_category", "truncated", "with_separators", "without_ignored",
+]

@@ -1,27 +1,34 @@
 """Template mining: masks, a fixed-depth search tree over messages, parameters, reconstruction, simplification.
 
 Mining is online and order-dependent by nature. Messages of different components, or of different numbers of tokens, never
-meet in the tree, so each such group is mined by itself, in the order of its rows: it gets masked messages and their order,
-nothing else. The tree is learned over all messages of a group first; then each different masked message is matched. Rows get
-their template in a join and their parameters in Arrow batches. Reconstruction and simplification are plain columns.
+meet in the tree, so each such group is mined by itself, in the order of its rows, in runs of a bounded number of rows whose trees
+are merged. A tree is a mergeable state: its clusters with their templates and leaves, in the order of their founding. Then each
+different masked message is matched, and rows get their template in a join and their parameters in Arrow batches. Masks,
+reconstruction and simplification are plain columns.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberlog.functions.patterns import PATTERNS, PRESETS, Mask, MiningSettings
 from emberlog.functions.text import FLAGS, stable_hash
+from emberlog.operators.joins import joined
+from emberlog.operators.places import placed
 from emberlog.sources.written import saved
 
 WILD = "<*>"
 MOST_CHILDREN = 100
+#: Rows of a component that one task learns from, trees that merge at once, and messages that are matched in one group.
+CHUNK_ROWS, FAN, MATCH_ROWS = 500_000, 16, 100_000
 _PLACE = re.compile(r"<(\*|[A-Za-z_@][\w@]*)>")
 
 
@@ -39,23 +46,26 @@ class TemplateTree:
         if depth < 3:
             raise ValueError("depth is 3 at least")
         self._similarity, self._levels = similarity, depth - 3
+        self._changes = 0
+        self.leaf_of: list[tuple] = []
         self._leaves: dict[tuple, list[int]] = {}
         self._children: dict[tuple, set[str]] = {}
         self._lengths: dict[int, list[int]] = {}
         self.templates: list[list[str]] = []
 
     @staticmethod
-    def _likeness(template: list[str], tokens: list[str], wild_counts: bool) -> tuple[float, int]:
+    def _likeness(template: list[str], tokens: list[str], wild_counts: bool, merging: bool) -> tuple[float, int]:
+        """Of a template and tokens; merging: the tokens are a template, whose wild places equal wild places."""
         if not tokens:
             return 1.0, 0
         wild = sum(t == WILD for t in template)
-        same = sum(a == b and a != WILD for a, b in zip(template, tokens, strict=True))
+        same = sum(a == b and (merging or a != WILD) for a, b in zip(template, tokens, strict=True))
         return (same + wild * wild_counts) / len(tokens), wild
 
-    def _nearest(self, ids: Iterable[int], tokens: list[str], least: float, wild_counts: bool) -> int | None:
+    def _nearest(self, ids: Iterable[int], tokens: list[str], least: float, wild_counts: bool, merging: bool = False) -> int | None:
         best, at = (-1.0, -1), None
         for i in ids:
-            likeness = self._likeness(self.templates[i], tokens, wild_counts)
+            likeness = self._likeness(self.templates[i], tokens, wild_counts, merging)
             if likeness > best:
                 best, at = likeness, i
         return at if best[0] >= least else None
@@ -82,20 +92,53 @@ class TemplateTree:
             path += (token,)
         return path
 
-    def learn(self, message: str) -> int:
-        """The number of the message's cluster, which it may widen or found."""
-        tokens = message.split()
+    def _added(self, tokens: list[str], path: tuple) -> int:
+        at = len(self.templates)
+        self.templates.append(tokens)
+        self.leaf_of.append(path)
+        self._leaves.setdefault(path, []).append(at)
+        self._lengths.setdefault(len(tokens), []).append(at)
+        self._changes += 1
+        return at
+
+    def learn_tokens(self, tokens: list[str], merging: bool = False) -> int:
+        """The number of the tokens' cluster, which they may widen or found; merging: they are a template."""
         path = self._path(tokens)
-        at = None if path is None else self._nearest(self._leaves.get(path, ()), tokens, self._similarity, False)
+        at = None if path is None else self._nearest(self._leaves.get(path, ()), tokens, self._similarity, False, merging)
         if at is None:
-            at = len(self.templates)
-            self.templates.append(tokens)
-            self._leaves.setdefault(self._grow(tokens), []).append(at)
-            self._lengths.setdefault(len(tokens), []).append(at)
-        else:
-            self.templates[at] = [a if a == b else WILD for a, b in zip(self.templates[at], tokens, strict=True)]
+            return self._added(tokens, self._grow(tokens))
+        wider = [a if a == b else WILD for a, b in zip(self.templates[at], tokens, strict=True)]
+        self._changes += wider != self.templates[at]
+        self.templates[at] = wider
         return at
 
+    def learn(self, message: str) -> int:
+        """The number of the message's cluster, which it may widen or found."""
+        return self.learn_tokens(message.split())
+
+    def learn_all(self, messages: Iterable[str]) -> list[int]:
+        """Learns all in order, and tells which of them (by place) founded the clusters.
+
+        A message that has come before, with no change to the tree since, would change nothing, and is passed over.
+        """
+        founded, seen = [], {}
+        for i, message in enumerate(messages):
+            if seen.get(message) == self._changes:
+                continue
+            tokens = message.split()
+            if self.learn_tokens(tokens) == len(founded):
+                founded.append(i)
+            # Tokens that look like wild places equal nothing, not even themselves.
+            if WILD not in tokens:
+                seen[message] = self._changes
+        return founded
+
+    def restore(self, tokens: list[str], leaf: tuple) -> None:
+        """A cluster of another tree, in its leaf; clusters come in the order of their founding."""
+        for n in range(1, len(leaf)):
+            self._children.setdefault(leaf[:n], set()).add(leaf[n])
+        self._added(tokens, leaf)
+
     def match(self, message: str) -> int | None:
         """The cluster whose template holds the message: by the tree, else among all of its length."""
         tokens = message.split()
@@ -127,6 +170,8 @@ def _patterns(template: str, masks: tuple[Mask, ...]) -> tuple[tuple[str, ...],
 def parameters_of(template: str, message: str, masks: Sequence[Mask]) -> list[tuple[str, str]]:
     """(value, mask) of each place of the template in the unmasked message."""
     names, patterns = _patterns(template, tuple(masks))
+    if not names:
+        return []
     for pattern in patterns:
         found = pattern.fullmatch(message)
         if found:
@@ -157,94 +202,147 @@ def mine_messages(messages: Sequence[str], settings: MiningSettings) -> tuple[li
     return out, templates
 
 
+_PARAMETERS = pa.list_(pa.struct([("value", pa.string()), ("mask", pa.string())]))
+
+
 def _with_parameters(rows: DataFrame, settings: MiningSettings, message: str) -> DataFrame:
-    """Adds parameters, read from each message by its template."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    """Adds parameters, read from each message by its template; equal messages of a batch are read once."""
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("parameters array<struct<value: string, mask: string>>").fields])
 
-    def fill(batches):
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parameters_of(t, m or "", settings.masks) for t, m in zip(batch["template"], batch[message], strict=True)]
-            yield batch.assign(parameters=[[{"value": v, "mask": n} for v, n in p] for p in found])
+            names = batch.schema.names
+            known: dict[tuple, list] = {}
+            found = []
+            for pair in zip(batch.column(names.index("template")).to_pylist(), batch.column(names.index(message)).to_pylist(), strict=True):
+                if pair not in known:
+                    known[pair] = [{"value": v, "mask": n} for v, n in parameters_of(pair[0], pair[1] or "", settings.masks)]
+                found.append(known[pair])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _PARAMETERS)], [*names, "parameters"])
 
-    return rows.mapInPandas(fill, f"{kinds}, parameters array<struct<value: string, mask: string>>")
+    return rows.mapInArrow(fill, schema)
 
 
-def mine_templates(entries: DataFrame, settings: MiningSettings | str = "hadoop", component: str = "component", order: Sequence[str] = ("pos",), message: str = "message", keep: Sequence[str] = ()) -> DataFrame:
-    """component, order and keep columns, message, event (from 1 in each component, by the first message of each cluster), template,
-    parameters (value, mask). order must tell the rows of a component apart."""
-    settings = PRESETS[settings] if isinstance(settings, str) else settings
-    columns = list(dict.fromkeys([component, *order, *keep, message]))
-    rules = [(name, re.compile(pattern)) for name, pattern in settings.masks]
+def _first(table: pa.Table, names: Sequence[str]) -> dict[str, pa.Array]:
+    return {n: table.column(n).combine_chunks().slice(0, 1) for n in names}
+
+
+def _repeated(one: dict[str, pa.Array], times: int) -> dict[str, pa.Array]:
+    return {n: pa.concat_arrays([a] * times) if times else a.slice(0, 0) for n, a in one.items()}
+
+
+def _cluster_columns(tree: TemplateTree) -> dict[str, pa.Array]:
+    n = len(tree.templates)
+    return {"rank": pa.array(range(n), pa.int64()), "template": pa.array([" ".join(t) for t in tree.templates], pa.string()), "leaf": pa.array([list(map(str, leaf[1:])) for leaf in tree.leaf_of], pa.list_(pa.string()))}
+
 
-    @F.pandas_udf("string")
-    def hidden(messages: pd.Series) -> pd.Series:
-        def hide(text: str | None) -> str:
-            text = text or ""
-            for name, pattern in rules:
-                text = pattern.sub(f"<{name}>", text)
-            return text
-
-        return messages.map(hide, na_action=None)
-
-    @F.pandas_udf("int")
-    def tokens(messages: pd.Series) -> pd.Series:
-        return messages.map(lambda m: len(m.split()))
-
-    rows = entries.select(*columns).withColumn("__masked", hidden(F.col(message)))
-    rows = rows.withColumn("__tokens", tokens(F.col("__masked")))
-    places = [f"__o{i}" for i in range(len(order))]
-    slim = rows.select(F.col(component).alias("__component"), "__tokens", *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)], "__masked")
-    kind = lambda c: entries.schema[c].dataType.simpleString()
-    schema = ", ".join([f"__component {kind(component)}", "__tokens int", "__masked string", "template string", *(f"{p} {kind(c)}" for p, c in zip(places, order, strict=True))])
-
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(places, kind="stable")
+def _restored(table: pa.Table, settings: MiningSettings) -> TemplateTree:
+    tree = TemplateTree(settings.similarity, settings.depth)
+    for template, leaf in zip(table.column("template").to_pylist(), table.column("leaf").to_pylist(), strict=True):
+        tokens = template.split()
+        tree.restore(tokens, (len(tokens), *leaf))
+    return tree
+
+
+def _clusters(slim: DataFrame, settings: MiningSettings, places: Sequence[str], chunk_rows: int, fan: int) -> DataFrame:
+    """Clusters of slim (c, len, masked and places): c, len, the places of the row that founded each, rank, template and leaf.
+
+    Each component's rows are cut into runs of chunk_rows in their order. Trees learn from the rows of a run that have one length,
+    and then merge, fan by fan in order: a later tree's templates are learned by the earlier one, wild places equal to wild places.
+    """
+    most = slim.groupBy("c").count().agg(F.max("count")).first()[0] or 0
+    if most > chunk_rows:
+        slim = placed(slim, ["c"], places, into="__place").withColumn("chunk", F.floor(F.col("__place") / chunk_rows)).drop("__place")
+    else:
+        slim = slim.withColumn("chunk", F.lit(0).cast("long"))
+    keys = ["c", "len", "chunk"]
+    schema = StructType([*slim.select(*keys, *places).schema.fields, *StructType.fromDDL("rank long, template string, leaf array<string>").fields])
+    names = schema.names
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(p, "ascending") for p in places], null_placement="at_start"))
         tree = TemplateTree(settings.similarity, settings.depth)
-        founded: list[int] = []
-        for i, text in enumerate(group["__masked"]):
-            if tree.learn(text) == len(founded):
+        founded = pa.array(tree.learn_all(table.column("masked").to_pylist()), pa.int64())
+        out = _repeated(_first(table, keys), len(founded)) | {p: table.column(p).combine_chunks().take(founded) for p in places} | _cluster_columns(tree)
+        return pa.table({n: out[n] for n in names})
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("chunk", "ascending"), ("rank", "ascending")])
+        first = table.filter(pc.equal(table.column("chunk"), table.column("chunk")[0]))
+        tree, founded = _restored(first, settings), list(range(first.num_rows))
+        for i, template in enumerate(table.column("template").to_pylist()[first.num_rows :], first.num_rows):
+            if tree.learn_tokens(template.split(), True) == len(founded):
                 founded.append(i)
-        known = group["__masked"].drop_duplicates()
-        events = [tree.match(text) or 0 for text in known]
-        first = group.iloc[[founded[e] for e in events]]
-        out = {"__component": first["__component"].array, "__tokens": first["__tokens"].array, "__masked": known.array, "template": [" ".join(tree.templates[e]) for e in events]}
-        return pd.DataFrame(out | {p: first[p].array for p in places})
+        one = _first(table, keys) | {"chunk": pa.array([table.column("chunk")[0].as_py() // fan])}
+        out = _repeated(one, len(founded)) | {p: table.column(p).combine_chunks().take(pa.array(founded)) for p in places} | _cluster_columns(tree)
+        return pa.table({n: out[n] for n in names})
 
-    known = saved(slim.groupBy("__component", "__tokens").applyInPandas(learn, schema))
-    # An event is a cluster of a component, numbered by the row that founded it. Clusters are few.
-    number = F.row_number().over(Window.partitionBy("__component").orderBy(*places, "__tokens"))
-    keys = ["__component", "__tokens", *places]
-    clusters = known.select(*keys).distinct().withColumn("event", number.cast("long"))
-    numbered = clusters.select(*[F.col(k).alias(f"{k}_") for k in keys], "event")
-    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
-    told = known.join(numbered, same).select("__component", F.col("__masked").alias("__known"), "event", "template")
-    joined = rows.join(told, F.col(component).eqNullSafe(F.col("__component")) & (F.col("__masked") == F.col("__known")))
-    return _with_parameters(joined.select(*columns, "event", "template"), settings, message)
+    now, last = saved(slim.groupBy(*keys).applyInArrow(learn, schema)), (most - 1) // chunk_rows
+    while last > 0:
+        now, last = saved(now.groupBy("c", "len", F.floor(F.col("chunk") / fan)).applyInArrow(merge, schema)), last // fan
+    return now
 
 
-def mine_distinct(entries: DataFrame, settings: MiningSettings | str = "hadoop", component: str = "component", order: Sequence[str] = ("pos",), message: str = "message", keep: Sequence[str] = ()) -> DataFrame:
-    """As mine_templates(), for components of any size: trees learn from the different masked messages of a component, in the
-    order of their first places, and all rows get their template in a join.
+def _matched(distinct: DataFrame, clusters: DataFrame, settings: MiningSettings, match_rows: int) -> DataFrame:
+    """c, len, masked and rank: the cluster of each different masked message. The messages of a component and length are dealt to as
+    many groups as they need, and each gets that component and length's clusters."""
+    shares = distinct.groupBy("c", "len").agg(F.ceil(F.count("*") / match_rows).cast("int").alias("groups"))
+    shares = saved(shares)
+    salted = joined(distinct, shares, ["c", "len"]).withColumn("salt", F.pmod(F.hash("masked"), F.col("groups"))).drop("groups")
+    spread = joined(clusters.select("c", "len", "rank", "template", "leaf"), shares, ["c", "len"]).select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")).drop("groups")
+    schema = StructType([*distinct.select("c", "len", "masked").schema.fields, *StructType.fromDDL("rank long").fields])
 
-    A message that comes again doesn't widen templates further, so templates can be narrower than those of mine_templates().
-    """
+    def match(messages: pa.Table, known: pa.Table) -> pa.Table:
+        if not messages.num_rows:
+            return messages.select(["c", "len", "masked"]).append_column("rank", pa.array([], pa.int64()))
+        tree = _restored(known.sort_by("rank"), settings)
+        found = [tree.match(m) or 0 for m in messages.column("masked").to_pylist()]
+        return messages.select(["c", "len", "masked"]).append_column("rank", pa.array(found, pa.int64()))
+
+    return salted.groupBy("c", "len", "salt").cogroup(spread.groupBy("c", "len", "salt")).applyInArrow(match, schema)
+
+
+def _mined(entries: DataFrame, settings: MiningSettings | str, component: str, order: Sequence[str], message: str, keep: Sequence[str], repeats: bool, chunk_rows: int, fan: int, match_rows: int) -> DataFrame:
     settings = PRESETS[settings] if isinstance(settings, str) else settings
     columns = list(dict.fromkeys([component, *order, *keep, message]))
     rows = entries.select(*columns).withColumn("__masked", masked(F.coalesce(F.col(message), F.lit("")), settings.masks))
-    firsts = rows.groupBy(component, "__masked").agg(F.min(F.struct(*order)).alias("__first"))
-    name, kind = entries.schema[component].name, entries.schema[component].dataType.simpleString()
+    places = [f"o{i}" for i in range(len(order))]
+    # As many groups as there are different numbers of words; trees count for themselves.
+    words = F.size(F.filter(F.split("__masked", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    slim = rows.select(F.col(component).alias("c"), words.alias("len"), F.col("__masked").alias("masked"), *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)])
+    if not repeats:
+        slim = slim.groupBy("c", "len", "masked").agg(F.min(F.struct(*places)).alias("first")).select("c", "len", "masked", "first.*")
+    clusters = _clusters(slim, settings, places, chunk_rows, fan)
+    # An event is a cluster of a component, numbered by the row that founded it. Clusters are few.
+    number = F.row_number().over(Window.partitionBy("c").orderBy(*places, "len")).cast("long")
+    clusters = clusters.withColumn("event", number)
+    distinct = slim.select("c", "len", "masked").distinct()
+    told = joined(_matched(distinct, clusters, settings, match_rows), clusters.select("c", "len", "rank", "event", "template"), ["c", "len", "rank"])
+    told = told.select(F.col("c").alias(f"__{component}"), F.col("masked").alias("__known"), "event", "template")
+    met = rows.join(told, F.col(component).eqNullSafe(F.col(f"__{component}")) & (F.col("__masked") == F.col("__known")))
+    return _with_parameters(met.select(*columns, "event", "template"), settings, message)
+
+
+def mine_templates(
+    entries: DataFrame, settings: MiningSettings | str = "hadoop", component: str = "component", order: Sequence[str] = ("pos",), message: str = "message", keep: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS, fan: int = FAN, match_rows: int = MATCH_ROWS
+) -> DataFrame:
+    """component, order and keep columns, message, event (from 1 in each component, by the first message of each cluster), template,
+    parameters (value, mask). order must tell the rows of a component apart.
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__rank", kind="stable")
-        tree = TemplateTree(settings.similarity, settings.depth)
-        for text in group["__masked"]:
-            tree.learn(text)
-        events = [tree.match(text) or 0 for text in group["__masked"]]
-        return pd.DataFrame({name: group[component], "__masked": group["__masked"], "event": [e + 1 for e in events], "template": [" ".join(tree.templates[e]) for e in events]})
-
-    ranked = firsts.withColumn("__rank", F.row_number().over(Window.partitionBy(component).orderBy("__first"))).drop("__first")
-    known = ranked.groupBy(component).applyInPandas(learn, f"`{name}` {kind}, __masked string, event long, template string")
-    return _with_parameters(rows.join(known, [component, "__masked"]).drop("__masked"), settings, message)
+    A component of at most chunk_rows rows is mined as one tree would mine it, row by row in order. Longer ones are mined in runs of
+    that many rows, whose trees merge in order; a run's clusters then widen or join those before them as messages would.
+    """
+    return _mined(entries, settings, component, order, message, keep, True, chunk_rows, fan, match_rows)
+
+
+def mine_distinct(
+    entries: DataFrame, settings: MiningSettings | str = "hadoop", component: str = "component", order: Sequence[str] = ("pos",), message: str = "message", keep: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS, fan: int = FAN, match_rows: int = MATCH_ROWS
+) -> DataFrame:
+    """As mine_templates(), but trees learn from the different masked messages of a component, in the order of their first places.
+
+    A message that comes again doesn't widen templates further, so templates can be narrower than those of mine_templates().
+    """
+    return _mined(entries, settings, component, order, message, keep, False, chunk_rows, fan, match_rows)
 
 
 def event_dictionary(mined: DataFrame, component: str = "component") -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.joins import joined
 from emberlog.operators.ordering import consecutive_distinct
 from emberlog.sources.written import saved
 
@@ -39,7 +40,8 @@ def forest(tuples: DataFrame, pos: str = "pos") -> DataFrame:
     own = tuples.groupBy("trace", "span").agg(
         F.max_by("parent", F.when(F.col("parent") != F.col("span"), F.col(pos))).alias("parent"), F.max(F.col("parent") == F.col("span")).alias("looped")
     )
-    heads = tuples.select("trace", F.col("parent").alias("span")).distinct().join(own, ["trace", "span"], "left_anti")
+    heads = tuples.select("trace", F.col("parent").alias("span")).distinct()
+    heads = joined(heads, own, ["trace", "span"], "left_anti")
     roots = heads.select("trace", "span", F.lit(None).cast("string").alias("parent"), F.lit(False).alias("looped"))
     return own.unionByName(roots)
 
@@ -56,8 +58,8 @@ def paths(spans: DataFrame) -> DataFrame:
     while True:
         home = now.filter(F.col("up").isNull())
         done = home if done is None else done.unionByName(home)
-        far = done.unionByName(now.filter(F.col("up").isNotNull())).select("trace", F.col("span").alias("up"), F.col("up").alias("__up"), F.col("spans").alias("__spans"), F.col("path").alias("__path"))
-        joined = now.filter(F.col("up").isNotNull()).join(far, ["trace", "up"])
+        far = done.unionByName(now.filter(F.col("up").isNotNull())).select(F.col("trace").alias("__trace"), F.col("span").alias("__span"), F.col("up").alias("__up"), F.col("spans").alias("__spans"), F.col("path").alias("__path"))
+        joined = now.filter(F.col("up").isNotNull()).join(far, F.col("trace").eqNullSafe(F.col("__trace")) & (F.col("up") == F.col("__span")))
         now = saved(joined.select("trace", "span", F.col("__up").alias("up"), (F.col("spans") + F.col("__spans")).alias("spans"), F.concat("__path", F.lit("/"), "path").alias("path")))
         if now.filter(F.col("up").isNull()).isEmpty():
             break
@@ -73,7 +75,7 @@ def flatten(spans: DataFrame, tuples: DataFrame, values: Sequence[str], default_
     """trace, parent, span and the values of each row of a span, one row for a span without; spans without a parent get the
     default or go."""
     named = spans.withColumn("parent", F.coalesce("parent", F.lit(default_parent))) if default_parent is not None else spans.filter(F.col("parent").isNotNull())
-    return named.select("trace", "parent", "span").join(tuples.select("trace", "span", *values), ["trace", "span"], "left").select("trace", "parent", "span", *values)
+    return joined(named.select("trace", "parent", "span"), tuples.select("trace", "span", *values), ["trace", "span"], "left").select("trace", "parent", "span", *values)
 
 
 def graph(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +87,7 @@ def graph(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def shown(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that leave a node that is shown."""
-    return edges.join(nodes.select("trace", F.col("node").alias("src")), ["trace", "src"], "left_semi")
+    return joined(edges, nodes.select("trace", F.col("node").alias("src")), ["trace", "src"], "left_semi")
 
 
 def labels(tuples: DataFrame, column: str, pos: str = "pos", distinct_lines: bool = False) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import case_words
+from emberlog.operators.joins import joined
+from emberlog.operators.places import placed
+from emberlog.operators.selection import same_group, with_quantiles
+from emberlog.sources.written import saved
 
 #: Common English function words, the default for the parameter of that name.
 STOP_WORDS = (
@@ -31,24 +35,26 @@ def vocabulary(df: DataFrame, text: str, by: Sequence[str] = (), split_case: boo
 
 
 def head(vocab: DataFrame, n: int | None = None, min_frequency: int | None = None, percentile: float | None = None, ignored: Sequence[str] | DataFrame = (), by: Sequence[str] = ()) -> DataFrame:
-    """The most frequent tokens with their rank (ties by token): without ignored ones, at most n, at least min_frequency times,
-    and while their running sum is at most percentile of all counts (ignored ones included)."""
-    w = Window.partitionBy(*by)
-    out = vocab.withColumn("__total", F.sum("n").over(w)) if percentile is not None else vocab
+    """The most frequent tokens with their rank (from 1, ties by token): without ignored ones, at most n, at least min_frequency
+    times, and while their running sum is at most percentile of all counts (ignored ones included).
+
+    Ranks and running sums come from tasks' ranges and their totals, so a vocabulary without groups needs no single task.
+    """
+    out = vocab
     if isinstance(ignored, DataFrame):
-        out = out.join(ignored.select("token"), "token", "left_anti")
+        out = joined(out, ignored.select("token"), "token", "left_anti")
     elif ignored:
         out = out.filter(~F.col("token").isin(*ignored))
-    ordered = w.orderBy(F.desc("n"), "token")
-    out = out.withColumn("rank", F.row_number().over(ordered).cast("long"))
-    if n:
-        out = out.filter(F.col("rank") <= n)
     if min_frequency:
+        # Counts fall along the ranks, so this cuts the end off and changes no rank.
         out = out.filter(F.col("n") >= min_frequency)
+    out = placed(out, by, ["n", "token"], into="rank", sums={"__run": "n"}, descending=["n"]).withColumn("rank", F.col("rank") + 1)
+    if n:
+        out = out.filter(F.col("rank") <= n)
     if percentile is not None:
-        running = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("__run", running).filter(F.col("__run") <= F.col("__total") * percentile).drop("__run", "__total")
-    return out
+        total = vocab.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(F.sum("n").alias("__total"))
+        out = out.join(total if by else F.broadcast(total), same_group(by)).filter(F.col("__run") <= F.col("__total") * percentile)
+    return out.select(*vocab.columns, "rank")
 
 
 def jaccard(heads: DataFrame, by: str) -> DataFrame:
@@ -61,21 +67,23 @@ def jaccard(heads: DataFrame, by: str) -> DataFrame:
 
 
 def length_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, mean, stdev (population) and median."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"), F.median(value).alias("median"))
+    """n, mean, stdev (population) and median (exact, by selection)."""
+    v = F.col(value)
+    first = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"))
+    return with_quantiles(first, df, value, {"median": 0.5}, by)
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """mean, quartiles, whiskers (extreme values within 1.5 interquartile ranges), outliers below and above, min, max, stdev."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    first = df.groupBy(*by).agg(F.avg(value).alias("mean"), quartiles.alias("__q"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("stdev"))
-    first = first.withColumns({"q1": F.col("__q")[0], "median": F.col("__q")[1], "q3": F.col("__q")[2]}).drop("__q")
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    bounds = first.select(*by, (F.col("q1") - reach).alias("__lo"), (F.col("q3") + reach).alias("__hi"))
-    rows = df.join(F.broadcast(bounds), list(by)) if by else df.crossJoin(F.broadcast(bounds))
+    """mean, quartiles (exact, by selection), whiskers (extreme values within 1.5 interquartile ranges), outliers below and above, min,
+    max, stdev."""
     v = F.col(value)
+    first = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("stdev"))
+    first = saved(with_quantiles(first, df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    bounds = first.select(*[F.col(b).alias(f"__{b}") for b in by], (F.col("q1") - reach).alias("__lo"), (F.col("q3") + reach).alias("__hi"))
+    rows = df.join(bounds if by else F.broadcast(bounds), same_group(by))
     inside = v.between(F.col("__lo"), F.col("__hi"))
-    second = rows.groupBy(*by).agg(
+    second = rows.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(v < F.col("__lo")).alias("outliers_low"), F.count_if(v > F.col("__hi")).alias("outliers_high")
     )
-    return first.join(second, list(by)) if by else first.crossJoin(second)
+    return first.join(second if by else F.broadcast(second), same_group(by), "left").drop(*[f"__{b}" for b in by])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import any_match
+from emberlog.operators.joins import joined
 
 
 def category_filter(instances: DataFrame, *sets: Sequence[str], column: str = "category") -> DataFrame:
@@ -51,7 +52,7 @@ def in_window(ts: Column, base: Column, bounds: tuple[int | None, int | None]) -
 def time_filter(entries: DataFrame, instances: DataFrame, base: str, bounds: tuple[int | None, int | None] = (-1000, 1000), instance: str = "instance", ts: str = "ts") -> DataFrame:
     """Entries within bounds of their instance's time in column base."""
     bases = instances.select(instance, F.col(base).alias("__base"))
-    return entries.join(bases, instance).filter(in_window(F.col(ts), F.col("__base"), bounds)).drop("__base")
+    return joined(entries, bases, instance).filter(in_window(F.col(ts), F.col("__base"), bounds)).drop("__base")
 
 
 def partition_by_patterns(entries: DataFrame, keys: Sequence[str], order: Sequence[str], patterns: Sequence[str], must_include: bool = False, message: str = "message") -> DataFrame:
@@ -85,9 +86,9 @@ def frame(windows: DataFrame, keys: Sequence[str], patterns: Sequence[str], boun
         micros = lambda c: F.unix_micros(c.cast("timestamp"))
         bucket = lambda c: F.floor(c / F.lit(width))
         anchors = anchors.withColumn("__bucket", F.explode(F.sequence(bucket(micros(F.col("__at")) + lo * 1000), bucket(micros(F.col("__at")) + hi * 1000))))
-        met = windows.withColumn("__bucket", bucket(micros(F.col(ts)))).join(anchors, [*keys, "__bucket"]).drop("__bucket")
+        met = joined(windows.withColumn("__bucket", bucket(micros(F.col(ts)))), anchors, [*keys, "__bucket"]).drop("__bucket")
     else:
-        met = windows.join(anchors, list(keys))
+        met = joined(windows, anchors, keys)
     return met.filter(in_window(F.col(ts), F.col("__at"), bounds)).drop("__at")
 
 
@@ -146,7 +147,7 @@ class LogWindows:
         """Entries in long form with partition_id and, for frames, anchor; keys names the columns that tell windows apart."""
         if self.categories:
             chosen = category_filter(instances, *self.categories).select(self.instance).distinct()
-            entries = entries.join(chosen, self.instance, "left_semi")
+            entries = joined(entries, chosen, self.instance, "left_semi")
         if self.time_property:
             entries = time_filter(entries, instances, self.time_property, self.time_bounds, self.instance, self.ts)
         groups = [self.instance, *self.group_by]

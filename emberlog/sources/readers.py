@@ -11,18 +11,33 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import strip
 from emberlog.operators import traces
+from emberlog.sources.written import saved
+
+#: Splits of text files whose line counts are broadcast.
+MOST_SPLITS = 200_000
 
 INSTANCE_SCHEMA = "map<string, struct<category: array<string>, summary: array<string>, fault_time: string, analysis: string>>"
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """path, file (its name), line_no (from 1 in each file) and line; bytes that aren't UTF-8 become U+FFFD."""
+    """path, file (its name), line_no (from 1 in each file) and line; bytes that aren't UTF-8 become U+FFFD.
+
+    A file may be read in many splits, each by a task of its own. Lines are numbered in their split, and each split gets the sum of
+    the lines in the splits before it, from a first pass that only counts. One number for each split is what goes over the network:
+    broadcast up to MOST_SPLITS, joined beyond.
+    """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.make_valid_utf8("value").alias("line"))
-    number = F.row_number().over(Window.partitionBy("path").orderBy("__block", "__id")).cast("long")
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), number.alias("line_no"), "line")
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id")]
+    rows = reader.text(path).select(*at, F.make_valid_utf8("value").alias("line"))
+    # A split is read by one task from its begin to its end, so its lines have ids without gaps.
+    splits = rows.groupBy("path", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = saved(splits.select(F.col("path").alias("__p"), F.col("__block").alias("__b"), (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__add")))
+    splits = F.broadcast(splits) if splits.count() <= MOST_SPLITS else splits
+    met = rows.join(splits, (F.col("path") == F.col("__p")) & (F.col("__block") == F.col("__b")))
+    return met.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("__id") + F.col("__add")).alias("line_no"), "line")
 
 
 def read_csv_entries(spark: SparkSession, path: str | Sequence[str], header: bool = True) -> DataFrame:

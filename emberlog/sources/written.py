@@ -25,10 +25,10 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written once and read back."""
+def saved(df: DataFrame, *partitioned: str) -> DataFrame:
+    """df written once and read back; a folder for each value of the columns in partitioned."""
     path = f"{folder(df.sparkSession)}/emberlog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partitioned).parquet(path)
     _known.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._emberlog_path = path

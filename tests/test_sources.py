@@ -81,3 +81,23 @@ def test_stream_counts(spark, tmp_path):
     query.stop()
     assert [(r["Component"], r["n"]) for r in spark.sql("SELECT * FROM counted").collect()] == [("up", 2)]
     assert F is not None
+
+
+def test_line_numbers_of_a_file_in_many_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i * 7919 % 300) for i in range(1, 4001)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.log").write_text("\n".join(lines[:10]))
+    (tmp_path / "c.log").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = readers.read_lines(spark, str(tmp_path))
+        rows = found.collect()
+        assert found.rdd.getNumPartitions() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["line_no"], r["line"]) for r in rows if r["file"] == "a.log") == [(i, x) for i, x in enumerate(lines, 1)]
+    assert sorted((r["line_no"], r["line"]) for r in rows if r["file"] == "b.log") == [(i, x) for i, x in enumerate(lines[:10], 1)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()

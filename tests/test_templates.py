@@ -81,6 +81,48 @@ def test_distinct_mining_rebuilds(spark):
     assert rebuilt.count() == 3 * len(MESSAGES) and rebuilt.filter("message <> again").count() == 0
 
 
+def test_rows_without_a_component_or_message_stay(spark):
+    rows = spark.createDataFrame([(None, 1, "x 1"), (None, 2, "x 2"), ("a", 3, None), ("a", 4, "y")], "component string, pos long, message string")
+    for mine in (templates.mine_templates, templates.mine_distinct):
+        assert sorted(r["pos"] for r in mine(rows, MiningSettings()).collect()) == [1, 2, 3, 4]
+
+
+def _made(n, seed):
+    rng = random.Random(seed)
+    kinds = ["open file * of user *", "close file *", "user * logged in from *", "job * failed after * s", "disk * at * percent of *", "started"]
+    return [("", i, " ".join(str(rng.randint(0, 999)) if w == "*" else w for w in rng.choice(kinds).split())) for i in range(n)]
+
+
+def test_trees_of_runs_merge_to_the_clusters_of_one_tree(spark):
+    made = _made(3000, 8)
+    rows = spark.createDataFrame(made, "component string, pos long, message string").repartition(6)
+    settings = MiningSettings(0.4, 4)
+    events, names = templates.mine_messages([m for _, _, m in made], settings)
+    want = [(e, names[e]) for e, _ in events]
+    for chunk_rows, fan, match_rows in ((100, 4, 5), (37, 2, 1000)):
+        mined = {r["pos"]: (r["event"], r["template"]) for r in templates.mine_templates(rows, settings, chunk_rows=chunk_rows, fan=fan, match_rows=match_rows).collect()}
+        assert [mined[i] for i in range(3000)] == want
+
+
+def test_runs_of_few_messages_still_rebuild(spark):
+    """At a similarity of 0.1 runs of five messages may cluster in another way, but templates hold their messages."""
+    rows = spark.createDataFrame([("", i, m) for i, m in enumerate(MESSAGES)], "component string, pos long, message string").repartition(4)
+    mined = templates.mine_templates(rows, MiningSettings(0.1, 3), chunk_rows=5, fan=2)
+    rebuilt = mined.select("message", templates.reconstruct(F.col("template"), F.transform("parameters", lambda p: p["value"])).alias("again"))
+    assert rebuilt.count() == len(MESSAGES) and rebuilt.filter("message <> again").count() == 0
+
+
+def test_messages_passed_over_change_nothing():
+    made = [m for _, _, m in _made(400, 9)] + ["<*> <*> x", "<*> <*> x"]
+    rng = random.Random(10)
+    rng.shuffle(made)
+    one, all_ = templates.TemplateTree(0.5, 4), templates.TemplateTree(0.5, 4)
+    for m in made:
+        one.learn(m)
+    all_.learn_all(made)
+    assert one.templates == all_.templates
+
+
 def test_ids_start_anew_in_each_component(spark):
     rows = spark.createDataFrame([("a", 1, "x y"), ("b", 1, "p q"), ("b", 2, "r s t")], "component string, pos long, message string")
     ids = {(r["component"], r["event"]) for r in templates.mine_templates(rows, MiningSettings()).collect()}

@@ -69,3 +69,10 @@ def test_wrapped(spark):
 
     row = spark.createDataFrame([("one two three  four",)], "t string").select(traces.wrapped(F.col("t"), 8).alias("w")).first()
     assert row["w"] == "one two\nthree\nfour"
+
+
+def test_spans_of_a_null_trace_stay(spark):
+    rows = spark.createDataFrame([(1, None, "0", "1"), (2, None, "1", "2"), (3, None, "2", "3"), (4, "t", "0", "1")], "pos long, trace string, parent string, span string")
+    spans = traces.forest(rows)
+    assert sorted((r["trace"] or "", r["path"]) for r in traces.paths(spans).collect()) == [("", "0"), ("", "0/1"), ("", "0/1/2"), ("", "0/1/2/3"), ("t", "0"), ("t", "0/1")]
+    assert traces.flatten(spans, rows, ["pos"]).filter("pos IS NOT NULL").count() == 4
