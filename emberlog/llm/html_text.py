@@ -38,6 +38,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"})}
 ENDS |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 NEVER = frozenset("script style textarea title noscript iframe xmp template head nav header footer aside form button select datalist option input label svg math object canvas audio video dialog menu fieldset search".split())
+#: Elements that a slash at the end of their tag doesn't close; of the others that HTML knows it only closes those of other kinds of markup.
+OPENS = (RAW | NEVER | BLOCK) - {"svg", "math"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 #: Words in class, id or role that mark what isn't the article.
@@ -60,6 +62,10 @@ SCOPES = frozenset("p td th button object table".split())
 _TOKEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 #: The rest of a tag. A quote counts after an equals sign only.
 _REST = re.compile(r"((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>")
+#: A comment's rest, which may be nothing, or end in an exclamation mark; any other declaration's rest.
+_COMMENT, _DECLARATION = re.compile(r"-?>|(?s:.*?)--!?>"), re.compile(r"[^>]*+>")
+#: Attributes that end in a value without quotes; a slash at its end belongs to it.
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>][^\s>]*$")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: For each element name, the kinds of ENDS that it belongs to or bounds.
 _KINDS = {tag: [kind for kind, (names, within) in ENDS.items() if tag in names | within] for names, within in ENDS.values() for tag in names | within}
@@ -146,8 +152,8 @@ def _tree(page: str, by_words: bool = True) -> tuple[_Node, bool]:
             top.parts.append(references.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
-            closing = page.find("-->", at) + 2 if m[0] == "<!--" else page.find(">", at)
-            at = closing + 1 if closing >= at else end
+            closed = (_COMMENT if m[0] == "<!--" else _DECLARATION).match(page, at)
+            at = closed.end() if closed else end
             continue
         rest = _REST.match(page, at)
         if rest is None:
@@ -169,7 +175,7 @@ def _tree(page: str, by_words: bool = True) -> tuple[_Node, bool]:
         node = _Node(tag, top, _marked(tag, attributes, by_words) if attributes or tag in NEVER else 0)
         worded = worded or node.out > 0 and tag not in NEVER
         top.parts.append(node)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in OPENS and not _UNQUOTED.search(attributes):
             continue
         if tag in RAW:
             closing = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
