@@ -22,9 +22,8 @@ from emberlog.llm.native import char_count, let, words_of
 #: Symbols, letters and digits that are counted, and line beginnings and ends of lists and cut-off teasers.
 SYMBOLS, UPPER, DIGITS, BRACES = "[#*$%&|<>]", "[A-Z]", "[0-9]", "[{}]"
 BULLET, ELLIPSIS, BROKEN = "^[\\x20\\x09]*[-*\u2022\u2023\u25aa\u25e6]", "(?:\\.\\.\\.|\u2026)[\\x20\\x09\\x0D]*$", "\ufffd"
-#: A rule's share of the sample and its time are taken from so many rows at most, each drawn with this probability; of tables
-#: that give fewer than SAMPLE_LEAST rows so, the first rows are taken.
-SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_LEAST = 256, 1 / 16, 64
+#: A rule's share of the sample and its time are taken from so many rows at most.
+SAMPLE_ROWS = 256
 #: Larger texts aren't taken into the sample, which so holds 16 MB at most; they are judged like all others.
 SAMPLE_TEXT_BYTES = 64 << 10
 
@@ -117,11 +116,10 @@ def _timed(sample: DataFrame, reject: Column) -> tuple[float, int]:
 
 
 def sampled(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
-    """At most sample_rows random texts, as a table of their own."""
+    """At most sample_rows random texts, as a table of their own: those of the least random numbers of all rows, so each row of each
+    file has the same chance. A task keeps sample_rows rows of its own at most."""
     texts = df.select(F.col(text).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
-    rows = texts.sample(False, SAMPLE_SHARE, seed).limit(sample_rows).collect()
-    if len(rows) < min(SAMPLE_LEAST, sample_rows):
-        rows = texts.limit(sample_rows).collect()
+    rows = texts.orderBy(F.rand(seed)).limit(sample_rows).collect()
     return df.sparkSession.createDataFrame([(r[0],) for r in rows], "text string")
 
 
