@@ -342,11 +342,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     final = components(links.unionByName(more))
 
     # Components of several classes alone need a common name; there are half as many as links at most.
-    labels = saved(classes.select("id", "rep").join(final, "id", "left"))
+    labels = saved(classes.select("id", "check", "n", "rep").join(final, "id", "left"))
     names = saved(labels.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("component_id")))
     names = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
-    of_class = labels.join(names, "component", "left").select("id", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("key", "n", "id").join(of_class, "id", "left")
+    of_class = labels.join(names, "component", "left").select("id", "check", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.select("key", "n", "id", "check").join(of_class, ["id", "check", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))
