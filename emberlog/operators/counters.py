@@ -13,7 +13,8 @@ class Counters:
     """Named totals of places in a plan.
 
     watch() marks a place; values() gives the totals once an action has run all of it. A place that several actions run is counted
-    in the first. Totals are whole numbers; a place that saw no rows has zeros.
+    in the first. Rows below a shuffle by ranges run twice, once for its sample, and would count twice: watch them on their way into
+    a written table. Totals are whole numbers; a place that saw no rows has zeros.
     """
 
     def __init__(self) -> None:

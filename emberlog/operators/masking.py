@@ -6,9 +6,11 @@ and run in pandas functions, one document at a time, each with a generator seede
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.metrics import stem, stemmed
+
 Sentences = Sequence[Sequence]
 
 
@@ -109,53 +113,107 @@ def count_to_mask(n: int, ratio: float) -> int:
     return round(n * ratio)
 
 
-def _sequential_f1(sentences: Sentences, n: int) -> set[int]:
-    """As the steps of GapSentences with unigram_f1, with running counts: a round costs the tokens of the document once."""
-    own = [Counter(s) for s in sentences]
-    inside: Counter = Counter()
-    rest = sum(own, Counter())
-    total = sum(map(len, sentences))
+def ngram_f1(candidate: Sequence, rest: Sequence, n: int = 1) -> float:
+    """F1 of shared runs of n tokens."""
+    a, b = (Counter(zip(*(x[i:] for i in range(n)), strict=False)) for x in (candidate, rest))
+    shared, total = sum((a & b).values()), sum(a.values()) + sum(b.values())
+    return 2 * shared / total if shared else 0.0
+
+
+class _Text:
+    """Some of a document's sentences in order, as one row of tokens, with counts of its runs of n tokens, also across ends."""
+
+    def __init__(self, sentences: Sentences, n: int, members: Sequence[int] = ()) -> None:
+        self._sentences, self._n, self._members = sentences, n, list(members)
+        self.counts = self._runs([t for i in self._members for t in sentences[i]])
+
+    def _runs(self, tokens: Sequence) -> Counter:
+        return Counter(zip(*(tokens[i:] for i in range(self._n)), strict=False))
+
+    def change(self, i: int, coming: bool) -> Counter:
+        """What sentence i would add to the counts by coming, or take away (below zero) by going; sentences around it that are short
+        let runs reach over several of them."""
+        at, near = bisect.bisect_left(self._members, i), self._n - 1
+        left, right = [], []
+        for k in reversed(self._members[:at]) if near else ():
+            left = [*self._sentences[k], *left][-near:]
+            if len(left) == near:
+                break
+        for k in itertools.islice(self._members, at + (not coming), None) if near else ():
+            right = [*right, *self._sentences[k]][:near]
+            if len(right) == near:
+                break
+        change = self._runs([*left, *self._sentences[i], *right])
+        change.subtract(self._runs([*left, *right]))
+        return change if coming else Counter({g: -c for g, c in change.items()})
+
+    def apply(self, i: int, change: Counter, coming: bool) -> None:
+        self.counts.update(change)
+        if coming:
+            bisect.insort(self._members, i)
+        else:
+            self._members.remove(i)
+
+
+def _selected(sentences: Sentences, n: int, picks: int, sequential: bool) -> set[int]:
+    """The sentences with the best F1 of runs of n tokens against the rest of the document: each by itself, or together with those
+    picked before it. Counts run along, so a round costs the document's tokens once, whatever n is."""
+    if any(not isinstance(t, Hashable) for s in sentences for t in s):
+        sentences = [[repr(t) for t in s] for s in sentences]
+    inside, rest = _Text(sentences, n), _Text(sentences, n, range(len(sentences)))
+    shared, total = 0, sum(rest.counts.values())
     picked: set[int] = set()
-    shared = 0
-    for _ in range(n):
-        scores = {}
-        for i, c in enumerate(own):
-            if i not in picked:
-                gain = sum(min(inside[t] + k, rest[t] - k) - min(inside[t], rest[t]) for t, k in c.items())
-                scores[i] = 2 * (shared + gain) / total if shared + gain else 0.0
-        best = max(scores.values())
-        tied = [i for i in scores if scores[i] == best]
+
+    def scored(i: int) -> tuple[float, int, Counter, Counter]:
+        comes, goes = inside.change(i, True), rest.change(i, False)
+        gain = sum(min(inside.counts[g] + comes[g], rest.counts[g] + goes[g]) - min(inside.counts[g], rest.counts[g]) for g in {**comes, **goes})
+        size = total + sum(comes.values()) + sum(goes.values())
+        return (2 * (shared + gain) / size if shared + gain else 0.0), gain, comes, goes
+
+    if not sequential:
+        scores = [scored(i)[0] for i in range(len(sentences))]
+        return set(sorted(range(len(sentences)), key=lambda i: (-scores[i], i))[:picks])
+    for _ in range(picks):
+        found = {i: scored(i) for i in range(len(sentences)) if i not in picked}
+        best = max(f[0] for f in found.values())
+        tied = [i for i, f in found.items() if f[0] == best]
         chosen = next((i for i in tied if len(sentences[i])), tied[-1])
-        shared += sum(min(inside[t] + k, rest[t] - k) - min(inside[t], rest[t]) for t, k in own[chosen].items())
-        inside.update(own[chosen])
-        rest.subtract(own[chosen])
+        _, gain, comes, goes = found[chosen]
+        shared, total = shared + gain, total + sum(comes.values()) + sum(goes.values())
+        inside.apply(chosen, comes, True)
+        rest.apply(chosen, goes, False)
         picked.add(chosen)
     return picked
 
 
 class GapSentences:
-    """The sentences that tell most of the others become one mask each. select: 'independent' or 'sequential'."""
+    """The sentences that tell most of the others become one mask each. select: 'independent' or 'sequential'.
+
+    Sentences are scored by the F1 of runs of n tokens, of their stems if stems is set, or by a score of (candidate, rest) of the
+    caller's own, which then is called for every candidate of every round.
+    """
 
-    def __init__(self, ratio: float = 0.3, select: str = "independent", score: Callable[[Sequence, Sequence], float] = unigram_f1, mask_token="<*>", context: bool = True) -> None:
-        self.ratio, self.select, self.score, self.mask_token, self.context = ratio, select, score, mask_token, context
+    def __init__(self, ratio: float = 0.3, select: str = "independent", score: Callable[[Sequence, Sequence], float] | None = None, mask_token="<*>", context: bool = True, n: int = 1, stems: bool = False) -> None:
+        self.ratio, self.select, self.score, self.mask_token, self.context, self.n, self.stems = ratio, select, score, mask_token, context, n, stems
 
     def chosen(self, sentences: Sentences) -> set[int]:
-        n = count_to_mask(len(sentences), self.ratio)
+        picks = count_to_mask(len(sentences), self.ratio)
+        forms = [[stem(str(t).lower()) for t in s] for s in sentences] if self.stems else [list(s) for s in sentences]
+        if self.score is None:
+            return _selected(forms, self.n, picks, self.select == "sequential")
         if self.select == "independent":
-            scores = [self.score(s, [t for j, o in enumerate(sentences) if j != i for t in o]) for i, s in enumerate(sentences)]
-            return set(sorted(range(len(sentences)), key=lambda i: (-scores[i], i))[:n])
-        if self.score is unigram_f1:
-            return _sequential_f1(sentences, n)
+            scores = [self.score(s, [t for j, o in enumerate(forms) if j != i for t in o]) for i, s in enumerate(forms)]
+            return set(sorted(range(len(forms)), key=lambda i: (-scores[i], i))[:picks])
         picked: set[int] = set()
-        while len(picked) < n:
-            free = [i for i in range(len(sentences)) if i not in picked]
+        while len(picked) < picks:
+            free = [i for i in range(len(forms)) if i not in picked]
             scores = {}
             for i in free:
-                inside = [t for j in sorted(picked | {i}) for t in sentences[j]]
-                scores[i] = self.score(inside, [t for j in free if j != i for t in sentences[j]])
+                inside = [t for j in sorted(picked | {i}) for t in forms[j]]
+                scores[i] = self.score(inside, [t for j in free if j != i for t in forms[j]])
             best = max(scores.values())
             tied = [i for i in free if scores[i] == best]
-            picked.add(next((i for i in tied if len(sentences[i])), tied[-1]))
+            picked.add(next((i for i in tied if len(forms[i])), tied[-1]))
         return picked
 
     def mask(self, sentences: Sentences) -> list[list]:
@@ -174,6 +232,8 @@ PRESETS = {
     "text-infilling": lambda seed=None: TextInfilling(0.3, 3.0, seed),
     "gap-independent": lambda seed=None: GapSentences(0.3, "independent"),
     "gap-sequential": lambda seed=None: GapSentences(0.3, "sequential"),
+    "gap-independent-stems": lambda seed=None: GapSentences(0.3, "independent", stems=True),
+    "gap-sequential-stems": lambda seed=None: GapSentences(0.3, "sequential", stems=True),
 }
 
 
@@ -195,8 +255,11 @@ def masked_documents(docs: DataFrame, sentences: str, key: str, masker: Masker |
     return docs.select(key, sentences).mapInPandas(run, f"{key} {kind}, masked array<array<string>>, antimasked array<array<string>>")
 
 
-def independent_scores(rows: DataFrame, key: str, at: str, tokens: str) -> DataFrame:
-    """key, at and score of each sentence (row): unigram F1 against the rest of its document, by counts alone."""
+def independent_scores(rows: DataFrame, key: str, at: str, tokens: str, stems: bool = False) -> DataFrame:
+    """key, at and score of each sentence (row): unigram F1 against the rest of its document, by counts alone; of the stems of words
+    in lower case, if stems is set."""
+    if stems:
+        rows = rows.withColumn(tokens, stemmed(F.transform(tokens, F.lower)))
     w = Window.partitionBy(key)
     counted = rows.select(key, at, F.size(tokens).alias("__n"), F.explode_outer(tokens).alias("__t")).groupBy(key, at, "__n", "__t").agg(F.count("__t").alias("__c"))
     whole = counted.withColumn("__all", F.sum("__c").over(Window.partitionBy(key, "__t")))

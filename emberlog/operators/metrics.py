@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Sequence
 
 import pandas as pd
@@ -64,28 +64,56 @@ def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, mos
     return out.select(*names, brevity.alias("brevity")).withColumn("bleu", F.col("brevity") * F.coalesce(mean, F.lit(0.0)))
 
 
+def _columns(b: Sequence) -> dict:
+    """For each token of b, a number with a bit set at each of its places."""
+    out: dict = {}
+    for j, y in enumerate(b):
+        out[y] = out.get(y, 0) | 1 << j
+    return out
+
+
+def _next_row(row: int, match: int, full: int) -> int:
+    """Bit vectors of longest common subsequences: bit j of a row is 0 where b's first j + 1 tokens have one more in common with a's
+    tokens so far than its first j; match has the places of a's next token."""
+    both = row & match
+    return ((row + both) | (row - both)) & full
+
+
 def lcs_length(a: Sequence, b: Sequence) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence; a word of bits at a time."""
+    columns, full = _columns(b), (1 << len(b)) - 1
+    row = full
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b):
-            diagonal, row[j + 1] = row[j + 1], diagonal + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+        row = _next_row(row, columns.get(x, 0), full)
+    return len(b) - row.bit_count()
 
 
 def _lcs_places(a: Sequence, b: Sequence) -> set[int]:
-    """Places of a that one longest common subsequence uses."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    i, j, found = len(a), len(b), set()
+    """Places of a that one longest common subsequence uses: the one that going back from both ends finds, where a token of a is
+    dropped first if either could be.
+
+    Rows of bits are kept at every so many tokens of a only, and those between are made again on the way back.
+    """
+    columns, full = _columns(b), (1 << len(b)) - 1
+    stride = math.isqrt(len(a)) + 1
+    kept, row = [full], full
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, columns.get(x, 0), full)
+        if i % stride == 0:
+            kept.append(row)
+    found: set[int] = set()
+    i, j, rows, first = len(a), len(b), [], len(a) + 1
+    common = lambda i, j: j - (rows[i - first] & ((1 << j) - 1)).bit_count()
     while i and j:
+        if i - 1 < first:
+            first = (i - 1) // stride * stride
+            rows = [kept[first // stride]]
+            for x in a[first : first + stride]:
+                rows.append(_next_row(rows[-1], columns.get(x, 0), full))
         if a[i - 1] == b[j - 1]:
             found.add(i - 1)
             i, j = i - 1, j - 1
-        elif table[i - 1][j] >= table[i][j - 1]:
+        elif common(i - 1, j) >= common(i, j - 1):
             i -= 1
         else:
             j -= 1
@@ -135,14 +163,14 @@ def meteor(prediction: Sequence[str], reference: Sequence[str]) -> float:
     taken: dict[int, int] = {}
     used: set[int] = set()
     for form in (str, stem):
+        free: dict[str, deque[int]] = {}
+        for j, r in enumerate(reference):
+            if j not in used:
+                free.setdefault(form(r), deque()).append(j)
         for i, w in enumerate(prediction):
-            if i in taken:
-                continue
-            for j, r in enumerate(reference):
-                if j not in used and form(w) == form(r):
-                    taken[i] = j
-                    used.add(j)
-                    break
+            if i not in taken and free.get(form(w)):
+                taken[i] = free[form(w)].popleft()
+                used.add(taken[i])
     if not taken:
         return 0.0
     precision, recall = len(taken) / len(prediction), len(taken) / len(reference)

@@ -11,10 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.text import natural_key
 from emberlog.operators.joins import joined
 from emberlog.operators.ordering import consecutive_distinct
+from emberlog.operators.places import placed
 from emberlog.sources.written import saved
 
+_BELOW = "\u0001"
 _MARKER = r"\[([0-9a-fA-F]+), ?([0-9a-fA-F]+), ?([0-9a-fA-F]+)\]"
 
 
@@ -46,26 +49,39 @@ def forest(tuples: DataFrame, pos: str = "pos") -> DataFrame:
     return own.unionByName(roots)
 
 
-def paths(spans: DataFrame) -> DataFrame:
-    """trace, span, depth (0 for a trace's top spans) and path (span ids joined by '/') of all spans that a root reaches.
+def paths(spans: DataFrame, piece: Column | None = None, separator: str = "/") -> DataFrame:
+    """trace, span, depth (0 for a trace's top spans) and path (span ids, or pieces, joined by the separator) of all spans that a root
+    reaches.
 
     Each round joins every span that hasn't come to its root with the piece of path that ends at its topmost known ancestor,
     so pieces double in length and a depth of n takes log n rounds. Each round is written; spans that have come to their root
     aren't touched again. When a round brings none home, all that are left hang on cycles.
     """
-    begun = spans.select("trace", "span", F.col("parent").alias("up"), F.lit(1).cast("long").alias("spans"), F.col("span").alias("path"))
+    begun = spans.select("trace", "span", F.col("parent").alias("up"), F.lit(1).cast("long").alias("spans"), (F.col("span") if piece is None else piece).alias("path"))
     now, done = saved(begun), None
     while True:
         home = now.filter(F.col("up").isNull())
         done = home if done is None else done.unionByName(home)
         far = done.unionByName(now.filter(F.col("up").isNotNull())).select(F.col("trace").alias("__trace"), F.col("span").alias("__span"), F.col("up").alias("__up"), F.col("spans").alias("__spans"), F.col("path").alias("__path"))
         joined = now.filter(F.col("up").isNotNull()).join(far, F.col("trace").eqNullSafe(F.col("__trace")) & (F.col("up") == F.col("__span")))
-        now = saved(joined.select("trace", "span", F.col("__up").alias("up"), (F.col("spans") + F.col("__spans")).alias("spans"), F.concat("__path", F.lit("/"), "path").alias("path")))
+        now = saved(joined.select("trace", "span", F.col("__up").alias("up"), (F.col("spans") + F.col("__spans")).alias("spans"), F.concat("__path", F.lit(separator), "path").alias("path")))
         if now.filter(F.col("up").isNull()).isEmpty():
             break
     return done.select("trace", "span", (F.col("spans") - 1).alias("depth"), "path")
 
 
+def in_tree_order(spans: DataFrame, into: str = "row") -> DataFrame:
+    """trace, span, depth and row (from 0 in each trace) of all spans that a root reaches, as a tree is shown: parents before their
+    children, children of one parent by the natural order of their ids.
+
+    A span's sort key is made of the natural keys of all its ancestors, which the rounds of paths() join; numbers then come from
+    tasks' ranges, so a trace of any size is spread over tasks.
+    """
+    # The separator sorts before all that ids are made of, so a parent's children come before its next sibling.
+    keyed = paths(spans, natural_key(F.col("span")), _BELOW)
+    return placed(keyed, ["trace"], ["path", "span"], into=into).drop("path")
+
+
 def find(spans: DataFrame, span: str) -> DataFrame:
     """Paths to a span, with the trace in front."""
     return paths(spans).filter(F.col("span") == span).select(F.concat_ws("/", "trace", "path").alias("path"))

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.patterns import PRESETS
 from emberlog.operators import cleaning, events, ordering, sequences, structuring, templates
+from emberlog.operators.joins import joined
 from emberlog.operators.windows import LogWindows
 from emberlog.sources.formats import LOG_FORMATS
+from emberlog.sources.written import saved
 
 EVENT = ("Component", "ComponentEventID")
+#: Ids of events that are broadcast to their rows; beyond, rows are shuffled to them.
+BROADCAST_EVENTS = 1_000_000
 
 
 def process_logs(lines: DataFrame, dataset: str, instances: DataFrame | None = None, name: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -60,10 +64,10 @@ def analyse(entries: DataFrame, instances: DataFrame, event_types: DataFrame, sp
     if output == "window-stats":
         return events.window_stats(windows, spec.keys, "Timestamp")
     if output == "cumulated-events":
-        return event_types.join(events.cumulated_events(windows, EVENT), list(EVENT), "left_semi")
+        return joined(event_types, events.cumulated_events(windows, EVENT), EVENT, "left_semi")
     common = events.common_events(windows, spec.keys, EVENT)
     if output == "common-events":
-        return event_types.join(common, list(EVENT), "left_semi")
+        return joined(event_types, common, EVENT, "left_semi")
     if output == "common-entries":
         return events.entries_of(windows, common, EVENT)
     raise ValueError(f"unknown output {output!r}")
@@ -77,17 +81,14 @@ def summary_chunks(entries: DataFrame, instances: DataFrame, spec: LogWindows, e
     normal = None
     if excluded is not None:
         normal = events.cumulated_events(excluded.named(ts="Timestamp", message="Message").build(entries, instances), EVENT)
-    wanted = events.summary_events(windows, spec.keys, EVENT, normal, only_common).withColumn("__label", F.lit(True))
+    # Ids of events, written once: counting them doesn't run what is above once more.
+    wanted = saved(events.summary_events(windows, spec.keys, EVENT, normal, only_common).withColumn("__label", F.lit(True)))
     words = F.slice(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), 1, sentence_max)
-    rows = windows.withColumns({"__words": words, "__size": F.size(words)}).join(F.broadcast(wanted) if _small(wanted) else wanted, list(EVENT), "left")
+    rows = joined(windows.withColumns({"__words": words, "__size": F.size(words)}), F.broadcast(wanted) if wanted.count() <= BROADCAST_EVENTS else wanted, EVENT, "left")
     chunks = sequences.packed(rows, list(spec.keys), ["pos"], "__size", max_length)
     return sequences.labelled_chunks(chunks, list(spec.keys), ["pos"], "__words", F.coalesce("__label", F.lit(False)))
 
 
-def _small(df: DataFrame, most: int = 1_000_000) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def pretraining_windows(rows: DataFrame, within: Sequence[str], order: Sequence[str], text: Column, size: int = 10_000, stride: int | float | None = None) -> DataFrame:
     """Windows of sentences in order: within, window and sentences (array<array<string>>)."""
     placed = sequences.sliding_windows(rows.withColumn("__words", F.split(text, r"\s+")), within, order, size, stride)

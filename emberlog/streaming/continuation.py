@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from emberlog.functions.text import strip
 from emberlog.operators.structuring import parse
@@ -34,11 +34,12 @@ class _Continuation(StatefulProcessor):
         self._fields, self._append_to, self._separator, self._idle_ms = fields, append_to, separator, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        entry = StructType.fromDDL("line_no bigint").add("fields", "array<string>").add("texts", "array<string>")
+        # Workers have no session that could read types from text.
+        number, texts = StructType([StructField("line_no", LongType())]), ArrayType(StringType())
         self._handle = handle
-        self._due = handle.getValueState("due", "due bigint")
-        self._open = handle.getValueState("open", entry)
-        self._waiting = handle.getMapState("waiting", "line_no bigint", "is_valid boolean, text string, fields array<string>")
+        self._due = handle.getValueState("due", number)
+        self._open = handle.getValueState("open", StructType([*number.fields, StructField("fields", texts), StructField("texts", texts)]))
+        self._waiting = handle.getMapState("waiting", number, StructType([StructField("is_valid", BooleanType()), StructField("text", StringType()), StructField("fields", texts)]))
 
     def _closed(self, key: tuple) -> tuple | None:
         if not self._open.exists():
