@@ -1,9 +1,10 @@
-"""python -m emberlog: formats, structure, abstract, preprocess and analyse."""
+"""python -m emberlog: formats, structure, abstract, preprocess, analyse and statistics."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -24,12 +25,19 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--form", default="csv", choices=["csv", "parquet"])
     p = sub.add_parser("abstract", help="messages to event ids, templates and parameters")
     p.add_argument("column", help="a name, or a number for files without a header")
-    p.add_argument("source")
+    p.add_argument("source", help="a CSV file, or - for standard input")
     p.add_argument("destination")
     p.add_argument("-p", "--preset", default="hadoop")
     p.add_argument("--similarity", type=float)
     p.add_argument("--depth", type=int)
+    p.add_argument("--templates", help="write each template once, to this place, and rows without")
     p.add_argument("--form", default="parquet", choices=["csv", "parquet"])
+    p = sub.add_parser("statistics", help="lengths, vocabularies and overlaps of data sets")
+    p.add_argument("column", help="the text column")
+    p.add_argument("destination")
+    p.add_argument("datasets", nargs="+", help="name=path of CSV files")
+    p.add_argument("--percentile", type=float, default=0.9)
+    p.add_argument("--min-frequency", type=int)
     p = sub.add_parser("preprocess", help="log files to a data set")
     p.add_argument("dataset", help="hadoop, telcoapp or a summary_ preset")
     p.add_argument("source")
@@ -45,9 +53,9 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None) -> int:
     from emberlog.functions.patterns import PRESETS, MiningSettings
-    from emberlog.operators import structuring, templates
+    from emberlog.operators import structuring, templates, vocabulary
     from emberlog.operators.windows import LogWindows
-    from emberlog.plans import preprocess
+    from emberlog.plans import preprocess, statistics
     from emberlog.session import get_session
     from emberlog.sources import formats, readers, sinks
 
@@ -76,9 +84,18 @@ def main(arguments: list[str] | None = None) -> int:
         column = int(o.column) if o.column.isdigit() else o.column
         base = PRESETS[o.preset]
         settings = MiningSettings(o.similarity or base.similarity, o.depth or base.depth, base.masks)
-        rows = readers.csv_column(spark, o.source, column).select(F.lit("").alias("component"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("message"))
+        source = readers.from_standard_input(spark) if o.source == "-" else o.source
+        rows = readers.csv_column(spark, source, column).select(F.lit("").alias("component"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("message"))
         mined = templates.with_simplified_message(templates.mine_templates(rows, settings))
-        sinks.write_entries(mined.drop("component"), o.destination, o.form)
+        if o.templates:
+            sinks.write_mined(mined, o.destination, o.templates, form=o.form)
+        else:
+            sinks.write_entries(mined.drop("component"), o.destination, o.form)
+    elif o.command == "statistics":
+        parts = [readers.csv_column(spark, path, o.column).select(F.lit(name).alias("dataset"), F.col("value").alias("text")) for name, _, path in (d.partition("=") for d in o.datasets)]
+        lengths, overlaps = statistics.dataset_statistics(reduce(lambda a, b: a.unionByName(b), parts), "dataset", "text", o.percentile, o.min_frequency, vocabulary.STOP_WORDS)
+        sinks.write_stats(lengths, f"{o.destination}/datasets")
+        sinks.write_stats(overlaps, f"{o.destination}/overlaps")
     elif o.command == "preprocess":
         lines = readers.read_lines(spark, o.source, "*.log" if o.dataset == "hadoop" else None, recursive=True)
         if o.dataset.startswith("summary_"):
@@ -88,10 +105,7 @@ def main(arguments: list[str] | None = None) -> int:
             logs = readers.discovered(lines, "hadoop")
             instances = readers.label_file(readers.read_lines(spark, f"{o.source}/abnormal_label.txt"))
         else:
-            logs = readers.discovered(lines.filter(F.col("file").startswith("hiapplogcat")), "telcoapp")
-            told = readers.diagnosis_file(lines.filter(F.lower("file") == "rd.txt").withColumn("file", F.regexp_replace("path", "/[^/]*$", "")))
-            folders = logs.select("instance", F.regexp_replace("path", "(?:/[^/]*){2}$", "").alias("file")).distinct()
-            instances = folders.join(told, "file", "left").select("instance", "fault_time", "analysis")
+            instances, logs = readers.diagnosed_instances(lines, o.source)
         entries, kinds = preprocess.process_logs(logs.select("instance", "file", "line_no", "line"), o.dataset, instances)
         sinks.write_dataset(entries, kinds, instances, o.destination, "overwrite" if o.force else "errorifexists")
     else:

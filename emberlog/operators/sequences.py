@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberlog.functions.text import bound
 from emberlog.operators.chains import packed
 from emberlog.operators.joins import joined
+from emberlog.operators.places import placed
 
 LABEL_PAD = -100
 
@@ -85,6 +88,53 @@ def between(ids: Column, begin: int, end: int) -> Column:
     return F.transform(pieces, lambda p: F.when(stop(p) > 0, F.slice(p, F.lit(1), stop(p))).otherwise(p))
 
 
+def sequences_of(ids: Column, begin: int | None = None, end: int | None = None) -> Column:
+    """The sequences that ids hold: runs between both tokens, pieces that one of them opens or closes, or all ids if there is neither.
+
+    Decode each of them to get texts back; what stands outside of runs belongs to none.
+    """
+    if begin is not None and end is not None:
+        return between(ids, begin, end)
+    if begin is not None:
+        return split_at(ids, begin)
+    return split_at(ids, end, at_end=True) if end is not None else F.array(ids)
+
+
+def tokenized(
+    rows: DataFrame, within: Sequence[str], order: Sequence[str], text: str, encode: Callable[[str], Sequence[int]], separator: str | None = None, most: float | None = None, model_length: int = 1024, bos: Sequence[int] = (), eos: Sequence[int] = (), into: str = "input_ids"
+) -> DataFrame:
+    """Adds the ids of each sentence. With a separator, it stands before each sentence of a group but the first and no special
+    tokens are added; without one, each sentence gets bos and eos.
+
+    most: ids of a sentence, special ones included; up to 1 a share of model_length; None doesn't cut. encode is called once for
+    each different text of a batch. Null text counts as empty.
+    """
+    room = None if most is None else int(most * model_length) if most <= 1 else int(most)
+    said = F.coalesce(F.col(text), F.lit(""))
+    if separator:
+        placed_ = placed(rows, within, order, into="__place")
+        slim = placed_.withColumn("__said", F.when(F.col("__place") > 0, F.concat(F.lit(separator), said)).otherwise(said)).drop("__place")
+    else:
+        slim = rows.withColumn("__said", said)
+    around = ([], []) if separator else (list(bos), list(eos))
+    keep = slim.drop(into, "__said").columns
+    schema = StructType([*slim.select(*keep).schema.fields, *StructType.fromDDL(f"`{into}` array<int>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, list[int]] = {}
+            found = []
+            for t in batch.column(len(keep)).to_pylist():
+                if t not in known:
+                    inner = list(encode(t))
+                    left = None if room is None else max(room - len(around[0]) - len(around[1]), 0)
+                    known[t] = ([*around[0], *inner[:left], *around[1]])[:room]
+                found.append(known[t])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], [*keep, into])
+
+    return slim.select(*keep, "__said").mapInArrow(run, schema)
+
+
 def padded(ids: Column, length: Column | int, pad: int) -> Column:
     """ids with pad up to length."""
     length = F.lit(length) if isinstance(length, int) else length
@@ -117,5 +167,5 @@ def split_by_category(instances: DataFrame, train: str | None, evaluate: str | N
 
 
 __all__ = [
-    "LABEL_PAD", "between", "decorated", "first_chunk_with_summary", "flatten_sentences", "kept_references", "labelled_chunks", "packed", "padded", "sliding_windows", "split_at", "split_by_category", "truncated", "with_separators", "without_ignored",
+    "LABEL_PAD", "between", "decorated", "first_chunk_with_summary", "flatten_sentences", "kept_references", "labelled_chunks", "packed", "padded", "sequences_of", "sliding_windows", "split_at", "split_by_category", "tokenized", "truncated", "with_separators", "without_ignored",
 ]

@@ -6,8 +6,9 @@ parent that has no row of its own is a root. Spans on cycles can't be reached fr
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +95,31 @@ def flatten(spans: DataFrame, tuples: DataFrame, values: Sequence[str], default_
     return joined(named.select("trace", "parent", "span"), tuples.select("trace", "span", *values), ["trace", "span"], "left").select("trace", "parent", "span", *values)
 
 
-def graph(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (trace, node, kind) with one for each trace, and edges (trace, src, dst)."""
+def graph(spans: DataFrame, tuples: DataFrame | None = None, keep: Sequence[str] = (), pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """nodes (trace, node, kind) with one for each trace, and edges (trace, src, dst).
+
+    keep: columns of tuples that nodes retain, as attributes (one struct for each row of the span, in order; empty for traces and
+    for spans without rows).
+    """
     nodes = spans.select("trace", F.col("span").alias("node"), F.lit("span").alias("kind"))
     nodes = nodes.unionByName(spans.select("trace", F.col("trace").alias("node"), F.lit("trace").alias("kind")).distinct())
+    if tuples is not None and keep:
+        rows = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("__at"), F.struct(*keep).alias("__row"))))
+        held = tuples.groupBy("trace", F.col("span").alias("node")).agg(F.transform(rows, lambda r: r["__row"]).alias("attributes")).withColumn("kind", F.lit("span"))
+        nodes = joined(nodes, held, ["trace", "node", "kind"], "left")
+        none = F.array().cast(held.schema["attributes"].dataType)
+        nodes = nodes.withColumn("attributes", F.coalesce("attributes", none))
     return nodes, spans.select("trace", F.coalesce("parent", "trace").alias("src"), F.col("span").alias("dst"))
 
 
+def constructed(nodes: DataFrame, edges: DataFrame, build: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What build makes of each trace's nodes and edges: a caller's own graph, measured or written out, as rows of schema. A trace is
+    one call, so its graph has to fit a task."""
+    # Both may come from the same rows; new names of the same kind tell their columns apart.
+    own = edges.select(*(F.col(c).alias(c) for c in edges.columns))
+    return nodes.groupBy("trace").cogroup(own.groupBy("trace")).applyInArrow(build, schema)
+
+
 def shown(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that leave a node that is shown."""
     return joined(edges, nodes.select("trace", F.col("node").alias("src")), ["trace", "src"], "left_semi")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import sys
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import strip
 from emberlog.operators import traces
-from emberlog.sources.written import saved
+from emberlog.sources.written import folder, saved
 
 #: Splits of text files whose line counts are broadcast.
 MOST_SPLITS = 200_000
@@ -108,6 +111,39 @@ def discovered(lines: DataFrame, layout: str) -> DataFrame:
     return lines.withColumn("instance", F.concat_ws("_", F.regexp_extract(part(4), r"\d+", 0), part(3), number))
 
 
+def diagnosed_instances(lines: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Instances (instance, category, fault_time, analysis) and log lines with their instance, of files below root: anomaly, cause and
+    number are the first three folders (a third one that is no number counts as 1); logs are files whose name begins with
+    hiapplogcat. A diagnosis file (rd.txt, in any case) stands two folders above a log's own; where it names no cause, that of
+    the folder above counts. Of several logs of an instance that of the last path decides.
+    """
+    inner = F.regexp_replace("path", "^.*?" + re.escape(root.split(":", 1)[-1].strip("/")) + "/", "")
+    part = lambda k: F.get(F.split(inner, "/"), F.lit(k))
+    up = lambda c, n: F.regexp_replace(c, f"(?:/[^/]*){{{n}}}$", "")
+    number = F.when(part(2).rlike(r"^\d+$"), part(2)).otherwise(F.lit("1"))
+    logs = lines.filter(F.col("file").startswith("hiapplogcat")).withColumn("instance", F.concat_ws("_", F.regexp_extract(part(0), r"\d+", 0), part(1), number))
+    told = diagnosis_file(lines.filter(F.lower("file") == "rd.txt").withColumn("file", up(F.col("path"), 1)))
+    last = logs.select("instance", "path", F.array(part(0), part(1)).alias("category")).groupBy("instance").agg(F.max_by("category", "path").alias("category"), F.max("path").alias("path"))
+    last = last.withColumns({"__near": up(F.col("path"), 3), "__far": up(F.col("path"), 4)})
+    near = told.select(F.col("file").alias("__near"), "fault_time", F.col("analysis").alias("__own"))
+    far = told.select(F.col("file").alias("__far"), F.col("analysis").alias("__above"))
+    out = last.join(near, "__near", "left").join(far, "__far", "left")
+    return out.select("instance", "category", "fault_time", F.coalesce("__own", "__above").alias("analysis")), logs
+
+
+def from_standard_input(spark: SparkSession, suffix: str = ".csv") -> str:
+    """Standard input as a file in the shared folder; it goes through in pieces."""
+    path = f"{folder(spark)}/emberlog-{uuid.uuid4().hex}{suffix}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        while piece := sys.stdin.buffer.read(1 << 20):
+            out.write(piece)
+    finally:
+        out.close()
+    return path
+
+
 def trace_tuples_from_csv(spark: SparkSession, files: Sequence[dict]) -> DataFrame:
     """Trace tuples of several files in order. Each: path, and message (markers) or trace, parent and span columns."""
     parts: list[DataFrame] = []

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.operators.joins import joined
+
 
 def write_entries(entries: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists") -> None:
     """CSV has its header and quotes; arrays become JSON there. An empty table gives an empty one."""
@@ -17,9 +19,19 @@ def write_entries(entries: DataFrame, path: str, form: str = "parquet", mode: st
         entries.write.mode(mode).format(form).save(path)
 
 
+def write_mined(mined: DataFrame, path: str, templates: str | None = None, component: str = "component", form: str = "parquet", mode: str = "errorifexists") -> None:
+    """Rows with their event, parameters and template; with a path for templates, rows have the event alone and each template stands
+    there once, by component and event."""
+    if templates is None:
+        write_entries(mined, path, form, mode)
+        return
+    write_entries(mined.drop("template"), path, form, mode)
+    write_entries(mined.select(component, "event", "template").distinct().orderBy(component, "event"), templates, form, mode)
+
+
 def write_events(event_types: DataFrame, ids: DataFrame, on: Sequence[str], path: str, form: str = "csv", mode: str = "errorifexists") -> None:
     """The event types whose ids are given."""
-    write_entries(event_types.join(ids, list(on), "left_semi"), path, form, mode)
+    write_entries(joined(event_types, ids, on, "left_semi"), path, form, mode)
 
 
 def write_dataset(entries: DataFrame, event_types: DataFrame, instances: DataFrame, path: str, mode: str = "errorifexists") -> None:
