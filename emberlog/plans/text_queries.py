@@ -398,6 +398,18 @@ def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("precision_1", "precision_2", "brevity", "bleu")])
 
 
+@query("""WITH RECURSIVE p AS (SELECT u.conv_id * 1000 + u.turn AS id, regexp_extract_all(lower(a.text), '\\S+') AS a, regexp_extract_all(lower(u.text), '\\S+') AS b
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'),
+t AS (SELECT id, 0::BIGINT AS i, unnest(generate_series(0, len(b))) AS j, 0::BIGINT AS l FROM p UNION ALL
+  SELECT id, i, j, max(c) OVER (PARTITION BY id ORDER BY j) AS l FROM (SELECT t.id, t.i + 1 AS i, t.j, greatest(t.l, CASE WHEN t.j > 0 AND p.a[t.i + 1] = p.b[t.j] THEN lag(t.l) OVER (PARTITION BY t.id ORDER BY t.j) + 1 ELSE 0 END) AS c
+  FROM t JOIN p ON p.id = t.id WHERE t.i < len(p.a))),
+s AS (SELECT p.id, len(a) AS x, len(b) AS y, t.l AS l FROM p JOIN t ON t.id = p.id AND t.i = len(a) AND t.j = len(b))
+SELECT id, round(CASE WHEN l > 0 THEN 2 * l / (x + y) ELSE 0 END, 6)::DOUBLE AS rouge_l, round(CASE WHEN l > 0 THEN l / x ELSE 0 END, 6)::DOUBLE AS rouge_l_precision, round(CASE WHEN l > 0 THEN l / y ELSE 0 END, 6)::DOUBLE AS rouge_l_recall FROM s""".replace("\\\\", "\\"))
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.sequence_metrics(_pairs(spark, sf_dir), "id", "prediction", "reference")
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("rouge_l", "rouge_l_precision", "rouge_l_recall")])
+
+
 @query()
 def rouge_l_bleu_meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sequence_metrics(_pairs(spark, sf_dir), "id", "prediction", "reference")
