@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import bound
-from emberlog.operators.joins import joined
 from emberlog.operators.vocabulary import tokens
 
 
@@ -34,14 +33,31 @@ def stemmed(words: Column) -> Column:
     return F.transform(words, lambda w: F.regexp_replace(w, f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1"))
 
 
+def shared_count(a: Column, b: Column) -> Column:
+    """How many elements two arrays of strings share, each as often as both have it; both are sorted together and swept once."""
+    told = lambda xs, mine: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(mine).alias("m")))
+    state = "struct<x: string, a: bigint, b: bigint, n: bigint>"
+
+    def step(s: Column, e: Column) -> Column:
+        one, other = F.when(e["m"], 1).otherwise(0), F.when(e["m"], 0).otherwise(1)
+        more = F.struct(s["x"].alias("x"), (s["a"] + one).alias("a"), (s["b"] + other).alias("b"), s["n"].alias("n")).cast(state)
+        fresh = F.struct(e["x"].alias("x"), one.alias("a"), other.alias("b"), (s["n"] + F.least(s["a"], s["b"])).alias("n")).cast(state)
+        return F.when(s["x"] == e["x"], more).otherwise(fresh)
+
+    start = F.struct(F.lit("").alias("x"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n")).cast(state)
+    return F.aggregate(F.sort_array(F.concat(told(a, True), told(b, False))), start, step, lambda s: s["n"] + F.least(s["a"], s["b"]))
+
+
+def _grams(text: str, n: int, stems: bool) -> Column:
+    words = tokens(F.col(text), split_case=False)
+    return ngrams(stemmed(words) if stems else words, n)
+
+
 def shared_ngrams(pairs: DataFrame, key: str, prediction: str, reference: str, n: int = 1, stems: bool = False) -> DataFrame:
-    """key, shared (n-grams that both have, by counts), predicted and referred (n-grams of each)."""
-    words = lambda c: tokens(F.col(c), split_case=False)
-    grams = lambda c: ngrams(stemmed(words(c)) if stems else words(c), n)
-    base = pairs.select(F.col(key), grams(prediction).alias("__p"), grams(reference).alias("__r"))
-    count = lambda c, name: base.select(key, F.explode(c).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(name))
-    shared = joined(count("__p", "a"), count("__r", "b"), [key, "g"]).groupBy(key).agg(F.sum(F.least("a", "b")).alias("s"))
-    return joined(base.select(key, F.size("__p").alias("predicted"), F.size("__r").alias("referred")), shared, key, "left").select(key, F.coalesce("s", F.lit(0)).alias("shared"), "predicted", "referred")
+    """key, shared (n-grams that both have, by counts), predicted and referred (n-grams of each); each row by itself, without a
+    shuffle."""
+    base = pairs.select(key, _grams(prediction, n, stems).alias("__p"), _grams(reference, n, stems).alias("__r"))
+    return base.select(key, shared_count(F.col("__p"), F.col("__r")).alias("shared"), F.size("__p").alias("predicted"), F.size("__r").alias("referred"))
 
 
 def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int = 1, stems: bool = False) -> DataFrame:
@@ -52,31 +68,16 @@ def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int
 
 
 def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, most: int = 4) -> DataFrame:
-    """One row: bleu over all pairs together (counts of all are added up first), precision_1 to precision_most and brevity."""
-    out = None
-    for n in range(1, most + 1):
-        sums = shared_ngrams(pairs, key, prediction, reference, n).agg(F.sum("shared").alias("s"), F.sum("predicted").alias("p"), F.sum("referred").alias("r"))
-        part = sums.select(F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(F.lit(0.0)).alias(f"precision_{n}"), *([F.col("p"), F.col("r")] if n == 1 else []))
-        out = part if out is None else out.crossJoin(F.broadcast(part))  # one row each
-    brevity = F.when(F.col("p") >= F.col("r"), F.lit(1.0)).when(F.col("p") > 0, F.exp(1 - F.col("r") / F.col("p"))).otherwise(F.lit(0.0))
-    names = [f"precision_{n}" for n in range(1, most + 1)]
-    mean = F.exp(sum((F.log(F.nullif(F.col(c), F.lit(0.0))) for c in names[1:]), F.log(F.nullif(F.col(names[0]), F.lit(0.0)))) / most)
-    return out.select(*names, brevity.alias("brevity")).withColumn("bleu", F.col("brevity") * F.coalesce(mean, F.lit(0.0)))
-
-
-def _columns(b: Sequence) -> dict:
-    """For each token of b, a number with a bit set at each of its places."""
-    out: dict = {}
-    for j, y in enumerate(b):
-        out[y] = out.get(y, 0) | 1 << j
-    return out
-
-
-def _next_row(row: int, match: int, full: int) -> int:
-    """Bit vectors of longest common subsequences: bit j of a row is 0 where b's first j + 1 tokens have one more in common with a's
-    tokens so far than its first j; match has the places of a's next token."""
-    both = row & match
-    return ((row + both) | (row - both)) & full
+    """One row: bleu over all pairs together (counts of all are added up first), precision_1 to precision_most and brevity; one pass
+    for runs of all lengths."""
+    orders = range(1, most + 1)
+    base = pairs.select(*(_grams(c, n, False).alias(f"__{side}{n}") for n in orders for side, c in (("p", prediction), ("r", reference))))
+    sums = base.agg(*(F.sum(shared_count(F.col(f"__p{n}"), F.col(f"__r{n}"))).alias(f"s{n}") for n in orders), *(F.sum(F.size(f"__p{n}")).alias(f"p{n}") for n in orders), F.sum(F.size("__r1")).alias("r1"))
+    parts = [F.when(F.col(f"p{n}") > 0, F.col(f"s{n}") / F.col(f"p{n}")).otherwise(F.lit(0.0)).alias(f"precision_{n}") for n in orders]
+    brevity = F.when(F.col("p1") >= F.col("r1"), F.lit(1.0)).when(F.col("p1") > 0, F.exp(1 - F.col("r1") / F.col("p1"))).otherwise(F.lit(0.0))
+    out = sums.select(*parts, brevity.alias("brevity"))
+    logs = sum((F.log(F.nullif(F.col(f"precision_{n}"), F.lit(0.0))) for n in orders), F.lit(0.0))
+    return out.withColumn("bleu", F.col("brevity") * F.coalesce(F.exp(logs / most), F.lit(0.0)))
 
 
 def lcs_length(a: Sequence, b: Sequence) -> int:

@@ -180,3 +180,15 @@ def test_a_stream_that_begins_with_a_continuation_fails(spark, state_store, tmp_
     running = continuation.appended_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), FORMAT, "Message").writeStream.format("memory").queryName("broken").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     with pytest.raises(Exception, match="doesn't fit"):
         running.awaitTermination()
+
+
+def test_shared_elements_by_one_sweep(spark):
+    from collections import Counter
+
+    rng = random.Random(11)
+    made = [(i, [rng.choice(["", "a", "b", "c d"]) for _ in range(rng.randint(0, 9))], [rng.choice(["", "a", "b", "c d"]) for _ in range(rng.randint(0, 9))]) for i in range(200)]
+    rows = spark.createDataFrame(made, "i int, a array<string>, b array<string>").select("i", metrics.shared_count(F.col("a"), F.col("b")).alias("n"))
+    assert {r.i: r.n for r in rows.collect()} == {i: sum((Counter(a) & Counter(b)).values()) for i, a, b in made}
+    pairs = spark.createDataFrame([(None, "the cat sat", "the cat"), (1, None, "x")], "k int, p string, r string")
+    assert {r.k: (r.shared, r.predicted, r.referred) for r in metrics.shared_ngrams(pairs, "k", "p", "r", 2).collect()} == {None: (1, 2, 1), 1: (0, 0, 0)}
+    assert "Exchange" not in metrics.rouge_n(pairs, "k", "p", "r")._jdf.queryExecution().executedPlan().toString()
