@@ -149,7 +149,7 @@ def test_histories_equal_all_pairs(spark, monkeypatch, gap, shard_points):
     rng = random.Random(gap + shard_points)
     made = [{"i": i, "x": rng.choice(["hot"] * 5 + ["a", "b", None]), "tm": rng.randint(0, 60), "fold": rng.randint(0, 4), "n": rng.randint(1, 3), "s": rng.randint(0, 1)} for i in range(400)]
     rows = spark.createDataFrame([tuple(r.values()) for r in made], "i long, x string, tm long, fold int, n long, s long").repartition(5)
-    found = encoding.encode(rows, [["x"]], folds=5, gap=gap, shard_points=shard_points).collect()
+    found = encoding.encode(rows, [["x"]], folds=5, gap=gap, shard_points=shard_points, share=1.0).collect()
     want = _plain_history(made, "x", gap)
     assert len(found) == 400
     for r in found:
