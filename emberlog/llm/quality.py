@@ -116,9 +116,11 @@ def _timed(sample: DataFrame, reject: Column) -> tuple[float, int]:
 
 
 def sampled(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
-    """At most sample_rows random texts, as a table of their own: those of the least random numbers of all rows, so each row of each
-    file has the same chance. A task keeps sample_rows rows of its own at most."""
-    texts = df.select(F.col(text).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
+    """At most sample_rows random texts, as a table of their own. Each row of each file has the same chance: enough to draw a few
+    times sample_rows of them from all together, of which those of the least random numbers stay."""
+    share = 4 * sample_rows / max(df.count(), 1)
+    drawn = df.sample(False, share, seed) if share < 1 else df
+    texts = drawn.select(F.col(text).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
     rows = texts.orderBy(F.rand(seed)).limit(sample_rows).collect()
     return df.sparkSession.createDataFrame([(r[0],) for r in rows], "text string")
 
