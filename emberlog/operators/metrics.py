@@ -80,6 +80,21 @@ def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, mos
     return out.withColumn("bleu", F.col("brevity") * F.coalesce(F.exp(logs / most), F.lit(0.0)))
 
 
+def _columns(b: Sequence) -> dict:
+    """For each token of b, a number with a bit set at each of its places."""
+    out: dict = {}
+    for j, y in enumerate(b):
+        out[y] = out.get(y, 0) | 1 << j
+    return out
+
+
+def _next_row(row: int, match: int, full: int) -> int:
+    """Bit vectors of longest common subsequences: bit j of a row is 0 where b's first j + 1 tokens have one more in common with a's
+    tokens so far than its first j; match has the places of a's next token."""
+    both = row & match
+    return ((row + both) | (row - both)) & full
+
+
 def lcs_length(a: Sequence, b: Sequence) -> int:
     """Length of the longest common subsequence; a word of bits at a time."""
     columns, full = _columns(b), (1 << len(b)) - 1

@@ -15,8 +15,8 @@ from emberlog.sources.formats import LOG_FORMATS
 from emberlog.sources.written import saved
 
 EVENT = ("Component", "ComponentEventID")
-#: Ids of events that are broadcast to their rows; beyond, rows are shuffled to them.
-BROADCAST_EVENTS = 1_000_000
+#: Rows of instances or ids of events that are broadcast; beyond, the other side is shuffled to them.
+BROADCAST_ROWS = 1_000_000
 
 
 def process_logs(lines: DataFrame, dataset: str, instances: DataFrame | None = None, name: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -37,8 +37,8 @@ def process_logs(lines: DataFrame, dataset: str, instances: DataFrame | None = N
     if dataset in cleaning.TIME_FORMATS:
         year = None
         if dataset == "telcoapp":
-            years = instances.select("instance", F.year("fault_time").alias("__year"))
-            rows = rows.join(F.broadcast(years) if _small(years) else years, "instance", "left")
+            years = saved(instances.select("instance", F.year("fault_time").alias("__year")))
+            rows = joined(rows, F.broadcast(years) if years.count() <= BROADCAST_ROWS else years, "instance", "left")
             year = F.col("__year")
         rows = cleaning.timestamped(rows, cleaning.TIME_FORMATS[dataset], year).drop("__year")
     else:
@@ -84,7 +84,7 @@ def summary_chunks(entries: DataFrame, instances: DataFrame, spec: LogWindows, e
     # Ids of events, written once: counting them doesn't run what is above once more.
     wanted = saved(events.summary_events(windows, spec.keys, EVENT, normal, only_common).withColumn("__label", F.lit(True)))
     words = F.slice(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), 1, sentence_max)
-    rows = joined(windows.withColumns({"__words": words, "__size": F.size(words)}), F.broadcast(wanted) if wanted.count() <= BROADCAST_EVENTS else wanted, EVENT, "left")
+    rows = joined(windows.withColumns({"__words": words, "__size": F.size(words)}), F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, EVENT, "left")
     chunks = sequences.packed(rows, list(spec.keys), ["pos"], "__size", max_length)
     return sequences.labelled_chunks(chunks, list(spec.keys), ["pos"], "__words", F.coalesce("__label", F.lit(False)))
 

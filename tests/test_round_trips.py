@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.__main__ import main
 from emberlog.operators import sequences, traces
-from emberlog.plans import statistics
+from emberlog.plans import preprocess, statistics
 from emberlog.sources import readers
 
 
@@ -91,3 +91,14 @@ def test_statistics_of_null_and_empty_sets(spark):
     found = {r.dataset: r for r in statistics.dataset_statistics(rows, "d", "t")[0].collect()}
     assert (found[None].words, found[None].vocabulary) == (2, 2) and (found["x"].words, found["x"].vocabulary, found["x"].head) == (0, 0, 0)
     assert statistics.dataset_statistics(rows.limit(0), "d", "t")[0].collect() == []
+
+
+def test_years_come_from_the_instance(spark):
+    import datetime
+
+    lines = spark.createDataFrame([("i", "f", 1, "02-29 03:04:05.678  11  12 I Radio: link lost on cell 7"), ("j", "f", 1, "03-01 00:00:00.000  11  12 I Radio: link lost on cell 8")], "instance string, file string, line_no long, line string")
+    instances = spark.createDataFrame([("i", datetime.datetime(2020, 3, 1)), ("j", None)], "instance string, fault_time timestamp_ntz")
+    entries, kinds = preprocess.process_logs(lines, "telcoapp", instances)
+    found = {r.instance: (str(r.Timestamp), r.Component, r.Message) for r in entries.collect()}
+    assert found["i"] == ("2020-02-29 03:04:05.678000", "Radio", "link lost on cell 7") and set(found) == {"i", "j"}
+    assert kinds.count() == 1
