@@ -316,7 +316,7 @@ def _mined(entries: DataFrame, settings: MiningSettings | str, component: str, o
     # An event is a cluster of a component, numbered by the row that founded it. Clusters are few.
     number = F.row_number().over(Window.partitionBy("c").orderBy(*places, "len")).cast("long")
     clusters = clusters.withColumn("event", number)
-    distinct = slim.select("c", "len", "masked").distinct()
+    distinct = saved(slim.select("c", "len", "masked").distinct())
     told = joined(_matched(distinct, clusters, settings, match_rows), clusters.select("c", "len", "rank", "event", "template"), ["c", "len", "rank"])
     told = told.select(F.col("c").alias(f"__{component}"), F.col("masked").alias("__known"), "event", "template")
     met = rows.join(told, F.col(component).eqNullSafe(F.col(f"__{component}")) & (F.col("__masked") == F.col("__known")))

@@ -40,6 +40,8 @@ def head(vocab: DataFrame, n: int | None = None, min_frequency: int | None = Non
 
     Ranks and running sums come from tasks' ranges and their totals, so a vocabulary without groups needs no single task.
     """
+    # Counts are few beside the texts that they come from; ranges are dealt by a sample, and totals read them once more.
+    vocab = saved(vocab)
     out = vocab
     if isinstance(ignored, DataFrame):
         out = joined(out, ignored.select("token"), "token", "left_anti")
