@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.plans.base import query
-from emberlog.streaming import streams
+from emberlog.sources.written import reserved
+from emberlog.streaming import continuation, streams
 
 
 def _run(rows: DataFrame, mode: str) -> DataFrame:
-    """All rows that a stream gives, by way of a table in memory: counts, small beside the events that they count."""
-    name = f"emberlog_{uuid.uuid4().hex}"
-    running = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return rows.sparkSession.table(name)
+    """All rows that a stream gives. They go from the tasks to a table in the shared folder, each batch's in place of those before
+    it (in complete mode they hold them), so none pass through the driver. The state is kept beside it, on disk."""
+    spark = rows.sparkSession
+    path, name, batches = reserved(spark), "spark.sql.streaming.stateStore.providerClass", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows")
+        batches.append(number)
+
+    before = spark.conf.get(name)
+    spark.conf.set(name, continuation.PROVIDER)
+    try:
+        running = rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows") if batches else spark.createDataFrame([], rows.schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

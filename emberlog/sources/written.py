@@ -25,6 +25,13 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def reserved(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one, which clean() deletes."""
+    path = f"{folder(spark)}/emberlog-{uuid.uuid4().hex}"
+    _known.append(path)
+    return path
+
+
 def saved(df: DataFrame, *partitioned: str) -> DataFrame:
     """df written once and read back; a folder for each value of the columns in partitioned."""
     path = f"{folder(df.sparkSession)}/emberlog-{uuid.uuid4().hex}"
