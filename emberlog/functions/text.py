@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 #: Unicode classes and only \\n as a line end, as the patterns of the catalogue expect.
 FLAGS = "(?Ud)"
+#: All that the pattern (?U)\\s matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    """Without white space (of any kind) at both ends; Spark's trim() takes off spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space (of any kind) at both ends; Spark's trim() takes off spaces only. Looks at both ends alone, unlike a pattern."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def stable_hash(c: Column, modulus: int) -> Column:

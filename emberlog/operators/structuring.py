@@ -17,11 +17,15 @@ _SEAM = "\u0001"
 
 def _pieces(line: Column, fmt: LineFormat) -> Column:
     """'', the groups of all fields and what follows the match, of a line that fits; else the line alone. The pattern is matched
-    once for all fields, but for lines that hold the seam themselves."""
+    once for all fields, but for lines that hold the seam themselves; and not where a character lacks that all lines have, as telling
+    by the pattern that a line doesn't fit takes the longest."""
     marked = _SEAM + "".join(f"${g}{_SEAM}" for g in fmt.groups)
     one_by_one = F.array(F.lit(""), *[F.regexp_extract(line, fmt.pattern, g) for g in fmt.groups], F.lit(""))
     slow = F.when(line.rlike(fmt.pattern), one_by_one).otherwise(F.array(line))
-    return F.when(line.contains(_SEAM), slow).otherwise(F.split(F.regexp_replace(line, fmt.pattern, marked), _SEAM))
+    told = F.when(line.contains(_SEAM), slow)
+    for c in sorted(fmt.needed):
+        told = told.when(~line.contains(c), F.array(line))
+    return told.otherwise(F.split(F.regexp_replace(line, fmt.pattern, marked), _SEAM))
 
 
 def parse(lines: DataFrame, log_format: str | LineFormat, line: str = "line", trimmed: bool = True) -> DataFrame:

@@ -29,6 +29,8 @@ WILD = "<*>"
 MOST_CHILDREN = 100
 #: Rows of a component that one task learns from, trees that merge at once, and messages that are matched in one group.
 CHUNK_ROWS, FAN, MATCH_ROWS = 500_000, 16, 100_000
+#: Of different messages with their templates, which are broadcast up to that size.
+BROADCAST_CHARACTERS = 32_000_000
 _PLACE = re.compile(r"<(\*|[A-Za-z_@][\w@]*)>")
 
 
@@ -206,21 +208,21 @@ _PARAMETERS = pa.list_(pa.struct([("value", pa.string()), ("mask", pa.string())]
 
 
 def _with_parameters(rows: DataFrame, settings: MiningSettings, message: str) -> DataFrame:
-    """Adds parameters, read from each message by its template; equal messages of a batch are read once."""
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL("parameters array<struct<value: string, mask: string>>").fields])
+    """Adds parameters, read from each message by its template; equal messages of a batch are read once. It is a column, so plans
+    that don't use it don't run it."""
+    masks = settings.masks
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            known: dict[tuple, list] = {}
-            found = []
-            for pair in zip(batch.column(names.index("template")).to_pylist(), batch.column(names.index(message)).to_pylist(), strict=True):
-                if pair not in known:
-                    known[pair] = [{"value": v, "mask": n} for v, n in parameters_of(pair[0], pair[1] or "", settings.masks)]
-                found.append(known[pair])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _PARAMETERS)], [*names, "parameters"])
+    @F.arrow_udf("array<struct<value: string, mask: string>>")
+    def read(template: pa.Array, said: pa.Array) -> pa.Array:
+        known: dict[tuple, list] = {}
+        found = []
+        for pair in zip(template.to_pylist(), said.to_pylist(), strict=True):
+            if pair not in known:
+                known[pair] = [{"value": v, "mask": n} for v, n in parameters_of(pair[0], pair[1] or "", masks)]
+            found.append(known[pair])
+        return pa.array(found, _PARAMETERS)
 
-    return rows.mapInArrow(fill, schema)
+    return rows.withColumn("parameters", read("template", message))
 
 
 def _first(table: pa.Table, names: Sequence[str]) -> dict[str, pa.Array]:
@@ -305,7 +307,8 @@ def _matched(distinct: DataFrame, clusters: DataFrame, settings: MiningSettings,
 def _mined(entries: DataFrame, settings: MiningSettings | str, component: str, order: Sequence[str], message: str, keep: Sequence[str], repeats: bool, chunk_rows: int, fan: int, match_rows: int) -> DataFrame:
     settings = PRESETS[settings] if isinstance(settings, str) else settings
     columns = list(dict.fromkeys([component, *order, *keep, message]))
-    rows = entries.select(*columns).withColumn("__masked", masked(F.coalesce(F.col(message), F.lit("")), settings.masks))
+    # Written once: sizes, trees, different messages and rows with their events are read from it, and what is above runs once.
+    rows = saved(entries.select(*columns).withColumn("__masked", masked(F.coalesce(F.col(message), F.lit("")), settings.masks)))
     places = [f"o{i}" for i in range(len(order))]
     # As many groups as there are different numbers of words; trees count for themselves.
     words = F.size(F.filter(F.split("__masked", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
@@ -318,8 +321,10 @@ def _mined(entries: DataFrame, settings: MiningSettings | str, component: str, o
     clusters = clusters.withColumn("event", number)
     distinct = saved(slim.select("c", "len", "masked").distinct())
     told = joined(_matched(distinct, clusters, settings, match_rows), clusters.select("c", "len", "rank", "event", "template"), ["c", "len", "rank"])
-    told = told.select(F.col("c").alias(f"__{component}"), F.col("masked").alias("__known"), "event", "template")
-    met = rows.join(told, F.col(component).eqNullSafe(F.col(f"__{component}")) & (F.col("__masked") == F.col("__known")))
+    told = saved(told.select(F.col("c").alias(f"__{component}"), F.col("masked").alias("__known"), "event", "template"))
+    # Different messages are mostly far fewer than rows; sent to all tasks while they are few, they leave rows where they are.
+    size = told.agg(F.sum(F.length("__known") + F.length("template") + 64)).first()[0] or 0
+    met = rows.join(F.broadcast(told) if size <= BROADCAST_CHARACTERS else told, F.col(component).eqNullSafe(F.col(f"__{component}")) & (F.col("__masked") == F.col("__known")))
     return _with_parameters(met.select(*columns, "event", "template"), settings, message)
 
 

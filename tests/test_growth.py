@@ -6,7 +6,7 @@ import __spark_entry__
 
 
 def _rows(df):
-    return sorted(map(tuple, df.collect()))
+    return sorted(map(tuple, df.collect()), key=str)
 
 
 def test_sessions_of_a_stream_pass_by_the_driver(spark, tmp_path):
@@ -23,3 +23,41 @@ def test_sessions_of_a_stream_pass_by_the_driver(spark, tmp_path):
     found = __spark_entry__.queries()["stream_sessions"](spark, str(tmp_path))
     hour = dt.timedelta(hours=1)
     assert {r.user_id: (r.start, r.end, r.n) for r in found.collect()} == {u: (day + dt.timedelta(minutes=m[0]), day + dt.timedelta(minutes=m[-1]) + hour, len(m)) for u, m in minutes.items()}
+
+
+def test_log_lines_are_structured_once(spark, tmp_path):
+    events = [(i, dt.datetime(2024, 1, 1, 0, 0, i), i % 2, "error" if i % 3 else "view") for i in range(40)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("process_lines", "process_event_types"):
+        found = __spark_entry__.queries()[name](spark, str(tmp_path))
+        # What is read are tables that mining has written, with no line matched again.
+        assert found.inputFiles() and not any("events.parquet" in f for f in found.inputFiles()), name
+    assert found.count() == 2
+
+
+def test_messages_reach_rows_also_without_broadcast(spark, monkeypatch):
+    from emberlog.functions.patterns import MiningSettings, masks
+    from emberlog.operators import templates
+
+    rows = spark.createDataFrame([("a" if i % 2 else None, i, f"did {i % 7}" if i % 5 else None) for i in range(60)], "component string, pos long, message string")
+    mine = lambda: _rows(templates.mine_templates(rows, MiningSettings(0.4, 4, masks("number"))).withColumn("parameters", templates.F.to_json("parameters")))
+    few = mine()
+    monkeypatch.setattr(templates, "BROADCAST_CHARACTERS", -1)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, few)) == sorted(map(key, mine())) and len(few) == 60
+
+
+def test_formats_tell_which_characters_all_lines_have(spark):
+    import re
+
+    from emberlog.operators.structuring import parse
+    from emberlog.sources.formats import compile_format
+
+    assert compile_format("hadoop").needed == set(":[]")
+    for log_format in ("<A>|<B>: x", "(?i)<A>:", "<A>(: )?<B>", "<A>-{0,2}<B>", "<A>:? <B>", "<Level|INFO|a:b> <B>", "[:;] <A>"):
+        assert not compile_format(log_format).needed, log_format
+    lines = ["a b c [d] e: f", "a b c d] e: f", "a b c [d] e f", "", None, "a\u0001 b c [d] e: f", "  at x.y(z:1)"]
+    fmt = compile_format("hadoop")
+    found = parse(spark.createDataFrame([(x,) for x in lines], "line string"), fmt).collect()
+    pattern = re.compile(fmt.pattern.removeprefix("(?Ud)"))
+    assert [r.is_valid for r in found] == [bool(x and pattern.search(x)) for x in lines]
