@@ -95,7 +95,7 @@ a AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, w) - c AS r FROM c), o AS (SEL
 f AS (SELECT z.doc_id, z.idx, round(CASE WHEN coalesce(o, 0) > 0 THEN 2 * o / sum(len(words)) OVER (PARTITION BY z.doc_id) ELSE 0 END, 6) AS score FROM z LEFT JOIN o ON o.doc_id = z.doc_id AND o.idx = z.idx)
 SELECT doc_id, idx, score, {CHOSEN_SQL} AS chosen FROM f""")
 def gap_sentences_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = masking.independent_scores(text_queries._sentences(spark, sf_dir), "doc_id", "idx", "words", stems=True)
+    scores = masking.document_scores(text_queries._documents(spark, sf_dir), "doc_id", "sentences", "idx", stems=True)
     return masking.chosen_by_score(scores.withColumn("score", F.round("score", 6)), "doc_id", "idx", 0.3)
 
 

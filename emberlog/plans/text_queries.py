@@ -191,7 +191,7 @@ a AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, w) - c AS r FROM c), o AS (SEL
 f AS (SELECT s.doc_id, s.idx, coalesce(2 * o.o / sum(len(words)) OVER (PARTITION BY s.doc_id), 0.0)::DOUBLE AS score FROM s LEFT JOIN o ON o.doc_id = s.doc_id AND o.idx = s.idx)
 SELECT doc_id, idx, round(score, 6) AS score, {CHOSEN_SQL} AS chosen FROM f""")
 def gap_sentences_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = masking.independent_scores(_sentences(spark, sf_dir), "doc_id", "idx", "words")
+    scores = masking.document_scores(_documents(spark, sf_dir), "doc_id", "sentences", "idx")
     return masking.chosen_by_score(scores, "doc_id", "idx", 0.3).withColumn("score", F.round("score", 6))
 
 
@@ -205,8 +205,9 @@ def random_gap_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = F.sort_array(F.collect_list(F.struct("idx", "words")))
-    return _sentences(spark, sf_dir).groupBy("doc_id").agg(lists.alias("s")).select("doc_id", F.transform("s", lambda x: x["words"]).alias("sentences"))
+    """The sentences of each document in its own row, as _sentences() has them one by one."""
+    words = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0)))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", words.alias("sentences"))
 
 
 def _shown(out: DataFrame) -> DataFrame:

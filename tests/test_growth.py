@@ -61,3 +61,51 @@ def test_formats_tell_which_characters_all_lines_have(spark):
     found = parse(spark.createDataFrame([(x,) for x in lines], "line string"), fmt).collect()
     pattern = re.compile(fmt.pattern.removeprefix("(?Ud)"))
     assert [r.is_valid for r in found] == [bool(x and pattern.search(x)) for x in lines]
+
+
+def test_documents_are_scored_where_they_are(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from emberlog.operators import masking
+
+    r = random.Random(3)
+    docs = [(i, [None if r.random() < 0.1 else [r.choice("abcdefg") if r.random() < 0.9 else None for _ in range(r.choice([0, 1, 5, 9]))] for _ in range(r.randint(0, 6))]) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(docs, "id long, s array<array<string>>")
+    found = masking.document_scores(df.repartition(3), "id", "s")
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = df.select("id", F.posexplode("s").alias("at", "words")).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    assert _rows(found) == _rows(masking.independent_scores(rows, "id", "at", "words"))
+
+
+def test_spans_of_long_documents_take_a_step_each():
+    import time
+
+    from emberlog.operators.masking import PRESETS, TextInfilling
+
+    document = [["w"] * 10 for _ in range(20_000)]
+    began = time.process_time()
+    masked = PRESETS["text-infilling"](seed=4).mask(document)
+    # Scanning what is left for each span took minutes.
+    assert time.process_time() - began < 20
+    hidden = 200_000 - sum(t == "w" for s in masked for t in s)
+    assert hidden <= 60_000 and len(masked) == 20_000
+    assert TextInfilling(1.0, seed=2).mask([["a", "b"], []])[1] == []
+
+
+def test_rounds_of_long_documents_add_up_arrays():
+    import random
+    import time
+
+    from emberlog.operators.masking import GapSentences
+
+    r = random.Random(5)
+    document = [[f"w{int(r.expovariate(0.01))}" for _ in range(10)] for _ in range(1_500)]
+    began = time.process_time()
+    gap = GapSentences(0.3, "sequential")
+    masked, shown = gap.both(document)
+    assert time.process_time() - began < 8
+    assert sum(s == ["<*>"] for s in masked) == len(shown) == 450
+    small = [s[:4] for s in document[:12]] + [[]]
+    assert gap.chosen(small) == GapSentences(0.3, "sequential", score=__import__("emberlog.operators.masking", fromlist=["x"]).unigram_f1).chosen(small)
