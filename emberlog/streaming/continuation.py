@@ -27,7 +27,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class _Continuation(StatefulProcessor):
-    """State of a file: the number of the line that is due; the open entry (its line's number, fields, and texts that go on); lines
+    """State of a file: the number of the line that is due, and of lines that wait; the open entry (its line's number, fields, and texts that go on); lines
     that came before their turn."""
 
     def __init__(self, fields: list[str], append_to: str, separator: str, idle_ms: int | None) -> None:
@@ -37,50 +37,68 @@ class _Continuation(StatefulProcessor):
         # Workers have no session that could read types from text.
         number, texts = StructType([StructField("line_no", LongType())]), ArrayType(StringType())
         self._handle = handle
-        self._due = handle.getValueState("due", number)
+        self._due = handle.getValueState("due", StructType([*number.fields, StructField("waiting", LongType())]))
         self._open = handle.getValueState("open", StructType([*number.fields, StructField("fields", texts), StructField("texts", texts)]))
         self._waiting = handle.getMapState("waiting", number, StructType([StructField("is_valid", BooleanType()), StructField("text", StringType()), StructField("fields", texts)]))
 
-    def _closed(self, key: tuple) -> tuple | None:
-        if not self._open.exists():
-            return None
-        line_no, fields, texts = self._open.get()
-        self._open.clear()
+    def _closed(self, key: tuple, entry: tuple | None) -> list[tuple]:
+        if entry is None:
+            return []
+        line_no, fields, texts = entry
         at = self._fields.index(self._append_to)
         fields = list(fields)
         fields[at] = self._separator.join([fields[at] or "", *texts]) if texts else fields[at]
-        return (key[0], int(line_no), *fields)
-
-    def _take(self, key: tuple, line_no: int, valid: bool, text: str, fields: list) -> Iterator[tuple]:
-        if valid:
-            before = self._closed(key)
-            if before:
-                yield before
-            self._open.update((line_no, fields, []))
-        elif self._open.exists():
-            started, held, texts = self._open.get()
-            self._open.update((started, list(held), [*texts, text]))
-        else:
-            raise ValueError(f"line {line_no} of {key[0]} doesn't fit the format and no entry is open: {text}")
+        return [(key[0], int(line_no), *fields)]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = []
-        due = int(self._due.get()[0]) if self._due.exists() else 1
+        """State is read once and written once for all lines of the file that have come; the lines that wait are asked for only if
+        there are any."""
+        found, now = [], self._due.get()
+        due, waiting = (int(now[0]), int(now[1])) if now is not None else (1, 0)
+        entry = self._open.get() if now is not None else None
+        if entry is not None:
+            entry = (entry[0], list(entry[1]), list(entry[2]))
+        before, grown = entry, False
+
+        def take(line_no: int, valid: bool, text: str, fields: list) -> None:
+            nonlocal entry, grown
+            if valid:
+                found.extend(self._closed(key, entry))
+                entry = (line_no, fields, [])
+            elif entry is not None:
+                entry[2].append(text)
+                grown = True
+            else:
+                raise ValueError(f"line {line_no} of {key[0]} doesn't fit the format and no entry is open: {text}")
+
         came = sorted(((int(r[0]), bool(r[1]), r[2], list(r[3])) for frame in rows for r in zip(frame["line_no"], frame["is_valid"], frame["text"], frame["fields"], strict=True)), key=lambda r: r[0])
-        for line_no, valid, text, fields in came:
-            if line_no < due:
+        ahead = {}
+        for line in came:
+            if line[0] < due:
                 continue  # the source has sent it again
-            if line_no > due:
-                self._waiting.updateValue((line_no,), (valid, text, fields))
+            if line[0] > due:
+                ahead[line[0]] = line[1:]
                 continue
-            found += self._take(key, line_no, valid, text, fields)
+            take(*line)
             due += 1
-            while self._waiting.containsKey((due,)):
-                valid, text, fields = self._waiting.getValue((due,))
-                self._waiting.removeKey((due,))
-                found += self._take(key, due, bool(valid), text, list(fields))
+            while due in ahead or waiting and self._waiting.containsKey((due,)):
+                if due in ahead:
+                    valid, text, fields = ahead.pop(due)
+                    if waiting and self._waiting.containsKey((due,)):
+                        self._waiting.removeKey((due,))
+                        waiting -= 1
+                else:
+                    valid, text, fields = self._waiting.getValue((due,))
+                    self._waiting.removeKey((due,))
+                    waiting -= 1
+                take(due, bool(valid), text, list(fields))
                 due += 1
-        self._due.update((due,))
+        for line_no, held in ahead.items():
+            waiting += not (waiting and self._waiting.containsKey((line_no,)))
+            self._waiting.updateValue((line_no,), held)
+        if entry is not None and (entry is not before or grown):
+            self._open.update(entry)
+        self._due.update((due, waiting))
         if self._idle_ms is not None:
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
@@ -88,8 +106,9 @@ class _Continuation(StatefulProcessor):
         yield self._frame(found)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        entry = self._closed(key)
-        yield self._frame([entry] if entry else [])
+        entry = self._closed(key, self._open.get())
+        self._open.clear()
+        yield self._frame(entry)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["file", "line_no", *self._fields])
