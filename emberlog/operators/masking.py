@@ -303,6 +303,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, SLICE)
 
 
+def _lists(column: pa.Array) -> list[list[list]]:
+    """The sentences of each document; each different token becomes a Python string once."""
+    sizes = lambda c: pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).tolist()
+    parts = column.flatten()
+    coded = pc.dictionary_encode(parts.flatten())
+    names = [*coded.dictionary.to_pylist(), None]
+    codes = pc.fill_null(coded.indices, len(names) - 1).to_numpy(zero_copy_only=False).tolist()
+    tokens = iter([names[c] for c in codes])
+    sentences = iter([list(itertools.islice(tokens, n)) for n in sizes(parts)])
+    return [list(itertools.islice(sentences, n)) for n in sizes(column)]
+
+
 def masked_documents(docs: DataFrame, sentences: str, key: str, masker: Masker | str, seed: int = 0) -> DataFrame:
     """key, masked and antimasked (array<array<string>>) of each document; sentences: array<array<string>>."""
     texts = pa.list_(pa.list_(pa.string()))
@@ -310,9 +322,9 @@ def masked_documents(docs: DataFrame, sentences: str, key: str, masker: Masker |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             masked, antimasked = [], []
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, value in zip(batch.column(0).to_pylist(), _lists(batch.column(1)), strict=True):
                 one = PRESETS[masker](seed=seed ^ (int(k) & 0x7FFFFFFF)) if isinstance(masker, str) else masker
-                hidden, shown = _both(one, [s or [] for s in value or []])
+                hidden, shown = _both(one, value)
                 masked.append(hidden)
                 antimasked.append(shown)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masked, texts), pa.array(antimasked, texts)], [key, "masked", "antimasked"])
@@ -402,10 +414,10 @@ def training_pairs(docs: DataFrame, sentences: str, key: str, masker: Masker | s
                     known[t] = encode(t)
                 return known[t]
 
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, value in zip(batch.column(0).to_pylist(), _lists(batch.column(1)), strict=True):
                 one = PRESETS[masker](seed=seed ^ (int(k) & 0x7FFFFFFF)) if isinstance(masker, str) else masker
                 one.mask_token = mask_token
-                hidden, shown = _both(one, [(s or [])[:sentence_max] for s in value or []])
+                hidden, shown = _both(one, [s[:sentence_max] for s in value])
                 inputs.append([i for s in hidden for i in (*(code(t, mask_id) for t in s), separator)])
                 labels.append([i for s in shown for i in (*(code(t, ignored) for t in s), ignored)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(inputs, ids), pa.array(labels, ids)], [key, "input_ids", "labels"])
