@@ -50,6 +50,7 @@ HOT_ROWS = 5000
 BROADCAST_IDS = 4_000_000
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64), 0x1234567) | np.uint64(1)).astype(np.uint32)
 _B = mixed(np.arange(1, HASHES + 1, dtype=np.uint64), 0x89ABCDE).astype(np.uint32)
+_ORDERS = mixed(np.arange(1, TREES + 1, dtype=np.uint64), 0x51ED270B)
 
 
 def least_estimate(percent: int) -> float:
@@ -83,11 +84,11 @@ def signatures_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _keys(signatures: np.ndarray) -> np.ndarray:
-    """A region key for each order."""
+    """A region key for each order. Keys of one order are equal where its DEPTH minima are; those of two orders by chance only."""
     x = np.zeros((len(signatures), TREES), np.uint64)
     for d in range(DEPTH):
         x = (x << np.uint64(16)) | signatures[:, d : DEPTH * TREES : DEPTH].astype(np.uint64)
-    return mixed(x * np.uint64(TREES) + np.arange(TREES, dtype=np.uint64) + (x >> np.uint64(59)))
+    return mixed(x) ^ _ORDERS
 
 
 def _further(signatures: np.ndarray) -> np.ndarray:
@@ -309,7 +310,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     in_order = placed.repartition("region").sortWithinPartitions("region", "further", "id")
     crowded = saved(in_order.mapInArrow(tidy(_crowded), "region long, id long, before long"))
 
-    near = crowded.filter(F.col("before").isNotNull()).select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
+    near = crowded.filter(F.col("before").isNotNull()).select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).filter("a != b").distinct()
     a = classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     b = classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
     estimated = near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_estimated(least)), "a long, b long, estimate double")
