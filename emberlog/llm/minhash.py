@@ -204,9 +204,9 @@ def _level(n: int) -> int:
 def _across(least: float, percent: int):
     """One block of a region (rows of own: whether the row belongs to this block, main: to the region's largest component, id,
     component, n, signature, sample) to pairs across components that link as far as samples tell, each in the first order
-    only where the two share a region. Pairs of rows outside the main component count in the block of either. Components that
-    a clear pair joins count as one from then on, so a block gives few pairs more than it has components. Samples of small
-    sets are whole."""
+    only where the two share a region. Rows of two orders may have come to one key by chance; only rows that share an order are
+    compared. Pairs of rows outside the main component count in the block of either. Components that a clear pair joins count
+    as one from then on, so a block gives few pairs more than it has components. Samples of small sets are whole."""
 
     def shares(i: int, rest: np.ndarray, n: np.ndarray, samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of i and each of rest: the least and the greatest similarity that the samples allow, and the likeliest."""
@@ -240,12 +240,13 @@ def _across(least: float, percent: int):
         order = np.argsort(main, kind="stable")  # the largest component comes last
         id_, label, n, own, main, signatures, samples = id_[order], label[order], n[order], own[order], main[order], signatures[order], [samples[i] for i in order.tolist()]
         keys = _keys(signatures)
-        tree = int(np.flatnonzero((keys == np.uint64(region % (1 << 64))).all(axis=0))[0])
+        here = np.uint64(region % (1 << 64))
         found: list[tuple[int, int]] = []
         for i in range(int((~main).sum())):
             rest = np.flatnonzero((label[i + 1 :] != label[i]) & (percent * n[i + 1 :] <= 100 * n[i]) & (100 * n[i + 1 :] >= percent * n[i]) & (own[i + 1 :] | own[i])) + i + 1
             rest = rest[(signatures[rest] == signatures[i]).mean(axis=1) >= least]
-            rest = rest[(keys[rest, :tree] != keys[i, :tree]).all(axis=1)]
+            shared = keys[rest] == keys[i]
+            rest = rest[shared.any(axis=1) & (keys[i, shared.argmax(axis=1)] == here)]
             if not len(rest):
                 continue
             low, high, mid = shares(i, rest, n, samples)
